@@ -1 +1,118 @@
-"""Catalogue section (filled in below)."""
+"""Scans and sinks (S1-S6, S8): write driver tables through the sinks, read them back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.functions import scalar as S
+from tidemark.sources import csv as C
+from tidemark.plans.registry import query
+from tidemark.session import scratch_path
+from tidemark.sources.tables import table
+
+NATION_SCHEMA = T.StructType([
+    T.StructField("n_nationkey", T.IntegerType()),
+    T.StructField("n_name", T.StringType()),
+    T.StructField("n_regionkey", T.IntegerType()),
+])
+
+PART_SCHEMA = T.StructType([
+    T.StructField("p_partkey", T.LongType()),
+    T.StructField("p_name", T.StringType()),
+    T.StructField("p_brand", T.StringType()),
+    T.StructField("p_type", T.StringType()),
+    T.StructField("p_size", T.IntegerType()),
+    T.StructField("p_retailprice", T.DoubleType()),
+])
+
+
+# S1 ------------------------------------------------------------------------------------
+@query("csv_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_scan(spark, sf_dir):
+    path = C.write_csv(table(spark, sf_dir, "nation"), scratch_path(spark, "nation-csv"))
+    return C.read_csv(spark, path, NATION_SCHEMA)
+
+
+# S3 ------------------------------------------------------------------------------------
+@query("csv_sink_roundtrip",
+       "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+def csv_sink_roundtrip(spark, sf_dir):
+    path = C.write_csv(table(spark, sf_dir, "part"), scratch_path(spark, "part-csv"))
+    return C.read_csv(spark, path, PART_SCHEMA)
+
+
+# S2 ------------------------------------------------------------------------------------
+def station_readings(spark, sf_dir):
+    """Station-shaped rows from ``events`` (string lane mapped to an int code)."""
+    ev = table(spark, sf_dir, "events")
+    lane = S.dict_map("event_type", {"click": 11, "view": 12, "purchase": 31, "signup": 32,
+                                     "error": 33})
+    return ev.select(
+        F.col("user_id").alias("device"), lane.alias("lane"),
+        F.get_json_object("props", "$.k").cast("int").alias("pct"),
+        S.hour_of_day("ts").alias("dist"), S.weekday_monday0("ts").alias("occ"),
+        F.col("value").alias("traffic"), S.gapped("value").alias("speed"),
+        F.col("ts").alias("t"))
+
+
+STATION_SQL = """
+SELECT user_id AS Devices,
+       CASE event_type WHEN 'click' THEN 11 WHEN 'view' THEN 12 WHEN 'purchase' THEN 31
+                       WHEN 'signup' THEN 32 WHEN 'error' THEN 33 END AS Lane,
+       CAST(json_extract_string(props, '$.k') AS INTEGER) AS PercentageCar,
+       CAST(hour(ts) AS INTEGER) AS AverageDistance,
+       CAST(isodow(ts) - 1 AS INTEGER) AS TimeOccupy,
+       value AS Traffic, CASE WHEN value > 10 THEN value END AS Speed, ts AS Time
+FROM events"""
+
+
+@query("csv_scan_renamed", STATION_SQL)
+def csv_scan_renamed(spark, sf_dir):
+    path = C.write_csv(station_readings(spark, sf_dir), scratch_path(spark, "station-csv"))
+    return C.read_csv_renamed(spark, path, C.STATION_SCHEMA.names,
+                              [f.dataType for f in C.STATION_SCHEMA.fields])
+
+
+# S4 ------------------------------------------------------------------------------------
+@query("partitioned_sink", """
+SELECT event_type, COUNT(*) AS n_rows, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM events GROUP BY event_type""")
+def partitioned_sink(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    path = C.write_partitioned(ev, scratch_path(spark, "events-by-type"), ["event_type"])
+    back = C.read_partitioned(spark, path)
+    return back.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+# S5 ------------------------------------------------------------------------------------
+@query("partition_pruned_scan", """
+SELECT event_id, ts, user_id, value, props, event_type FROM events WHERE event_type = 'click'""")
+def partition_pruned_scan(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    path = C.write_partitioned(ev, scratch_path(spark, "events-by-type"), ["event_type"])
+    return C.read_one_partition(spark, path, "event_type", "click").select(
+        "event_id", "ts", "user_id", "value", "props", "event_type")
+
+
+# S6 ------------------------------------------------------------------------------------
+@query("csv_quote_all", """
+SELECT '"' || CAST(n_nationkey AS VARCHAR) || '","' || n_name || '","'
+       || CAST(n_regionkey AS VARCHAR) || '"' AS line
+FROM nation""")
+def csv_quote_all(spark, sf_dir):
+    path = C.write_csv(table(spark, sf_dir, "nation"), scratch_path(spark, "nation-quoted"),
+                       quote_all=True)
+    lines = spark.read.text(path).withColumnRenamed("value", "line")
+    return lines.where(~F.col("line").startswith('"n_nationkey"'))
+
+
+# S8 ------------------------------------------------------------------------------------
+@query("submission_table", """
+SELECT o_orderkey AS PassengerId, CAST(o_orderstatus = 'F' AS INTEGER) AS Survived FROM orders""")
+def submission_table(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("PassengerId"),
+                    (F.col("o_orderstatus") == "F").cast("int").alias("Survived"))
