@@ -1 +1,91 @@
-"""Catalogue section (filled in below)."""
+"""Feature building and imputation by statistics (2.9, SQL-checkable part)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import features as FE
+from tidemark.plans.catalog.relational import PRIORITIES
+from tidemark.plans.registry import query
+from tidemark.sources.tables import table
+
+
+# E1 ------------------------------------------------------------------------------------
+_oh_sql = ", ".join(
+    f"CAST(coalesce(o_orderpriority = '{p}', false) AS INTEGER) AS \"o_orderpriority_{p}\""
+    for p in PRIORITIES)
+
+
+@query("one_hot", f"SELECT o_orderkey, {_oh_sql} FROM orders")
+def one_hot(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    levels = FE.fit_levels(o, "o_orderpriority")
+    return FE.one_hot(o, "o_orderpriority", levels, drop_source=True)
+
+
+# E2 ------------------------------------------------------------------------------------
+@query("label_encode", """
+SELECT o_orderkey,
+       CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS DOUBLE) AS priority_code,
+       CAST(dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS DOUBLE) AS ticket_code
+FROM orders""")
+def label_encode(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderpriority", F.col("o_custkey").cast("string").alias("ticket"))
+    res = FE.label_encode(o, FE.fit_label_dictionary(o, "o_orderpriority"), "o_orderpriority",
+                          out="priority_code")
+    res = FE.label_encode(res, FE.fit_label_dictionary(o, "ticket"), "ticket",
+                          out="ticket_code")
+    return res.select("o_orderkey", "priority_code", "ticket_code")
+
+
+# E3 ------------------------------------------------------------------------------------
+@query("standardize", """
+WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd FROM orders)
+SELECT o_orderkey, round((o_totalprice - m) / (CASE WHEN sd > 0 THEN sd ELSE 1 END), 6)
+         AS o_totalprice_scaled
+FROM orders, s""")
+def standardize(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    stats = FE.fit_standard_scaler(o, ["o_totalprice"])
+    res = FE.standardize(o, stats)
+    return res.select("o_orderkey", F.round("o_totalprice_scaled", 6).alias("o_totalprice_scaled"))
+
+
+# E4 ------------------------------------------------------------------------------------
+_fd_sql = ", ".join(
+    f"CAST(o_orderpriority = '{p}' AS DOUBLE) AS \"C(o_orderpriority)[T.{p}]\""
+    for p in PRIORITIES[1:])
+
+
+@query("formula_design", f"""
+SELECT o_orderkey, 1.0 AS Intercept, {_fd_sql}, o_totalprice FROM orders
+WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL""")
+def formula_design(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    levels = {"o_orderpriority": FE.fit_levels(o, "o_orderpriority")}
+    return FE.formula_design(o, ["o_orderpriority"], ["o_totalprice"], levels,
+                             keep=["o_orderkey"])
+
+
+# E9 ------------------------------------------------------------------------------------
+GAP_PRICE = 100000.0
+
+
+@query("impute_group_stat", f"""
+WITH g AS (SELECT o_orderkey, o_orderpriority,
+                  CASE WHEN o_totalprice > {GAP_PRICE} THEN o_totalprice END AS price FROM orders),
+m AS (SELECT o_orderpriority, median(price) AS med, avg(price) AS mean FROM g GROUP BY 1)
+SELECT o_orderkey, round(coalesce(price, med), 6) AS price_median_filled,
+       round(coalesce(price, mean), 6) AS price_mean_filled
+FROM g JOIN m USING (o_orderpriority)""")
+def impute_group_stat(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    g = o.select("o_orderkey", "o_orderpriority",
+                 F.when(F.col("o_totalprice") > GAP_PRICE, F.col("o_totalprice")).alias("price"))
+    med = FE.fit_group_stat(g, "price", ["o_orderpriority"], "median")
+    mean = FE.fit_group_stat(g, "price", ["o_orderpriority"], "mean")
+    r = FE.impute_group_stat(g, "price", med, ["o_orderpriority"], out="price_median_filled")
+    r = FE.impute_group_stat(r, "price", mean, ["o_orderpriority"], out="price_mean_filled")
+    return r.select("o_orderkey", F.round("price_median_filled", 6).alias("price_median_filled"),
+                    F.round("price_mean_filled", 6).alias("price_mean_filled"))
