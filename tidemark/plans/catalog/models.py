@@ -1 +1,434 @@
-"""Catalogue section (filled in below)."""
+"""Model fits, selection and scoring (2.11 rows-only part; S7; E6-E8; K6 model form; K7).
+
+Random streams of the analysed libraries cannot be reproduced, so these queries are
+checked by properties in ``tests/`` (beats a trivial baseline on separable data, same
+seed -> same output, save/load -> same predictions) rather than against SQL. Forest and
+boosting sizes are parameters; the catalogue uses small ones so that every query runs in
+seconds at the test scale.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import functions as F
+
+from tidemark.functions import scalar as S
+from tidemark.operators import models as MD
+from tidemark.operators import series as SR
+from tidemark.operators import split as SP
+from tidemark.plans import stacking as ST
+from tidemark.plans import traffic as TR
+from tidemark.plans.catalog.scans import station_readings
+from tidemark.plans.registry import query
+from tidemark.session import scratch_path
+from tidemark.sources import csv as C
+from tidemark.sources.tables import table
+
+DOC_FEATURES = ["n_chars", "n_words", "n_lines", "digits", "uppers",
+                "lang_en", "lang_fr", "lang_de", "lang_es"]
+EVENT_FEATURES = ["hour", "dayofweek", "k", "lane"]
+N_TREES = 20
+K = 5
+SOLVER_ITERS = 25
+
+
+def doc_features(spark, sf_dir):
+    """Numeric features of every document (whole texts), one row per doc."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
+        F.size(F.split("text", r"\s+")).cast("double").alias("n_words"),
+        F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
+        F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("digits"),
+        F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("double").alias("uppers"),
+        *[(F.col("lang") == lg).cast("double").alias(f"lang_{lg}") for lg in ["en", "fr", "de", "es"]])
+
+
+def labelled_docs(spark, sf_dir):
+    """Labelled documents with features, a stratified 5-fold column and a 25 % test flag."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    j = doc_features(spark, sf_dir).join(lab, "doc_id", "inner")
+    j = SP.stratified_kfold(j, "doc_id", "label", K)
+    j = SP.stratified_split(j, "doc_id", "label", 0.25)
+    return MD.training_table(MD.assemble(j, DOC_FEATURES))
+
+
+def event_frame(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    lane = S.dict_map("event_type", {"click": 11, "view": 12, "purchase": 31, "signup": 32,
+                                     "error": 33}).cast("double")
+    return ev.select("event_id", "user_id", "event_type", "ts",
+                     F.hour("ts").cast("double").alias("hour"),
+                     F.weekday("ts").cast("double").alias("dayofweek"),
+                     F.get_json_object("props", "$.k").cast("double").alias("k"),
+                     lane.alias("lane"), F.col("value").alias("label"),
+                     S.gapped("value").alias("gv"))
+
+
+def _p1(col="probability"):
+    return vector_to_array(F.col(col))[1]
+
+
+def _scored(model, df, id_col="doc_id"):
+    out = model.transform(df)
+    cols = [id_col, "label", F.col("prediction").cast("double").alias("prediction")]
+    if "probability" in out.columns:
+        cols.append(_p1().alias("p1"))
+    return out.select(*cols)
+
+
+# P15 -----------------------------------------------------------------------------------
+@query("assemble_features")
+def assemble_features(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir)
+    return d.select("doc_id", "label", vector_to_array("features").alias("features"))
+
+
+# M1 ------------------------------------------------------------------------------------
+@query("rf_classifier")
+def rf_classifier(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir)
+    m = MD.rf_classifier(N_TREES, 5, "entropy").fit(d.where("is_test = 0"))
+    return _scored(m, d.where("is_test = 1"))
+
+
+# M2 ------------------------------------------------------------------------------------
+@query("rf_regressor")
+def rf_regressor(spark, sf_dir):
+    e = SP.train_test_split(MD.assemble(event_frame(spark, sf_dir), EVENT_FEATURES), "event_id", 0.25)
+    m = MD.rf_regressor(N_TREES, 8).fit(e.where("is_test = 0"))
+    return m.transform(e.where("is_test = 1")).select("event_id", "label", "prediction")
+
+
+# M3 ------------------------------------------------------------------------------------
+@query("decision_tree")
+def decision_tree(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir)
+    m = MD.decision_tree(5).fit(d.where("is_test = 0"))
+    return _scored(m, d.where("is_test = 1"))
+
+
+# M4 ------------------------------------------------------------------------------------
+def _scaled_docs(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir)
+    train = d.where("is_test = 0")
+    sm = MD.StandardScaler(inputCol="features", outputCol="scaled", withMean=True,
+                           withStd=True).fit(train)
+    return sm.transform(d)
+
+
+@query("logistic_l1")
+def logistic_l1(spark, sf_dir):
+    d = _scaled_docs(spark, sf_dir)
+    train = d.where("is_test = 0")
+    m = MD.logistic_l1(train.count(), 1.0, features="scaled", max_iter=SOLVER_ITERS).fit(train)
+    return _scored(m, d.where("is_test = 1"))
+
+
+# M5 ------------------------------------------------------------------------------------
+@query("ridge_cv")
+def ridge_cv(spark, sf_dir):
+    e = MD.assemble(event_frame(spark, sf_dir), EVENT_FEATURES)
+    e = MD.training_table(SP.stratified_kfold(e, "event_id", "event_type", 3))
+    n = e.count()
+    est = MD.ridge(n, 1.0)
+    grid = ParamGridBuilder().addGrid(est.regParam, [a / n for a in (0.1, 1.0, 10.0)]).build()
+    cvm, maps = MD.grid_search_cv(e, est, [grid], MD.EVALUATORS["rmse"](), "fold", 3)
+    return MD.param_table(spark, maps, cvm.avgMetrics, "rmse")
+
+
+# M7 ------------------------------------------------------------------------------------
+@query("gbt_regressor")
+def gbt_regressor(spark, sf_dir):
+    e = SP.train_test_split(MD.assemble(event_frame(spark, sf_dir), EVENT_FEATURES), "event_id", 0.25)
+    m = MD.gbt_regressor(max_iter=20, max_depth=3, step=0.1).fit(e.where("is_test = 0"))
+    return m.transform(e.where("is_test = 1")).select("event_id", "label", "prediction")
+
+
+# M8 ------------------------------------------------------------------------------------
+@query("gbt_classifier")
+def gbt_classifier(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir)
+    m = MD.gbt_classifier(max_iter=20, max_depth=5).fit(d.where("is_test = 0"))
+    return _scored(m, d.where("is_test = 1"))
+
+
+# M10 -----------------------------------------------------------------------------------
+@query("adaboost")
+def adaboost(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir)
+    m = MD.adaboost(d.where("is_test = 0"), rounds=10, learning_rate=0.75)
+    return m.transform(d.where("is_test = 1")).select("doc_id", "label", "prediction")
+
+
+# M11 -----------------------------------------------------------------------------------
+@query("extra_trees")
+def extra_trees(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir)
+    m = MD.extra_trees(d.where("is_test = 0"), n_trees=5, max_depth=8)
+    return m.transform(d.where("is_test = 1")).select("doc_id", "label", "prediction",
+                                                      "probability_1")
+
+
+# M12 -----------------------------------------------------------------------------------
+@query("linear_svc")
+def linear_svc(spark, sf_dir):
+    d = _scaled_docs(spark, sf_dir)
+    train = d.where("is_test = 0")
+    m = MD.linear_svc(train.count(), 0.025, features="scaled").fit(train)
+    return m.transform(d.where("is_test = 1")).select("doc_id", "label", "prediction")
+
+
+def embedding_frame(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    e = e.select("vec_id", array_to_vector("embedding").alias("features"),
+                 F.col("label").cast("double").alias("label"))
+    return MD.training_table(SP.stratified_split(e, "vec_id", "label", 0.25))
+
+
+@query("svc_multiclass")
+def svc_multiclass(spark, sf_dir):
+    e = embedding_frame(spark, sf_dir)
+    train = e.where("is_test = 0")
+    m = MD.svc_multiclass(train.count(), 1.0, max_iter=SOLVER_ITERS).fit(train)
+    return m.transform(e.where("is_test = 1")).select("vec_id", "label", "prediction")
+
+
+# M13 -----------------------------------------------------------------------------------
+@query("bagging_logistic")
+def bagging_logistic(spark, sf_dir):
+    d = _scaled_docs(spark, sf_dir)
+    train = d.where("is_test = 0")
+    n = train.count()
+    return MD.bagging(train, lambda: MD.logistic_l1(int(n * 0.8), 1.0, features="scaled"),
+                      "doc_id", d.where("is_test = 1"), n_models=5, vote="unanimous")
+
+
+# M9 ------------------------------------------------------------------------------------
+def _meta_estimator():
+    return MD.gbt_classifier(max_iter=20, max_depth=4, subsample=0.8, min_info_gain=0.0)
+
+
+def _bases():
+    return {
+        "rf": lambda: MD.rf_classifier(N_TREES, 6, "gini", feature_subset="sqrt", min_instances=2),
+        "gb": lambda: MD.gbt_classifier(max_iter=10, max_depth=5),
+        "dt": lambda: MD.decision_tree(4),
+    }
+
+
+@query("stack_meta_model")
+def stack_meta_model(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir)
+    tr, te = ST.meta_features(d.where("is_test = 0"), d.where("is_test = 1"), _bases(),
+                              "doc_id", "fold", K)
+    m = _meta_estimator().fit(MD.assemble(tr, list(_bases())))
+    return m.transform(MD.assemble(te, list(_bases()))).select("doc_id", "prediction",
+                                                               *_bases().keys())
+
+
+# M17 -----------------------------------------------------------------------------------
+@query("stacking")
+def stacking(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir)
+    return ST.stack(d.where("is_test = 0"), d.where("is_test = 1"), _bases(),
+                    _meta_estimator(), "doc_id", "fold", K)
+
+
+# K6 (model form) -----------------------------------------------------------------------
+@query("oof_model")
+def oof_model(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir)
+    oof, tst = MD.oof_predictions(d.where("is_test = 0"), d.where("is_test = 1"),
+                                  lambda: MD.decision_tree(4), "doc_id", "fold", K, out="oof")
+    return oof.withColumn("part", F.lit("train")).unionByName(tst.withColumn("part", F.lit("test")))
+
+
+# M18 -----------------------------------------------------------------------------------
+@query("grid_search_cv")
+def grid_search_cv(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir).where("is_test = 0")
+    est = MD.rf_classifier(10, 5)
+    g1 = ParamGridBuilder().addGrid(est.maxDepth, [3, 5]).addGrid(est.numTrees, [5, 10]).build()
+    g2 = ParamGridBuilder().addGrid(est.featureSubsetStrategy, ["1", "2", "3"]).build()
+    cvm, maps = MD.grid_search_cv(d, est, [g1, g2], MD.EVALUATORS["accuracy"](), "fold", K)
+    return MD.param_table(spark, maps, cvm.avgMetrics, "accuracy")
+
+
+# M19 -----------------------------------------------------------------------------------
+@query("grid_search_holdout")
+def grid_search_holdout(spark, sf_dir):
+    e = embedding_frame(spark, sf_dir)
+    n = e.count()
+    svc = MD.linear_svc(n, 1.0, max_iter=SOLVER_ITERS)
+    ovr = MD.OneVsRest(classifier=svc, parallelism=4)
+    grid = ParamGridBuilder().addGrid(svc.regParam, [1.0 / (c * n) for c in (0.1, 1.0, 10.0)]).build()
+    grid = [{ovr.classifier: svc.copy(pm)} for pm in grid]
+    m = MD.grid_search_holdout(e, ovr, grid, MD.EVALUATORS["accuracy"]())
+    rows = [(f"C={c}", float(v)) for c, v in zip((0.1, 1.0, 10.0), m.validationMetrics)]
+    return spark.createDataFrame(rows, "params string, accuracy double")
+
+
+# M20 -----------------------------------------------------------------------------------
+@query("cross_val_scores")
+def cross_val_scores(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir)
+    scores = MD.cross_val_scores(d, lambda: MD.decision_tree(4), MD.EVALUATORS["accuracy"](),
+                                 "fold", K)
+    df = spark.createDataFrame(scores, "fold int, score double")
+    return df.unionByName(df.agg(F.lit(-1).alias("fold"), F.avg("score").alias("score")))
+
+
+# M21 -----------------------------------------------------------------------------------
+@query("feature_importances")
+def feature_importances(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir).where("is_test = 0")
+    models = {
+        "rf": MD.rf_classifier(N_TREES, 5).fit(d),
+        "et": MD.extra_trees(d, n_trees=3, max_depth=6),
+        "ada": MD.adaboost(d, rounds=5),
+        "gb": MD.gbt_classifier(max_iter=10, max_depth=5).fit(d),
+    }
+    return MD.importance_table(spark, DOC_FEATURES, models)
+
+
+# M22 -----------------------------------------------------------------------------------
+@query("coefficient_table")
+def coefficient_table(spark, sf_dir):
+    d = _scaled_docs(spark, sf_dir).where("is_test = 0")
+    m = MD.logistic_l1(d.count(), 1.0, features="scaled").fit(d)
+    return MD.coefficient_table(spark, DOC_FEATURES, m)
+
+
+# M26 -----------------------------------------------------------------------------------
+@query("bad_case_report")
+def bad_case_report(spark, sf_dir):
+    d = _scaled_docs(spark, sf_dir)
+    train = d.where("is_test = 0")
+    m = MD.logistic_l1(train.count(), 1.0, features="scaled").fit(train)
+    wrong = m.transform(d.where("is_test = 1")).where(F.col("prediction") != F.col("label")) \
+             .select(F.col("doc_id").alias("bad_id"), F.col("prediction"))
+    src = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return src.join(wrong, src.doc_id == wrong.bad_id, "inner").drop("bad_id")
+
+
+# M27 -----------------------------------------------------------------------------------
+@query("batch_score")
+def batch_score(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir)
+    m = MD.decision_tree(5).fit(d)
+    every = MD.assemble(doc_features(spark, sf_dir), DOC_FEATURES)
+    return m.transform(every).select("doc_id", "prediction")
+
+
+# S7 ------------------------------------------------------------------------------------
+@query("model_save_load")
+def model_save_load(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir)
+    pipe = MD.Pipeline(stages=[MD.decision_tree(4)]).fit(d.where("is_test = 0"))
+    loaded = MD.save_load(pipe, scratch_path(spark, "model"))
+    test = d.where("is_test = 1")
+    a = pipe.transform(test).select("doc_id", F.col("prediction").alias("before"))
+    b = loaded.transform(test).select("doc_id", F.col("prediction").alias("after"))
+    return a.join(b, "doc_id")
+
+
+# E6 ------------------------------------------------------------------------------------
+def _gapped_design(spark, sf_dir):
+    return MD.training_table(MD.assemble(event_frame(spark, sf_dir), EVENT_FEATURES))
+
+
+@query("impute_forest")
+def impute_forest(spark, sf_dir):
+    e = _gapped_design(spark, sf_dir)
+    m = MD.rf_regressor(N_TREES, 8, label="gv").fit(e.where(F.col("gv").isNotNull()))
+    filled = m.transform(e.where(F.col("gv").isNull())).select(
+        "event_id", F.col("prediction").alias("gv_filled"))
+    known = e.where(F.col("gv").isNotNull()).select("event_id", F.col("gv").alias("gv_filled"))
+    return known.unionByName(filled)
+
+
+# E7 ------------------------------------------------------------------------------------
+@query("impute_ridge")
+def impute_ridge(spark, sf_dir):
+    from tidemark.operators import features as FE
+    e = event_frame(spark, sf_dir)
+    lanes = FE.fit_levels(e, "event_type")
+    e = FE.one_hot(e, "event_type", lanes, prefix="lane")
+    names = ["hour", "dayofweek", "k"] + [f"lane_{lv}" for lv in lanes]
+    e = MD.assemble(e, names)
+    known = e.where(F.col("gv").isNotNull())
+    m = MD.ridge(known.count(), 1.0, label="gv").fit(known)
+    pred = m.transform(e.where(F.col("gv").isNull())).select(
+        "event_id", F.abs("prediction").alias("gv_filled"))  # negatives flipped
+    return known.select("event_id", F.col("gv").alias("gv_filled")).unionByName(pred)
+
+
+# E8 ------------------------------------------------------------------------------------
+@query("impute_blend")
+def impute_blend(spark, sf_dir):
+    e = SP.stratified_kfold(_gapped_design(spark, sf_dir), "event_id", "event_type", 3)
+    known = e.where(F.col("gv").isNotNull())
+    n = known.count()
+    gbt = MD.gbt_regressor(max_iter=10, max_depth=3, step=0.1, label="gv")
+    g1 = ParamGridBuilder().addGrid(gbt.maxDepth, [2, 3]).build()
+    lr = MD.ridge(n, 1.0, label="gv")
+    g2 = ParamGridBuilder().addGrid(lr.regParam, [0.1 / n, 10.0 / n]).build()
+    ev = MD.RegressionEvaluator(labelCol="gv", metricName="rmse")
+    mg, _ = MD.grid_search_cv(known, gbt, [g1], ev, "fold", 3)
+    ml, _ = MD.grid_search_cv(known, lr, [g2], ev, "fold", 3)
+    miss = e.where(F.col("gv").isNull())
+    a = mg.transform(miss).select("event_id", F.col("prediction").alias("p_gbt"))
+    b = ml.transform(miss).select("event_id", F.col("prediction").alias("p_lin"))
+    blend = a.join(b, "event_id").select("event_id", S.row_mean("p_gbt", "p_lin").alias("gv_filled"))
+    return known.select("event_id", F.col("gv").alias("gv_filled")).unionByName(blend)
+
+
+# K7 ------------------------------------------------------------------------------------
+@query("bootstrap_sample")
+def bootstrap_sample(spark, sf_dir):
+    return SP.bootstrap_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"),
+                               0.8, seed=7)
+
+
+# M14 -----------------------------------------------------------------------------------
+AR_LAGS, AR_PERIOD, AR_HORIZON = 20, 200, 250
+
+
+def _ar_design(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    # One long series per lane, as in the analysed forecast (one device x lane series).
+    return TR.ar_design(ev, ["event_type"], ["ts", "event_id"], "value", AR_LAGS, AR_PERIOD)
+
+
+@query("ar_fit")
+def ar_fit(spark, sf_dir):
+    m, names = TR.ar_fit(_ar_design(spark, sf_dir), "value", AR_LAGS)
+    rows = [(n, float(c)) for n, c in zip(names, m.coefficients.toArray())]
+    rows.append(("(intercept)", float(m.intercept)))
+    return spark.createDataFrame(rows, "feature string, coef double")
+
+
+@query("ar_forecast")
+def ar_forecast(spark, sf_dir):
+    design = _ar_design(spark, sf_dir)
+    m, _ = TR.ar_fit(design, "value", AR_LAGS)
+    return TR.ar_forecast(design, m, ["event_type"], "value", AR_LAGS, AR_PERIOD, AR_HORIZON)
+
+
+# M16 -----------------------------------------------------------------------------------
+STATION_FEATURES = ["pct", "dist", "occ", "speed", "hour", "dayofweek"]
+
+
+@query("predict_direction")
+def predict_direction(spark, sf_dir):
+    r = station_readings(spark, sf_dir, with_id=True)
+    prepared = TR.prepare_readings(r, ["device", "lane"], "t", "seq", ["speed"])
+    data = MD.assemble(prepared, STATION_FEATURES).withColumnRenamed("traffic", "label")
+    train = SP.train_test_split(data, "seq", 0.25).where("is_test = 0")
+    model = MD.rf_regressor(N_TREES, 8).fit(train)
+    out = TR.score_directions(model, data, "device", "lane", "t")
+    path = C.write_csv(out, scratch_path(spark, "jtresult"))
+    return C.read_csv(spark, path, "Jtstation string, direction string, "
+                                   "predictedValue double, time timestamp_ntz")

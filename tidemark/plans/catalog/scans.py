@@ -43,8 +43,9 @@ def csv_sink_roundtrip(spark, sf_dir):
 
 
 # S2 ------------------------------------------------------------------------------------
-def station_readings(spark, sf_dir):
-    """Station-shaped rows from ``events`` (string lane mapped to an int code)."""
+def station_readings(spark, sf_dir, with_id: bool = False):
+    """Station-shaped rows from ``events`` (string lane mapped to an int code); with
+    ``with_id`` the event id is kept as ``seq`` (a unique tie-break within a series)."""
     ev = table(spark, sf_dir, "events")
     lane = S.dict_map("event_type", {"click": 11, "view": 12, "purchase": 31, "signup": 32,
                                      "error": 33})
@@ -53,7 +54,7 @@ def station_readings(spark, sf_dir):
         F.get_json_object("props", "$.k").cast("int").alias("pct"),
         S.hour_of_day("ts").alias("dist"), S.weekday_monday0("ts").alias("occ"),
         F.col("value").alias("traffic"), S.gapped("value").alias("speed"),
-        F.col("ts").alias("t"))
+        F.col("ts").alias("t"), *([F.col("event_id").alias("seq")] if with_id else []))
 
 
 STATION_SQL = """
