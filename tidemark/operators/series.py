@@ -61,9 +61,15 @@ def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     executor never re-runs the range shuffle.
     """
     keys, order = _cols(keys), _cols(order)
-    n = _partitions(df, partitions)
     ensure_checkpoint_dir(df.sparkSession)
-    tagged = df.repartitionByRange(n, *keys, *order).withColumn(SEG, F.spark_partition_id())
+    if partitions:
+        ranged = df.repartitionByRange(int(partitions), *keys, *order)
+    else:
+        # No explicit count: AQE may merge adjacent ranges to its advisory partition size,
+        # so the number of segments follows the data volume. Merged ranges are still
+        # contiguous in (keys, order), which is all a segment needs.
+        ranged = df.repartitionByRange(*keys, *order)
+    tagged = ranged.withColumn(SEG, F.spark_partition_id())
     return tagged.checkpoint(eager=True)
 
 
@@ -161,87 +167,72 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return res.drop(SEG)
 
 
-def _with_history(df: DataFrame, keys, order, col: str, depth: int,
+def _with_context(df: DataFrame, keys, order, col: str, before: int, after: int,
                   partitions: int | None):
-    """Segment-local frame plus ``_pre``: the last ``depth`` values of ``col`` that precede
-    each segment in its series (across any number of earlier segments), oldest first.
+    """Segment-local frame plus the values of ``col`` just outside each segment:
+
+    * ``_pre``: the last ``before`` values preceding the segment in its series (oldest
+      first), gathered across any number of earlier segments;
+    * ``_post``: the first ``after`` values following it (nearest first).
 
-    Returns (frame, local window). Nulls inside the history are kept in place, because
-    positions matter for lags.
+    Every segment has at least one row, so the ``before`` preceding (``after`` following)
+    segments always suffice. Nulls are kept in place: positions matter for lags. Returns
+    (frame, local window); the frame has ``_lpos`` / ``_rpos`` (0-based position from the
+    segment start / end).
     """
     s = segmented(df, keys, order, partitions)
     wl = _local_window(keys, order)
+    wr = Window_partition([SEG, *keys]).orderBy(*[F.col(o).desc() for o in order])
     local = (s.withColumn("_lpos", F.row_number().over(wl) - 1)
-              .withColumn("_rpos", F.row_number().over(
-                  Window_partition([SEG, *keys]).orderBy(*[F.col(o).desc() for o in order])) - 1))
-    tail = (local.where(F.col("_rpos") < depth)
-                 .groupBy(SEG, *keys)
-                 .agg(F.sort_array(F.collect_list(F.struct(
-                      F.col("_lpos").alias("p"), F.col(col).alias("v")))).alias("_tail")))
-    # Every segment has >= 1 row, so the `depth` preceding segments always suffice.
-    prev = _across_segments(keys).rowsBetween(-depth, -1)
-    hist = F.flatten(F.collect_list("_tail").over(prev))
-    start = F.greatest(F.size(hist) - depth + 1, F.lit(1))
-    summ = tail.select(SEG, *keys, F.transform(F.slice(hist, start, depth),
-                                                lambda x: x["v"]).alias("_pre"))
-    return _join_back(local, summ, keys), wl
+              .withColumn("_rpos", F.row_number().over(wr) - 1))
+    item = F.struct(F.col("_lpos").alias("p"), F.col(col).alias("v"))
+    aggs = []
+    if before:
+        aggs.append(F.sort_array(F.collect_list(F.when(F.col("_rpos") < before, item)))
+                    .alias("_tail"))
+    if after:
+        aggs.append(F.sort_array(F.collect_list(F.when(F.col("_lpos") < after, item)))
+                    .alias("_head"))
+    edge = (F.col("_rpos") < before) | (F.col("_lpos") < after)
+    summ = local.where(edge).groupBy(SEG, *keys).agg(*aggs)
+    sel = [F.col(SEG), *[F.col(k) for k in keys]]
+    if before:
+        hist = F.flatten(F.collect_list("_tail").over(
+            _across_segments(keys).rowsBetween(-before, -1)))
+        start = F.greatest(F.size(hist) - before + 1, F.lit(1))
+        sel.append(F.transform(F.slice(hist, start, before), lambda x: x["v"]).alias("_pre"))
+    if after:
+        fut = F.flatten(F.collect_list("_head").over(
+            _across_segments(keys).rowsBetween(1, after)))
+        sel.append(F.transform(F.slice(fut, 1, after), lambda x: x["v"]).alias("_post"))
+    return _join_back(local, summ.select(*sel), keys), wl
 
 
 def lag_features(df: DataFrame, keys, order, col: str, lags: int = 20,
                  leads: int = 0, prefix: str | None = None,
                  partitions: int | None = None) -> DataFrame:
-    """``lag_1..lag_n`` (previous values) and ``lead_1..lead_m`` (next values) of ``col``.
-
-    Exact equivalents of ``lag(col, i)`` / ``lead(col, i)`` over the whole series.
-    Leads are computed as lags of the reversed order.
-    """
+    """``{prefix}_lag_1..lags`` (previous values) and ``{prefix}_lead_1..leads`` (next
+    values) of ``col``: exact equivalents of ``lag(col, i)`` / ``lead(col, i)`` over the
+    whole series, from one segmentation."""
     keys, order = _cols(keys), _cols(order)
     prefix = prefix or col
-    res = df
+    frame, wl = _with_context(df, keys, order, col, lags, leads, partitions)
+    new = {}
     if lags:
-        res = _shifted(res, keys, order, col, lags, f"{prefix}_lag_", reverse=False,
-                       partitions=partitions)
+        m = F.size("_pre")
+        for i in range(1, lags + 1):
+            idx = (m - F.lit(i) + F.col("_lpos") + 1).cast("int")
+            outside = F.when(idx >= 1, F.try_element_at("_pre", idx))
+            new[f"{prefix}_lag_{i}"] = F.when(F.col("_lpos") >= i,
+                                              F.lag(col, i).over(wl)).otherwise(outside)
     if leads:
-        res = _shifted(res, keys, order, col, leads, f"{prefix}_lead_", reverse=True,
-                       partitions=partitions)
-    return res
-
-
-def _shifted(df, keys, order, col, depth, name, reverse, partitions):
-    if reverse:
-        frame, wl = _with_history_desc(df, keys, order, col, depth, partitions)
-    else:
-        frame, wl = _with_history(df, keys, order, col, depth, partitions)
-    m = F.size("_pre")
-    for i in range(1, depth + 1):
-        idx = m - F.lit(i) + F.col("_lpos") + 1
-        from_pre = F.when(idx >= 1, F.try_element_at("_pre", idx.cast("int")))
-        frame = frame.withColumn(f"{name}{i}", F.when(F.col("_lpos") >= i,
-                                                      F.lag(col, i).over(wl)).otherwise(from_pre))
-    return frame.drop("_pre", "_lpos", "_rpos", SEG)
-
-
-def _with_history_desc(df, keys, order, col, depth, partitions):
-    """Like ``_with_history`` but for the reversed series order (used for leads)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    s = df.repartitionByRange(_partitions(df, partitions), *keys,
-                              *[F.col(o).desc() for o in order]).withColumn(
-        SEG, F.spark_partition_id()).checkpoint(eager=True)
-    desc = [F.col(o).desc() for o in order]
-    wl = Window_partition([SEG, *keys]).orderBy(*desc)
-    local = (s.withColumn("_lpos", F.row_number().over(wl) - 1)
-              .withColumn("_rpos", F.row_number().over(
-                  Window_partition([SEG, *keys]).orderBy(*order)) - 1))
-    tail = (local.where(F.col("_rpos") < depth)
-                 .groupBy(SEG, *keys)
-                 .agg(F.sort_array(F.collect_list(F.struct(
-                      F.col("_lpos").alias("p"), F.col(col).alias("v")))).alias("_tail")))
-    prev = _across_segments(keys).rowsBetween(-depth, -1)
-    hist = F.flatten(F.collect_list("_tail").over(prev))
-    start = F.greatest(F.size(hist) - depth + 1, F.lit(1))
-    summ = tail.select(SEG, *keys, F.transform(F.slice(hist, start, depth),
-                                                lambda x: x["v"]).alias("_pre"))
-    return _join_back(local, summ, keys), wl
+        for i in range(1, leads + 1):
+            idx = (F.lit(i) - F.col("_rpos")).cast("int")
+            outside = F.try_element_at("_post", idx)
+            new[f"{prefix}_lead_{i}"] = F.when(F.col("_rpos") >= i,
+                                               F.lead(col, i).over(wl)).otherwise(outside)
+    out = frame.withColumns(new)
+    return out.drop(*[c for c in ("_pre", "_post", "_lpos", "_rpos", SEG) if c in out.columns])
 
 
 def sliding_window(df: DataFrame, keys, order, col: str, size: int = 30,
@@ -254,7 +245,7 @@ def sliding_window(df: DataFrame, keys, order, col: str, size: int = 30,
     """
     keys, order = _cols(keys), _cols(order)
     depth = size - 1
-    frame, wl = _with_history(df, keys, order, col, depth, partitions)
+    frame, wl = _with_context(df, keys, order, col, depth, 0, partitions)
     local_vals = F.transform(
         F.collect_list(F.struct(F.col(col).alias("v"))).over(wl.rowsBetween(-depth, 0)),
         lambda x: x["v"])
