@@ -432,3 +432,16 @@ def predict_direction(spark, sf_dir):
     path = C.write_csv(out, scratch_path(spark, "jtresult"))
     return C.read_csv(spark, path, "Jtstation string, direction string, "
                                    "predictedValue double, time timestamp_ntz")
+
+
+# M15/M16 as the station workflow: load per device, fit per device, per-lane report -----
+@query("lane_model_metrics")
+def lane_model_metrics(spark, sf_dir):
+    # A mixed station file (all devices), written with its own header names; the reader
+    # replaces them by the station schema.
+    path = C.write_csv(station_readings(spark, sf_dir), scratch_path(spark, "stations-mixed"))
+    devices, readings = TR.load_data(spark, path, scratch_path(spark, "stations-by-device"))
+    first = devices.agg(F.min("Devices")).first()[0]
+    _, metrics = TR.build_one_device(readings, first, num_trees=N_TREES)
+    return metrics
+

@@ -117,3 +117,16 @@ def submission_table(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("PassengerId"),
                     (F.col("o_orderstatus") == "F").cast("int").alias("Survived"))
+
+
+# S5 (foreign files: the device id is only in the file path) -----------------------------
+@query("device_from_path", """
+SELECT event_id, user_id AS device, value FROM events""")
+def device_from_path(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    path = C.write_partitioned(ev, scratch_path(spark, "events-by-device"), ["user_id"],
+                               fmt="csv")
+    # Read the files as plain CSV without partition discovery: the id comes from the path.
+    raw = C.read_csv(spark, path, "event_id long, value double", recursiveFileLookup=True)
+    device = C.source_file_key(r"user_id=([0-9]+)/").cast("long")
+    return raw.select("event_id", device.alias("device"), "value")

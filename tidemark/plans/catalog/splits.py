@@ -106,3 +106,19 @@ SELECT event_id, event_type, fold, round(oof_pred, 6) AS oof_pred FROM p""")
 def oof_group_mean(spark, sf_dir):
     p = oof_group_mean_frame(spark, sf_dir)
     return p.select("event_id", "event_type", "fold", F.round("oof_pred", 6).alias("oof_pred"))
+
+
+# K4 (repeated) --------------------------------------------------------------------------
+N_SPLITS = 10
+_sss_sql = "\nUNION ALL\n".join(
+    f"""SELECT {s} AS split, o_orderkey, o_orderstatus,
+       CAST(row_number() OVER (PARTITION BY o_orderstatus
+            ORDER BY md5('split{s}:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1
+            < ceil(COUNT(*) OVER (PARTITION BY o_orderstatus) * 0.2) AS INTEGER) AS is_test
+FROM orders""" for s in range(N_SPLITS))
+
+
+@query("stratified_shuffle_split", _sss_sql)
+def stratified_shuffle_split(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return SP.stratified_shuffle_splits(o, "o_orderkey", "o_orderstatus", N_SPLITS, 0.2)

@@ -106,3 +106,57 @@ def ar_forecast(design: DataFrame, model, keys: Sequence[str], value: str, lags:
                                              step)["out"])
     return res.select(*keys, F.posexplode("_fc").alias("_i", "forecast")).select(
         *keys, (F.col("_i") + 1).alias("step"), "forecast")
+
+
+# --- the station workflow as functions ------------------------------------------------------
+STATION_FEATURES = ["PercentageCar", "AverageDistance", "TimeOccupy", "Speed", "hour",
+                    "dayofweek"]
+
+
+def load_data(spark, csv_path: str, out_path: str):
+    """Read a mixed station file (header replaced by the station schema), write one
+    directory per device in a single job, and return (devices, readings).
+
+    ``devices`` is a DataFrame of the distinct device ids (not a collected list).
+    """
+    from tidemark.sources import csv as C
+    readings = C.read_csv(spark, csv_path, C.STATION_SCHEMA)
+    C.write_partitioned(readings, out_path, ["Devices"])
+    back = C.read_partitioned(spark, out_path)
+    return back.select("Devices").distinct(), back
+
+
+def _station_design(readings: DataFrame) -> DataFrame:
+    """Fill each (device, lane) series, add calendar parts and assemble the features.
+
+    Station rows carry no id and (time, lane) may repeat within a device, so a hash of
+    the whole row (deterministic, recomputed identically on retry) breaks ties in series
+    order and identifies the row for splitting.
+    """
+    keyed = readings.withColumn("_row", F.xxhash64(*readings.columns))
+    prepared = prepare_readings(keyed, ["Devices", "Lane"], "Time", "_row", ["Speed"])
+    return MD.assemble(prepared, STATION_FEATURES + ["Lane"]).withColumnRenamed("Traffic",
+                                                                                 "label")
+
+
+def build_model(readings: DataFrame, num_trees: int = 30, seed: int = 0):
+    """One forest for the whole fleet; the lane is a feature of every row."""
+    return MD.rf_regressor(num_trees, 10, seed).fit(_station_design(readings))
+
+
+def build_one_device(readings: DataFrame, device: int, num_trees: int = 30,
+                     test_fraction: float = 0.25, seed: int = 0):
+    """Fit on one device's readings and report MSE / MAE / R^2 per lane on a held-out
+    ``test_fraction`` (the per-lane report of the analysed trainer)."""
+    from tidemark.operators import evaluate as EV
+    from tidemark.operators import split as SP
+    data = _station_design(readings.where(F.col("Devices") == F.lit(device)))
+    data = SP.train_test_split(data, "_row", test_fraction)
+    model = MD.rf_regressor(num_trees, 10, seed).fit(data.where("is_test = 0"))
+    scored = model.transform(data.where("is_test = 1"))
+    return model, EV.regression_metrics(scored, "label", "prediction", ["Lane"])
+
+
+def model_predict(model, readings: DataFrame) -> DataFrame:
+    """Score readings with a fleet model and roll the lanes up to the two directions."""
+    return score_directions(model, _station_design(readings), "Devices", "Lane", "Time")
