@@ -71,3 +71,16 @@ def test_schema_report_and_shared_flag(spark):
     assert rep == {"k": ("bigint", 3), "s": ("string", 2)}
     fl = sorted((r.s, r.shared) for r in TB.shared_key_flag(df, "k").collect() if r.s)
     assert fl == [("a", 1), ("b", 1)]
+
+
+def test_quantiles_with_a_dominant_value(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([np.full(200, 7.0), rng.integers(0, 20, size=400).astype(float)])
+    g = np.where(rng.random(600) < 0.8, "hot", "cold")
+    df = spark.createDataFrame([(str(a), float(b)) for a, b in zip(g, v)], "g string, v double")
+    got = {r.g: r for r in TB.group_quantiles(df, "v", [0.1, 0.5, 0.9], ["g"],
+                                              partitions=5).collect()}
+    for key in ["hot", "cold"]:
+        vals = v[g == key]
+        for p, nm in [(0.1, "q10"), (0.5, "q50"), (0.9, "q90")]:
+            assert np.isclose(got[key][nm], np.percentile(vals, p * 100))

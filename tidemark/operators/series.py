@@ -120,6 +120,28 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                .drop("_off", "_lpos", SEG))
 
 
+def with_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                       weight: str, out: str = "before", total: str | None = None,
+                       partitions: int | None = None) -> DataFrame:
+    """Sum of ``weight`` over the rows *before* each row in its series (exclusive prefix
+    sum), skew-safe; ``total`` optionally names a column with the series total.
+
+    ``with_position`` is the special case ``weight = 1``.
+    """
+    keys, order = _cols(keys), _cols(order)
+    s = segmented(df, keys, order, partitions)
+    upto = _local_window(keys, order).rowsBetween(W.unboundedPreceding, -1)
+    local = s.withColumn("_lsum", F.coalesce(F.sum(weight).over(upto), F.lit(0)))
+    sums = s.groupBy(SEG, *keys).agg(F.sum(weight).alias("_w"))
+    before = _across_segments(keys).rowsBetween(W.unboundedPreceding, -1)
+    whole = _across_segments(keys).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    extra = [F.sum("_w").over(whole).alias(total)] if total else []
+    sums = sums.select(SEG, *keys, F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_off"),
+                       *extra)
+    res = _join_back(local, sums, keys)
+    return res.withColumn(out, F.col("_off") + F.col("_lsum")).drop("_off", "_lsum", SEG)
+
+
 def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str],
               cols: Sequence[str], backward: bool = True,
               suffix: str = "", partitions: int | None = None) -> DataFrame:

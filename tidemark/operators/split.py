@@ -80,17 +80,20 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_fraction: floa
 
 def stratified_shuffle_splits(df: DataFrame, id_col: str, label: str, n_splits: int = 10,
                               test_fraction: float = 0.2, out: str = "is_test") -> DataFrame:
-    """``n_splits`` independent stratified splits, one salt each, as a long table
-    (split, id, is_test) -- usable as explicit folds."""
-    parts = []
-    for s in range(n_splits):
-        p = stratified_split(df.select(id_col, label), id_col, label, test_fraction,
-                             salt=f"split{s}:", out=out)
-        parts.append(p.withColumn("split", F.lit(s)))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    """``n_splits`` independent stratified splits as one long table (split, id, label,
+    is_test), usable as explicit folds.
+
+    One pass: every row is repeated once per split (a bounded factor), split ``s`` orders
+    rows by ``md5('split<s>:' || id)``, and (split, class) is the series key of a single
+    skew-safe numbering -- instead of one job per split.
+    """
+    rep = df.select(id_col, label, F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
+                    .alias("split"))
+    rep = rep.withColumn("_h", F.md5(F.concat(F.lit("split"), F.col("split").cast("string"),
+                                              F.lit(":"), F.col(id_col).cast("string"))))
+    r = SR.with_position(rep, ["split", label], ["_h", id_col], out="_pos", total="_n")
+    flag = (F.col("_pos") < F.ceil(F.col("_n") * F.lit(test_fraction))).cast("int")
+    return r.withColumn(out, flag).select("split", id_col, label, out)
 
 
 # K5 ------------------------------------------------------------------------------------

@@ -131,29 +131,32 @@ def group_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     partitions: int | None = None) -> DataFrame:
     """Exact ``percentile_cont`` of ``value`` per group (nulls dropped).
 
-    Position of each value in its sorted group comes from the skew-safe range layout;
-    only the 1-2 rows around each wanted position survive the filter.
+    1. Count every distinct (group, value) -- a partial aggregate, so heavy ties (one
+       value holding a third of the rows) collapse to one row before any shuffle.
+    2. A skew-safe running total over the distinct values in order gives each value its
+       rank interval ``[before, before + count)`` and the group size ``n``.
+    3. Only the values whose interval holds rank ``floor(p(n-1))`` or ``ceil(p(n-1))``
+       survive a filter; interpolation between them is the answer.
     """
     groups = _cols(groups)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    d = df.where(F.col(value).isNotNull()).select(*groups, value)
-    r = SR.with_position(d, groups, [value], out="_pos", total="_n", partitions=partitions)
-    n1 = F.col("_n") - 1
-    wanted = []
+    counted = (df.where(F.col(value).isNotNull()).groupBy(*groups, value)
+                 .agg(F.count(F.lit(1)).alias("_c")))
+    r = SR.with_running_total(counted, groups, [value], "_c", out="_b", total="_n",
+                              partitions=partitions)
+    holds = lambda rank: (F.col("_b") <= rank) & (rank < F.col("_b") + F.col("_c"))
     parts = []
     for p, nm in zip(probs, names):
-        pos = n1 * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        wanted += [F.col("_pos") == lo, F.col("_pos") == hi]
-        parts.append((nm, pos, lo, hi))
-    picked = r.where(reduce(lambda a, b: a | b, wanted))
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        parts.append((nm, p, F.floor(pos), F.ceil(pos)))
+    picked = r.where(reduce(lambda a, b: a | b, [holds(lo) | holds(hi) for _, _, lo, hi in parts]))
     aggs = [F.first("_n").alias("_n")]
-    for nm, pos, lo, hi in parts:
-        aggs.append(F.max(F.when(F.col("_pos") == lo, F.col(value))).alias(f"_lo_{nm}"))
-        aggs.append(F.max(F.when(F.col("_pos") == hi, F.col(value))).alias(f"_hi_{nm}"))
+    for nm, _, lo, hi in parts:
+        aggs.append(F.max(F.when(holds(lo), F.col(value))).alias(f"_lo_{nm}"))
+        aggs.append(F.max(F.when(holds(hi), F.col(value))).alias(f"_hi_{nm}"))
     agg = picked.groupBy(*groups).agg(*aggs)
     out = [F.col(g) for g in groups]
-    for nm, p in zip(names, probs):
+    for nm, p, _, _ in parts:
         pos = (F.col("_n") - 1) * F.lit(float(p))
         frac = pos - F.floor(pos)
         lo_v, hi_v = F.col(f"_lo_{nm}").cast("double"), F.col(f"_hi_{nm}").cast("double")
@@ -189,12 +192,17 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     """
     cols = _cols(columns) or [f.name for f in df.schema.fields
                               if isinstance(f.dataType, NUMERIC)]
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "column", "value")
-    basic = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    # Moments in one pass over the wide table, then one row per column.
+    stats = wide.agg(*[a for c in cols for a in (
+        F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"),
+        F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))])
+    basic = stats.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.col(f"n_{c}").alias("count"), F.col(f"m_{c}").alias("mean"),
+        F.col(f"s_{c}").alias("std"), F.col(f"lo_{c}").alias("min"),
+        F.col(f"hi_{c}").alias("max")) for c in cols])).alias("r")).select("r.*")
+    # Quantiles need the values per column: unpivot, then distinct-value running counts.
+    long = wide.unpivot([], cols, "column", "value")
     qs = group_quantiles(long, "value", [0.25, 0.5, 0.75], ["column"], ["q25", "q50", "q75"])
     res = basic.join(qs, "column", "left")
     return res.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")

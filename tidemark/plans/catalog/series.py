@@ -20,9 +20,9 @@ WIN = "PARTITION BY user_id, event_type ORDER BY ts, event_id"
 
 
 def gapped_events(spark, sf_dir):
+    """Series columns plus the gapped value (the raw value is not carried along)."""
     ev = table(spark, sf_dir, "events")
-    return ev.select("event_id", "ts", "user_id", "event_type", "value",
-                     S.gapped("value").alias("gv"))
+    return ev.select("event_id", "ts", "user_id", "event_type", S.gapped("value").alias("gv"))
 
 
 # W1 ------------------------------------------------------------------------------------
@@ -91,7 +91,7 @@ SELECT event_id, user_id, event_type, gv,
 {_lag_sql}
 FROM g""")
 def lag_features(spark, sf_dir):
-    ev = gapped_events(spark, sf_dir).drop("value")
+    ev = gapped_events(spark, sf_dir)
     res = SR.lag_features(ev, KEYS, ORDER, "gv", lags=N_LAGS, leads=N_LEADS)
     cols = (["event_id", "user_id", "event_type", "gv"]
             + [f"gv_lag_{i}" for i in range(1, N_LAGS + 1)]
