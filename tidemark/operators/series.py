@@ -12,7 +12,8 @@ operation runs in two phases instead:
    ranges of similar size; a hot series simply spans many ranges. The range index
    (``spark_partition_id``) tags each row: the pair (range, keys) is a *segment*, whose
    size is bounded by the range size whatever the skew.
-2. Window functions run per segment (``partitionBy(_seg, *keys)``); a per-segment summary
+2. Window functions run per segment (``partitionBy(_seg, _sk)``, ``_sk`` = the keys packed
+   in one struct); a per-segment summary
    (row count, last/first non-null value, last ``L`` values) has one row per segment.
    Carrying the summary across the earlier/later segments of the same series is a window
    over that small table (at most ``n`` rows per series). The carried values are joined
@@ -33,6 +34,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tidemark.session import ensure_checkpoint_dir
 
 SEG = "_seg"
+KEY = "_sk"
+
+
+def _pack(keys) -> "F.Column":
+    """All series keys as one struct column. Struct equality treats null fields as equal,
+    so a plain equi-join on it is null-safe, and windows and joins on (SEG, KEY) share
+    one hash partitioning (a ``<=>`` join on the raw keys would compile to coalesce/isnull
+    expressions and force the big side through another shuffle)."""
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
 
 
 def _cols(cs) -> list[str]:
@@ -69,12 +79,12 @@ def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         # so the number of segments follows the data volume. Merged ranges are still
         # contiguous in (keys, order), which is all a segment needs.
         ranged = df.repartitionByRange(*keys, *order)
-    tagged = ranged.withColumn(SEG, F.spark_partition_id())
+    tagged = ranged.withColumns({SEG: F.spark_partition_id(), KEY: _pack(keys)})
     return tagged.checkpoint(eager=True)
 
 
 def _local_window(keys, order):
-    return Window_partition([SEG, *keys]).orderBy(*order)
+    return Window_partition([SEG, KEY]).orderBy(*order)
 
 
 def Window_partition(cols):
@@ -83,18 +93,12 @@ def Window_partition(cols):
 
 def _across_segments(keys):
     """Window over the per-segment summary of one series, in segment order."""
-    w = W.partitionBy(*keys) if keys else W.partitionBy()
-    return w.orderBy(SEG)
+    return W.partitionBy(KEY).orderBy(SEG)
 
 
 def _join_back(big: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach per-segment carried values; null-safe on the series keys."""
-    on = [SEG, *keys]
-    renamed = summary.select(*[F.col(c).alias(f"_r{c}") for c in on],
-                             *[c for c in summary.columns if c not in on])
-    cond = [big[c].eqNullSafe(renamed[f"_r{c}"]) for c in on]
-    out = big.join(renamed, cond, "inner")
-    return out.drop(*[f"_r{c}" for c in on])
+    """Attach per-segment carried values: equi-join on (SEG, KEY)."""
+    return big.join(summary, [SEG, KEY], "inner")
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -108,16 +112,16 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     keys, order = _cols(keys), _cols(order)
     s = segmented(df, keys, order, partitions)
     local = s.withColumn("_lpos", F.row_number().over(_local_window(keys, order)) - 1)
-    counts = s.groupBy(SEG, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = s.groupBy(SEG, KEY).agg(F.count(F.lit(1)).alias("_n"))
     before = _across_segments(keys).rowsBetween(W.unboundedPreceding, -1)
     whole = _across_segments(keys).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     extra = [F.sum("_n").over(whole).alias(total)] if total else []
-    counts = counts.select(SEG, *keys,
+    counts = counts.select(SEG, KEY,
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
                            *extra)
     res = _join_back(local, counts, keys)
     return (res.withColumn(out, (F.col("_off") + F.col("_lpos")).cast("long"))
-               .drop("_off", "_lpos", SEG))
+               .drop("_off", "_lpos", SEG, KEY))
 
 
 def with_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -132,14 +136,14 @@ def with_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     s = segmented(df, keys, order, partitions)
     upto = _local_window(keys, order).rowsBetween(W.unboundedPreceding, -1)
     local = s.withColumn("_lsum", F.coalesce(F.sum(weight).over(upto), F.lit(0)))
-    sums = s.groupBy(SEG, *keys).agg(F.sum(weight).alias("_w"))
+    sums = s.groupBy(SEG, KEY).agg(F.sum(weight).alias("_w"))
     before = _across_segments(keys).rowsBetween(W.unboundedPreceding, -1)
     whole = _across_segments(keys).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     extra = [F.sum("_w").over(whole).alias(total)] if total else []
-    sums = sums.select(SEG, *keys, F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_off"),
+    sums = sums.select(SEG, KEY, F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_off"),
                        *extra)
     res = _join_back(local, sums, keys)
-    return res.withColumn(out, F.col("_off") + F.col("_lsum")).drop("_off", "_lsum", SEG)
+    return res.withColumn(out, F.col("_off") + F.col("_lsum")).drop("_off", "_lsum", SEG, KEY)
 
 
 def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -169,11 +173,10 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         aggs.append(F.max_by(F.col(c), F.when(has, okey)).alias(f"_last_{c}"))
         if backward:
             aggs.append(F.min_by(F.col(c), F.when(has, okey)).alias(f"_first_{c}"))
-    summ = s.groupBy(SEG, *keys).agg(*aggs)
+    summ = s.groupBy(SEG, KEY).agg(*aggs)
     prev = _across_segments(keys).rowsBetween(W.unboundedPreceding, -1)
     nxt = _across_segments(keys).rowsBetween(1, W.unboundedFollowing)
-    carried = [SEG, *keys]
-    sel = [F.col(c) for c in carried]
+    sel = [F.col(SEG), F.col(KEY)]
     for c in cols:
         sel.append(F.last(f"_last_{c}", ignorenulls=True).over(prev).alias(f"_cf_{c}"))
         if backward:
@@ -186,7 +189,7 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             parts += [F.col(f"_bf_{c}"), F.col(f"_cb_{c}")]
         res = res.withColumn(c + suffix, F.coalesce(*parts))
         res = res.drop(f"_ff_{c}", f"_cf_{c}", f"_bf_{c}", f"_cb_{c}")
-    return res.drop(SEG)
+    return res.drop(SEG, KEY)
 
 
 def _with_context(df: DataFrame, keys, order, col: str, before: int, after: int,
@@ -204,7 +207,7 @@ def _with_context(df: DataFrame, keys, order, col: str, before: int, after: int,
     """
     s = segmented(df, keys, order, partitions)
     wl = _local_window(keys, order)
-    wr = Window_partition([SEG, *keys]).orderBy(*[F.col(o).desc() for o in order])
+    wr = Window_partition([SEG, KEY]).orderBy(*[F.col(o).desc() for o in order])
     local = (s.withColumn("_lpos", F.row_number().over(wl) - 1)
               .withColumn("_rpos", F.row_number().over(wr) - 1))
     item = F.struct(F.col("_lpos").alias("p"), F.col(col).alias("v"))
@@ -216,8 +219,8 @@ def _with_context(df: DataFrame, keys, order, col: str, before: int, after: int,
         aggs.append(F.sort_array(F.collect_list(F.when(F.col("_lpos") < after, item)))
                     .alias("_head"))
     edge = (F.col("_rpos") < before) | (F.col("_lpos") < after)
-    summ = local.where(edge).groupBy(SEG, *keys).agg(*aggs)
-    sel = [F.col(SEG), *[F.col(k) for k in keys]]
+    summ = local.where(edge).groupBy(SEG, KEY).agg(*aggs)
+    sel = [F.col(SEG), F.col(KEY)]
     if before:
         hist = F.flatten(F.collect_list("_tail").over(
             _across_segments(keys).rowsBetween(-before, -1)))
@@ -254,7 +257,8 @@ def lag_features(df: DataFrame, keys, order, col: str, lags: int = 20,
             new[f"{prefix}_lead_{i}"] = F.when(F.col("_rpos") >= i,
                                                F.lead(col, i).over(wl)).otherwise(outside)
     out = frame.withColumns(new)
-    return out.drop(*[c for c in ("_pre", "_post", "_lpos", "_rpos", SEG) if c in out.columns])
+    return out.drop(*[c for c in ("_pre", "_post", "_lpos", "_rpos", SEG, KEY)
+                      if c in out.columns])
 
 
 def sliding_window(df: DataFrame, keys, order, col: str, size: int = 30,
@@ -278,7 +282,7 @@ def sliding_window(df: DataFrame, keys, order, col: str, size: int = 30,
     vals = F.when(F.col("_lpos") >= depth, local_vals).otherwise(vals)
     res = (frame.withColumn(f"{out_prefix}_values", vals)
                 .withColumn(f"{out_prefix}_n", F.size(f"{out_prefix}_values")))
-    return res.drop("_pre", "_lpos", "_rpos", SEG)
+    return res.drop("_pre", "_lpos", "_rpos", SEG, KEY)
 
 
 def periodic_phase(df: DataFrame, keys, order, period: int, out: str = "phase",

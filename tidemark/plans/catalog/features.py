@@ -189,8 +189,8 @@ SELECT PassengerId, SexC AS Sex, AgeCatC AS AgeCat, {_scaled_sql('FPP', 2)} AS F
 FROM e, st WHERE is_test"""
 
 
-@query("clean_pipeline", CLEAN_SQL)
-def clean_pipeline(spark, sf_dir):
+@query("clean_features", CLEAN_SQL)
+def clean_features(spark, sf_dir):
     p = SP.train_test_split(passengers(spark, sf_dir), "PassengerId", 0.25)
     state = CL.fit(p.where("is_test = 0"))
     out = CL.transform(p.where("is_test = 1"), state)
