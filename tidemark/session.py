@@ -26,19 +26,30 @@ def build_session(master: str | None = None, app: str = "tidemark",
     * UTC session time zone, so that any ``timestamp`` (with time zone) column renders the
       same everywhere; the driver tables use ``timestamp_ntz`` and are unaffected.
     * UI off (no server is opened).
+
+    Sizing: locally the shuffle width follows the cores. On a cluster the shuffle starts
+    wide (``TIDEMARK_SHUFFLE_PARTITIONS``, default 16000) and AQE coalesces it down to
+    ~256 MB partitions; file splits are 512 MB, so a 100 TB scan is ~200k tasks rather
+    than ~800k.
     """
     master = master or os.environ.get("TIDEMARK_MASTER") or "local[8]"
+    local = master.startswith("local")
     if shuffle_partitions is None:
-        shuffle_partitions = int(os.environ.get("TIDEMARK_SHUFFLE_PARTITIONS", "8"))
+        default = "8" if local else "16000"
+        shuffle_partitions = int(os.environ.get("TIDEMARK_SHUFFLE_PARTITIONS", default))
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
-         .config("spark.driver.memory", driver_memory)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    if local:
+        b = b.config("spark.driver.memory", driver_memory)
+    else:
+        b = (b.config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256m")
+              .config("spark.sql.files.maxPartitionBytes", "512m"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
