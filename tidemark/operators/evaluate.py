@@ -36,12 +36,17 @@ def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     confusion counts (a tiny table), so the big input is read once.
     """
     cc = confusion_counts(df, label, pred)
-    tp = cc.where(F.col("label") == F.col("prediction")).select(
-        F.col("label").alias("cls"), F.col("n").alias("tp"))
-    sup = cc.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
-    prd = cc.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
-    per = (sup.join(prd, "cls", "full_outer").join(tp, "cls", "left")
-              .fillna(0, subset=["support", "predicted", "tp"]))
+    # Each confusion cell adds to its true class (support, hits) and to its predicted class.
+    cell = F.explode(F.array(
+        F.struct(F.col("label").alias("cls"), F.col("n").alias("support"),
+                 F.lit(0).cast("long").alias("predicted"),
+                 F.when(F.col("label") == F.col("prediction"), F.col("n"))
+                  .otherwise(0).cast("long").alias("tp")),
+        F.struct(F.col("prediction").alias("cls"), F.lit(0).cast("long").alias("support"),
+                 F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp"))))
+    per = (cc.select(cell.alias("c")).select("c.*").groupBy("cls")
+             .agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"),
+                  F.sum("tp").alias("tp")))
     precision = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
     recall = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     per = per.select(F.col("cls").cast("string").alias("class"), precision.alias("precision"),

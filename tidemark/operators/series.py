@@ -83,12 +83,10 @@ def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return tagged.checkpoint(eager=True)
 
 
-def _local_window(keys, order):
-    return Window_partition([SEG, KEY]).orderBy(*order)
-
-
-def Window_partition(cols):
-    return W.partitionBy(*cols)
+def _local_window(keys, order, descending: bool = False):
+    """Window over one segment of one series, in series order (or reversed)."""
+    cols = [F.col(o).desc() for o in order] if descending else list(order)
+    return W.partitionBy(SEG, KEY).orderBy(*cols)
 
 
 def _across_segments(keys):
@@ -207,7 +205,7 @@ def _with_context(df: DataFrame, keys, order, col: str, before: int, after: int,
     """
     s = segmented(df, keys, order, partitions)
     wl = _local_window(keys, order)
-    wr = Window_partition([SEG, KEY]).orderBy(*[F.col(o).desc() for o in order])
+    wr = _local_window(keys, order, descending=True)
     local = (s.withColumn("_lpos", F.row_number().over(wl) - 1)
               .withColumn("_rpos", F.row_number().over(wr) - 1))
     item = F.struct(F.col("_lpos").alias("p"), F.col(col).alias("v"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.operators import table as TB
-from tidemark.plans.catalog.relational import LINE_NUMERIC, PRIORITIES, STATUSES
+from tidemark.plans.catalog.relational import LINE_NUMERIC, STATUSES
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 

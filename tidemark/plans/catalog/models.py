@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.operators import models as MD
-from tidemark.operators import series as SR
 from tidemark.operators import split as SP
 from tidemark.plans import stacking as ST
 from tidemark.plans import traffic as TR
@@ -38,8 +37,8 @@ def doc_features(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select(
         "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
-        F.size(F.split("text", r"\s+")).cast("double").alias("n_words"),
-        F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
+        F.regexp_count("text", F.lit(r"\S+")).cast("double").alias("n_words"),
+        (F.regexp_count("text", F.lit("\n")) + 1).cast("double").alias("n_lines"),
         F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("digits"),
         F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("double").alias("uppers"),
         *[(F.col("lang") == lg).cast("double").alias(f"lang_{lg}") for lg in ["en", "fr", "de", "es"]])

@@ -44,7 +44,9 @@ def build_session(master: str | None = None, app: str = "tidemark",
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # Checkpoint files of intermediate results are removed once unreferenced.
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if local:
         b = b.config("spark.driver.memory", driver_memory)
     else:
