@@ -79,8 +79,10 @@ def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         # so the number of segments follows the data volume. Merged ranges are still
         # contiguous in (keys, order), which is all a segment needs.
         ranged = df.repartitionByRange(*keys, *order)
-    tagged = ranged.withColumns({SEG: F.spark_partition_id(), KEY: _pack(keys)})
-    return tagged.checkpoint(eager=True)
+    tagged = ranged.withColumn(SEG, F.spark_partition_id()).checkpoint(eager=True)
+    # The packed key is a pure function of the row: computed after the checkpoint so the
+    # key columns are not written twice.
+    return tagged.withColumn(KEY, _pack(keys))
 
 
 def _local_window(keys, order, descending: bool = False):
