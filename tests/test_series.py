@@ -101,3 +101,17 @@ def test_rows_at_max_keeps_ties(spark):
     got = sorted((r.k, r.t) for r in SR.rows_at_max(frame(spark, rows), "v", ["k"]).collect())
     assert got == [("a", 0), ("a", 1), ("b", 0)]
     assert [r.t for r in SR.rows_at_max(frame(spark, rows), "v").collect()] in ([0, 1], [1, 0])
+
+
+def test_sliding_sum_matches_rolling_with_nulls(spark):
+    rng = np.random.default_rng(11)
+    rows = hot_frame(rng, n=160, null_rate=0.5)
+    got = SR.sliding_sum(frame(spark, rows), KEYS, ORDER, "v", size=6, partitions=9).toPandas()
+    exp = to_pd(rows)
+    exp["s"] = exp.groupby("k")["v"].transform(lambda s: s.rolling(6, min_periods=1).sum())
+    exp["cnt"] = exp.groupby("k")["v"].transform(lambda s: s.rolling(6, min_periods=1).count())
+    exp["n"] = exp.groupby("k").cumcount().clip(upper=5) + 1
+    m = exp.merge(got, on=["k", "t"])
+    assert (m.win_n == m.n).all()
+    both_null = m.win_sum.isna() & (m.cnt == 0)
+    assert (both_null | np.isclose(m.win_sum.fillna(-1e9), m.s)).all()

@@ -157,7 +157,7 @@ class AdaBoostModel:
 
 def adaboost(df: DataFrame, rounds: int = 500, learning_rate: float = 0.75,
              label: str = "label", features: str = "features",
-             checkpoint_every: int = 5) -> AdaBoostModel:
+             checkpoint_every: int = 5, max_classes: int = 1000) -> AdaBoostModel:
     """Discrete SAMME boosting of depth-1 trees (Zhu et al., 2009).
 
     Per round: fit a stump with ``weightCol``, one aggregation gives the weighted error,
@@ -165,7 +165,9 @@ def adaboost(df: DataFrame, rounds: int = 500, learning_rate: float = 0.75,
     lineage is cut every ``checkpoint_every`` rounds with a reliable checkpoint.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    classes = sorted(r[0] for r in df.select(label).distinct().collect())
+    classes = sorted(r[0] for r in df.select(label).distinct().limit(max_classes + 1).collect())
+    if len(classes) > max_classes:
+        raise ValueError(f"more than {max_classes} classes in {label}")
     k = len(classes)
     n = df.count()
     data = df.select(label, features).withColumn("_w", F.lit(1.0 / n))

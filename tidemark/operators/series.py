@@ -285,6 +285,40 @@ def sliding_window(df: DataFrame, keys, order, col: str, size: int = 30,
     return res.drop("_pre", "_lpos", "_rpos", SEG, KEY)
 
 
+def sliding_sum(df: DataFrame, keys, order, col: str, size: int = 30,
+                out_sum: str = "win_sum", out_n: str = "win_n", cast: str | None = None,
+                partitions: int | None = None) -> DataFrame:
+    """Sum of ``col`` and number of rows over the last ``size`` rows ending at each row.
+
+    Native rows-frame aggregates inside each segment; only rows within ``size - 1`` of a
+    segment start add the tail carried from the preceding segments. ``cast`` sums in
+    another type (e.g. ``decimal(18,2)`` for exact money).
+    """
+    keys, order = _cols(keys), _cols(order)
+    depth = size - 1
+    frame, wl = _with_context(df, keys, order, col, depth, 0, partitions)
+    v = F.col(col).cast(cast) if cast else F.col(col)
+    fr = wl.rowsBetween(-depth, 0)
+    local_sum, local_n = F.sum(v).over(fr), F.count(F.lit(1)).over(fr)
+    need = F.greatest(F.lit(depth) - F.col("_lpos"), F.lit(0))
+    extra = F.slice("_pre", F.greatest(F.size("_pre") - need + 1, F.lit(1)),
+                    F.least(need, F.size("_pre")))
+    zero = F.lit(0).cast(cast) if cast else F.lit(0.0)
+    extra_sum = F.aggregate(extra, zero,
+                            lambda a, x: (a + F.coalesce(x.cast(cast) if cast else x, zero))
+                            .cast(cast) if cast else a + F.coalesce(x, zero))
+    near = F.col("_lpos") < depth
+    # Like SQL SUM: null when every value in the window is null.
+    any_value = (F.count(v).over(fr) + F.size(F.filter(extra, lambda x: x.isNotNull()))) > 0
+    total = F.when(near, F.when(any_value, F.coalesce(local_sum, zero) + extra_sum)) \
+             .otherwise(local_sum)
+    if cast:
+        total = total.cast(cast)
+    n = F.when(near, local_n + F.size(extra)).otherwise(local_n)
+    res = frame.withColumns({out_sum: total, out_n: n.cast("long")})
+    return res.drop("_pre", "_lpos", "_rpos", SEG, KEY)
+
+
 def periodic_phase(df: DataFrame, keys, order, period: int, out: str = "phase",
                    partitions: int | None = None) -> DataFrame:
     """Phase of the time index within a fixed period: ``pmod(position, period)``."""

@@ -114,13 +114,9 @@ FROM events""")
 def sliding_windows(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type",
                                                "value")
-    res = SR.sliding_window(ev, KEYS, ORDER, "value", size=WINDOW_SIZE)
-    dec = "decimal(18,2)"
-    total = F.aggregate("win_values", F.lit(0).cast(dec),
-                        lambda acc, x: (acc + x.cast(dec)).cast(dec))
-    return res.select("event_id", "user_id", "event_type",
-                      F.col("win_n").cast("long").alias("win_n"),
-                      total.cast("double").alias("win_sum"),
+    res = SR.sliding_sum(ev, KEYS, ORDER, "value", size=WINDOW_SIZE, cast="decimal(18,2)")
+    return res.select("event_id", "user_id", "event_type", "win_n",
+                      F.col("win_sum").cast("double").alias("win_sum"),
                       (F.col("win_n") == WINDOW_SIZE).alias("is_full"))
 
 
