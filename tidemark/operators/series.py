@@ -207,9 +207,11 @@ def _with_context(df: DataFrame, keys, order, col: str, before: int, after: int,
     """
     s = segmented(df, keys, order, partitions)
     wl = _local_window(keys, order)
-    wr = _local_window(keys, order, descending=True)
-    local = (s.withColumn("_lpos", F.row_number().over(wl) - 1)
-              .withColumn("_rpos", F.row_number().over(wr) - 1))
+    # Position from the segment end without a second (descending) sort: segment size
+    # (a frame over the whole segment, no ordering needed) minus position from the start.
+    whole = W.partitionBy(SEG, KEY)
+    local = s.withColumn("_lpos", F.row_number().over(wl) - 1)
+    local = local.withColumn("_rpos", F.count(F.lit(1)).over(whole) - 1 - F.col("_lpos"))
     item = F.struct(F.col("_lpos").alias("p"), F.col(col).alias("v"))
     aggs = []
     if before:
