@@ -109,3 +109,18 @@ def bootstrap_sample(df: DataFrame, fraction: float = 0.8, seed: int = 0) -> Dat
     """Sample with replacement of about ``fraction * n`` rows (Poisson per row)."""
     return df.sample(withReplacement=True, fraction=fraction, seed=seed)
 
+
+
+def hash_sample(id_col: str, fraction: float, salt: str = "") -> Column:
+    """Predicate keeping about ``fraction`` of the rows, decided by the row id alone.
+
+    The first four hex digits of ``md5(salt || id)`` are compared with
+    ``fraction * 65536`` written the same way: reproducible across runs and partitionings
+    (unlike ``DataFrame.sample``), with resolution 1/65536.
+    """
+    if not 0.0 <= fraction <= 1.0:
+        raise ValueError("fraction must be in [0, 1]")
+    if fraction >= 1.0:
+        return F.lit(True)
+    threshold = format(int(round(fraction * 65536)), "04x")
+    return F.substring(hash_order(id_col, salt), 1, 4) < F.lit(threshold)

@@ -204,3 +204,34 @@ def calendar_features(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     return ev.select("event_id", S.weekday_monday0("ts").alias("dayofweek"),
                      S.hour_of_day("ts").alias("hour"))
+
+
+# W6 (training windows: full windows only, reproducibly sampled) -------------------------
+SAMPLE_FRACTION, SAMPLE_SALT = 0.25, "windows:"
+# One long series per lane, as in the autoregressive training.
+LANE_WIN = "PARTITION BY event_type ORDER BY ts, event_id"
+
+
+@query("training_windows", f"""
+WITH w AS (
+  SELECT event_id, user_id, event_type,
+         COUNT(*) OVER ({LANE_WIN} ROWS BETWEEN {WINDOW_SIZE - 1} PRECEDING AND CURRENT ROW)
+           AS win_n,
+         CAST(SUM(CAST(value AS DECIMAL(18,2))) OVER
+              ({LANE_WIN} ROWS BETWEEN {WINDOW_SIZE - 1} PRECEDING AND CURRENT ROW) AS DOUBLE)
+           AS win_sum
+  FROM events)
+SELECT event_id, user_id, event_type, win_sum FROM w
+WHERE win_n = {WINDOW_SIZE}
+  AND substr(md5('{SAMPLE_SALT}' || CAST(event_id AS VARCHAR)), 1, 4)
+      < '{format(int(round(SAMPLE_FRACTION * 65536)), "04x")}'""")
+def training_windows(spark, sf_dir):
+    from tidemark.operators import split as SP
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type",
+                                               "value")
+    res = SR.sliding_sum(ev, ["event_type"], ORDER, "value", size=WINDOW_SIZE,
+                         cast="decimal(18,2)")
+    keep = (F.col("win_n") == WINDOW_SIZE) & SP.hash_sample("event_id", SAMPLE_FRACTION,
+                                                            SAMPLE_SALT)
+    return res.where(keep).select("event_id", "user_id", "event_type",
+                                  F.col("win_sum").cast("double").alias("win_sum"))
