@@ -15,9 +15,19 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def _local_heap(limit_gb: int = 16) -> str:
+    """About 60 % of this machine's memory, capped, for a local-mode driver."""
+    try:
+        with open("/proc/meminfo") as f:
+            kb = next(int(line.split()[1]) for line in f if line.startswith("MemTotal"))
+        return f"{max(1, min(limit_gb, int(kb * 0.6 / 1024 / 1024)))}g"
+    except (OSError, StopIteration, ValueError):
+        return "4g"
+
+
 def build_session(master: str | None = None, app: str = "tidemark",
                   shuffle_partitions: int | None = None,
-                  driver_memory: str = "8g") -> SparkSession:
+                  driver_memory: str | None = None) -> SparkSession:
     """Session with the settings this library is tuned for.
 
     * AQE on: coalesces small shuffle partitions, turns sort-merge joins into broadcast
@@ -48,7 +58,7 @@ def build_session(master: str | None = None, app: str = "tidemark",
          # Checkpoint files of intermediate results are removed once unreferenced.
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if local:
-        b = b.config("spark.driver.memory", driver_memory)
+        b = b.config("spark.driver.memory", driver_memory or _local_heap())
     else:
         b = (b.config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256m")
               .config("spark.sql.files.maxPartitionBytes", "512m"))
