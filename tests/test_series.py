@@ -115,3 +115,19 @@ def test_sliding_sum_matches_rolling_with_nulls(spark):
     assert (m.win_n == m.n).all()
     both_null = m.win_sum.isna() & (m.cnt == 0)
     assert (both_null | np.isclose(m.win_sum.fillna(-1e9), m.s)).all()
+
+
+def test_null_keys_form_their_own_series(spark):
+    rows = [(None, 0, 1.0), (None, 1, None), ("a", 0, None), ("a", 1, 5.0), (None, 2, None)]
+    got = {(r.k, r.t): (r.v, r.pos) for r in SR.with_position(
+        SR.fill_gaps(frame(spark, rows), KEYS, ORDER, ["v"], partitions=3),
+        KEYS, ORDER, partitions=3).collect()}
+    assert got == {(None, 0): (1.0, 0), (None, 1): (1.0, 1), (None, 2): (1.0, 2),
+                   ("a", 0): (5.0, 0), ("a", 1): (5.0, 1)}
+
+
+def test_empty_input(spark):
+    empty = frame(spark, [])
+    assert SR.fill_gaps(empty, KEYS, ORDER, ["v"]).count() == 0
+    assert SR.lag_features(empty, KEYS, ORDER, "v", lags=3, leads=2).count() == 0
+    assert SR.sliding_sum(empty, KEYS, ORDER, "v", size=4).count() == 0
