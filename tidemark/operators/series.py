@@ -53,12 +53,6 @@ def _cols(cs) -> list[str]:
     return list(cs)
 
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return int(partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str],
               partitions: int | None = None) -> DataFrame:
     """Range-partition by (keys, order) and tag every row with its range index.
