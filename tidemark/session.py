@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def _local_heap(limit_gb: int = 16) -> str:
+def _local_heap(limit_gb: int = 8) -> str:
     """About 60 % of this machine's memory, capped, for a local-mode driver."""
     try:
         with open("/proc/meminfo") as f:
@@ -58,7 +58,8 @@ def build_session(master: str | None = None, app: str = "tidemark",
          # Checkpoint files of intermediate results are removed once unreferenced.
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if local:
-        b = b.config("spark.driver.memory", driver_memory or _local_heap())
+        heap = driver_memory or os.environ.get("TIDEMARK_DRIVER_MEMORY") or _local_heap()
+        b = b.config("spark.driver.memory", heap)
     else:
         b = (b.config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256m")
               .config("spark.sql.files.maxPartitionBytes", "512m"))
