@@ -392,7 +392,7 @@ def bootstrap_sample(spark, sf_dir):
 
 
 # M14 -----------------------------------------------------------------------------------
-AR_LAGS, AR_PERIOD, AR_HORIZON = 20, 200, 250
+AR_LAGS, AR_PERIOD, AR_HORIZON, AR_OUTPUT_WINDOW = 20, 200, 250, 10
 
 
 def _ar_design(spark, sf_dir):
@@ -444,3 +444,15 @@ def lane_model_metrics(spark, sf_dir):
     _, metrics = TR.build_one_device(readings, first, num_trees=N_TREES)
     return metrics
 
+
+
+@query("ar_direct_fit")
+def ar_direct_fit(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    models, names = TR.ar_direct_fit(ev, ["event_type"], ["ts", "event_id"], "value",
+                                     AR_LAGS, AR_OUTPUT_WINDOW, AR_PERIOD)
+    rows = [(h, n, float(c)) for h, m in models.items()
+            for n, c in zip(names + ["(intercept)"],
+                            list(m.coefficients.toArray()) + [m.intercept])]
+    return spark.createDataFrame(rows, "horizon int, feature string, coef double")
+

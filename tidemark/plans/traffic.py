@@ -71,6 +71,28 @@ def ar_fit(design: DataFrame, value: str, lags: int = 20, reg: float = 0.0):
     return lr.fit(data), names
 
 
+def ar_direct_fit(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+                  lags: int = 20, horizon: int = 10, period: int = 200, reg: float = 0.0):
+    """Direct multi-step AR: one linear model per step ahead (``lead_1..lead_horizon`` as
+    targets) over the same lag + phase window -- the ``output window`` form of the model.
+
+    The design (lags and leads) comes from one skew-safe segmentation; the ``horizon``
+    fits share one pinned training table.
+    """
+    lagged = SR.lag_features(df, keys, order, value, lags=lags, leads=horizon)
+    posd = SR.with_position(lagged, keys, order, out="pos")
+    ang = F.lit(2 * math.pi / period) * F.col("pos")
+    design = posd.withColumns({"phase_sin": F.sin(ang), "phase_cos": F.cos(ang)})
+    names = ar_feature_names(value, lags)
+    data = MD.training_table(MD.assemble(design, names))
+    models = {}
+    for h in range(1, horizon + 1):
+        target = f"{value}_lead_{h}"
+        lr = LinearRegression(regParam=reg, elasticNetParam=0.0, labelCol=target)
+        models[h] = lr.fit(data.where(F.col(target).isNotNull()))
+    return models, names
+
+
 def ar_forecast(design: DataFrame, model, keys: Sequence[str], value: str, lags: int,
                 period: int, horizon: int) -> DataFrame:
     """Recursive continuation ``horizon`` steps past the end of every series.
