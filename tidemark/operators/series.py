@@ -53,6 +53,36 @@ def _cols(cs) -> list[str]:
     return list(cs)
 
 
+MAX_RANGES = 100_000
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
+          "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
+
+
+def _bytes(text: str) -> int:
+    num = "".join(ch for ch in text if ch.isdigit() or ch == ".")
+    unit = text[len(num):].strip().lower()
+    return int(float(num) * _UNITS.get(unit, 1))
+
+
+def _sized_ranges(df: DataFrame) -> int | None:
+    """Range count for inputs too large for the session's shuffle width.
+
+    Uses the optimiser's size estimate (no job): when ``bytes / advisory partition size``
+    exceeds ``spark.sql.shuffle.partitions`` the range exchange gets that many ranges
+    (capped at ``MAX_RANGES``) so each stays near the advisory size; otherwise ``None``
+    (the session width, coalesced by AQE).
+    """
+    conf = df.sparkSession.conf
+    try:
+        width = int(conf.get("spark.sql.shuffle.partitions"))
+        target = _bytes(conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate available (e.g. a remote session)
+        return None
+    wanted = -(-size // max(target, 1))
+    return min(wanted, MAX_RANGES) if wanted > width else None
+
+
 def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str],
               partitions: int | None = None) -> DataFrame:
     """Range-partition by (keys, order) and tag every row with its range index.
@@ -66,6 +96,7 @@ def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     keys, order = _cols(keys), _cols(order)
     ensure_checkpoint_dir(df.sparkSession)
+    partitions = partitions or _sized_ranges(df)
     if partitions:
         ranged = df.repartitionByRange(int(partitions), *keys, *order)
     else:
