@@ -4,6 +4,7 @@
     python -m tidemark.cli train   DEVICE_DIR MODEL_DIR         # one fleet model
     python -m tidemark.cli device  DEVICE_DIR DEVICE_ID OUT_CSV # per-lane holdout report
     python -m tidemark.cli predict DEVICE_DIR MODEL_DIR OUT_CSV # direction predictions
+    python -m tidemark.cli submit  TRAIN_CSV TEST_CSV OUT_CSV   # passenger submission
 
 Every path is a directory the cluster can reach (CSV outputs are written by the tasks,
 one file per task, under ``OUT_CSV``).
@@ -37,6 +38,11 @@ def main(argv=None) -> None:
     p.add_argument("device_dir")
     p.add_argument("model_dir")
     p.add_argument("out_csv")
+    m = sub.add_parser("submit")
+    m.add_argument("train_csv")
+    m.add_argument("test_csv")
+    m.add_argument("out_csv")
+    m.add_argument("--model", choices=["gbt", "forest", "tree"], default="gbt")
     a = ap.parse_args(argv)
 
     spark = build_session(app=f"tidemark-{a.cmd}")
@@ -54,6 +60,16 @@ def main(argv=None) -> None:
         from pyspark.ml.regression import RandomForestRegressionModel
         model = RandomForestRegressionModel.load(a.model_dir)
         C.write_csv(TR.model_predict(model, C.read_partitioned(spark, a.device_dir)), a.out_csv)
+    elif a.cmd == "submit":
+        from tidemark.operators import models as MD
+        from tidemark.plans import cleaning as CL
+        train = C.read_csv(spark, a.train_csv, C.PASSENGER_TRAIN_SCHEMA)
+        test = C.read_csv(spark, a.test_csv, C.PASSENGER_TEST_SCHEMA)
+        est = {"gbt": lambda: MD.gbt_classifier(max_iter=100, max_depth=4),
+               "forest": lambda: MD.rf_classifier(500, 6, "gini", feature_subset="sqrt",
+                                                  min_instances=2),
+               "tree": lambda: MD.decision_tree(5)}[a.model]()
+        C.write_csv(CL.submission(train, test, est), a.out_csv)
     spark.stop()
 
 

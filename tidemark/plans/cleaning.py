@@ -100,3 +100,18 @@ def transform(df: DataFrame, state: CleaningState, label: str | None = None,
         d = d.withColumn(out, (F.col(src) - F.lit(m)) / F.lit(s))
     cols = list(keep) + ([label] if label else []) + FEATURES
     return d.select(*cols)
+
+
+def submission(train: DataFrame, test: DataFrame, estimator, label: str = "Survived",
+               id_col: str = "PassengerId") -> DataFrame:
+    """Clean both tables with the training state, fit ``estimator`` on the training
+    features and return ``(PassengerId, Survived)`` for the test rows (int)."""
+    from tidemark.operators import models as MD
+    state = fit(train)
+    tr = transform(train, state, label=label, keep=(id_col,))
+    te = transform(test, state, keep=(id_col,))
+    feats = [c for c in FEATURES]
+    tr = MD.assemble(tr.withColumn("label", F.col(label).cast("double")), feats)
+    model = estimator.fit(MD.training_table(tr))
+    out = model.transform(MD.assemble(te, feats, handle_invalid="keep"))
+    return out.select(id_col, F.col("prediction").cast("int").alias(label))

@@ -30,6 +30,25 @@ STATION_SCHEMA = T.StructType([
 ])
 
 
+# Passenger tables: the training file has ``Survived`` after the id, the test file not.
+PASSENGER_FIELDS = [
+    T.StructField("PassengerId", T.LongType()),
+    T.StructField("Pclass", T.IntegerType()),
+    T.StructField("Name", T.StringType()),
+    T.StructField("Sex", T.StringType()),
+    T.StructField("Age", T.DoubleType()),
+    T.StructField("SibSp", T.IntegerType()),
+    T.StructField("Parch", T.IntegerType()),
+    T.StructField("Ticket", T.StringType()),
+    T.StructField("Fare", T.DoubleType()),
+    T.StructField("Cabin", T.StringType()),
+    T.StructField("Embarked", T.StringType()),
+]
+PASSENGER_TEST_SCHEMA = T.StructType(PASSENGER_FIELDS)
+PASSENGER_TRAIN_SCHEMA = T.StructType(
+    PASSENGER_FIELDS[:1] + [T.StructField("Survived", T.IntegerType())] + PASSENGER_FIELDS[1:])
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
              header: bool = True, **options) -> DataFrame:
     """Header CSV scan with a fixed schema (header names are ignored, position rules)."""
