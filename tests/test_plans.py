@@ -63,3 +63,18 @@ def test_file_name_key(spark):
     got = sorted((r.v, r.dev) for r in raw.select(
         "v", C.source_file_key(r"dev=([0-9]+)/").cast("long").alias("dev")).collect())
     assert got == [(i, i % 2) for i in range(6)]
+
+
+def test_submission_predicts_every_test_row(spark):
+    from tidemark.operators import models as MD
+    train_rows = [(i, i % 2, 1 + i % 3, f"N{i}, {'Mr.' if i % 2 else 'Mrs.'} X", "male" if i % 2 else "female",
+                   float(20 + i % 40) if i % 5 else None, i % 3, i % 2, f"T{i % 7}",
+                   float(5 + i % 50), None, "S" if i % 3 else "C") for i in range(60)]
+    test_rows = [(100 + i, 1 + i % 3, f"M{i}, Miss. Y", "female", None, 0, 0, f"Q{i}", 0.0, None,
+                  None) for i in range(7)]
+    train = spark.createDataFrame(train_rows, C.PASSENGER_TRAIN_SCHEMA)
+    test = spark.createDataFrame(test_rows, C.PASSENGER_TEST_SCHEMA)
+    sub = CL.submission(train, test, MD.decision_tree(3))
+    got = sorted(r.PassengerId for r in sub.collect())
+    assert got == list(range(100, 107))
+    assert set(sub.columns) == {"PassengerId", "Survived"}
