@@ -98,3 +98,20 @@ def test_classification_report_values(spark):
     assert rep["1"].precision == 1.0 and rep["1"].recall == 0.5 and rep["1"].support == 2
     assert np.isclose(rep["0"].precision, 2 / 3)
     assert rep["macro avg"].support == 4
+
+
+def test_save_load_gives_same_predictions(spark, separable):
+    from tidemark.session import scratch_path
+    pipe = MD.Pipeline(stages=[MD.rf_classifier(5, 3)]).fit(separable)
+    loaded = MD.save_load(pipe, scratch_path(spark, "model-test"))
+    a = pipe.transform(separable).select("id", F.col("prediction").alias("a"))
+    b = loaded.transform(separable).select("id", F.col("prediction").alias("b"))
+    assert a.join(b, "id").where("a != b").count() == 0
+
+
+def test_same_seed_same_forest(separable):
+    p1 = MD.rf_classifier(5, 3, seed=7).fit(separable).transform(separable)
+    p2 = MD.rf_classifier(5, 3, seed=7).fit(separable).transform(separable)
+    j = p1.select("id", F.col("prediction").alias("x")).join(
+        p2.select("id", F.col("prediction").alias("y")), "id")
+    assert j.where("x != y").count() == 0
