@@ -10,8 +10,8 @@ is reported separately so rounding issues are easy to spot.
 from __future__ import annotations
 
 import argparse
-import datetime as dt
 import decimal
+import json
 import math
 import os
 import re
@@ -64,6 +64,7 @@ def close(a, b):
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--json", help="also write per-query results to this file")
     ap.add_argument("patterns", nargs="*")
     a = ap.parse_args()
     registry.load_all()
@@ -75,6 +76,7 @@ def main():
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{a.sf}/{t}.parquet'")
     ok = bad = rows_only = 0
+    results: dict[str, dict] = {}
     for n in names:
         t0 = time.time()
         try:
@@ -84,6 +86,7 @@ def main():
         except Exception as e:  # noqa: BLE001
             bad += 1
             print(f"FAIL  {n}: spark error {type(e).__name__}: {str(e)[:400]}")
+            results[n] = {"status": "spark_error"}
             traceback.print_exc(limit=3)
             continue
         el = time.time() - t0
@@ -91,6 +94,7 @@ def main():
         if sql is None:
             rows_only += 1
             print(f"ROWS  {n}: {len(srows)} rows, cols={scols} ({el:.1f}s)")
+            results[n] = {"status": "rows_only", "rows": len(srows), "sec": round(el, 2)}
             continue
         try:
             res = con.execute(sql)
@@ -99,10 +103,12 @@ def main():
         except Exception as e:  # noqa: BLE001
             bad += 1
             print(f"FAIL  {n}: duckdb error {str(e)[:400]}")
+            results[n] = {"status": "oracle_error"}
             continue
         if sorted(scols) != sorted(dcols):
             bad += 1
             print(f"FAIL  {n}: columns spark={scols} duck={dcols}")
+            results[n] = {"status": "columns_differ"}
             continue
         perm = [dcols.index(c) for c in scols]
         drows = [tuple(r[i] for i in perm) for r in drows]
@@ -110,16 +116,23 @@ def main():
         if len(ss) != len(ds):
             bad += 1
             print(f"FAIL  {n}: rows spark={len(ss)} duck={len(ds)}")
+            results[n] = {"status": "rows_differ"}
             continue
         if ss == ds:
             ok += 1
             print(f"OK    {n}: {len(ss)} rows ({el:.1f}s)")
+            results[n] = {"status": "match", "rows": len(ss), "sec": round(el, 2)}
         else:
             bad += 1
             tag = "NEAR " if close(ss, ds) else "FAIL "
             diff = [(x, y) for x, y in zip(ss, ds) if x != y][:3]
             print(f"{tag} {n}: values differ, e.g. {diff}")
+            results[n] = {"status": "values_differ"}
     print(f"summary: ok={ok} bad={bad} rows_only={rows_only}")
+    if a.json:
+        with open(a.json, "w") as f:
+            json.dump({"sf": a.sf, "ok": ok, "bad": bad, "rows_only": rows_only,
+                       "queries": results}, f, indent=1, sort_keys=True)
 
 
 if __name__ == "__main__":
