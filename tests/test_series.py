@@ -131,3 +131,25 @@ def test_empty_input(spark):
     assert SR.fill_gaps(empty, KEYS, ORDER, ["v"]).count() == 0
     assert SR.lag_features(empty, KEYS, ORDER, "v", lags=3, leads=2).count() == 0
     assert SR.sliding_sum(empty, KEYS, ORDER, "v", size=4).count() == 0
+
+
+def test_join_back_keeps_big_side_partitioning(spark):
+    """With broadcasts off, the summary join is a sort-merge join on the plain
+    (segment, key) columns -- no null-safe rewrite that would re-shuffle the big side."""
+    rows = [("hot", i, None if i % 3 else float(i)) for i in range(60)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    old_aqe = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = SR.fill_gaps(frame(spark, rows), KEYS, ORDER, ["v"], partitions=4)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        if old_aqe is None:
+            spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        else:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", old_aqe)
+    assert "SortMergeJoin [_seg" in plan
+    assert "coalesce(_seg" not in plan and "isnull(_sk" not in plan
