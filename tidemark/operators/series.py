@@ -35,6 +35,7 @@ from tidemark.session import ensure_checkpoint_dir
 
 SEG = "_seg"
 KEY = "_sk"
+RID = "_rid"
 
 
 def _pack(keys) -> "F.Column":
@@ -104,7 +105,13 @@ def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         # so the number of segments follows the data volume. Merged ranges are still
         # contiguous in (keys, order), which is all a segment needs.
         ranged = df.repartitionByRange(*keys, *order)
-    tagged = ranged.withColumn(SEG, F.spark_partition_id()).checkpoint(eager=True)
+    # Rows are sorted inside each range and stamped with a row id that increases in
+    # (keys, order): segment windows then order by one long, and "last value in series
+    # order" is a hash-aggregatable max_by on it. The checkpoint fixes the ids.
+    tagged = (ranged.sortWithinPartitions(*keys, *order)
+                    .withColumns({SEG: F.spark_partition_id(),
+                                  RID: F.monotonically_increasing_id()})
+                    .checkpoint(eager=True))
     # The packed key is a pure function of the row: computed after the checkpoint so the
     # key columns are not written twice.
     return tagged.withColumn(KEY, _pack(keys))
@@ -112,8 +119,7 @@ def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 def _local_window(keys, order, descending: bool = False):
     """Window over one segment of one series, in series order (or reversed)."""
-    cols = [F.col(o).desc() for o in order] if descending else list(order)
-    return W.partitionBy(SEG, KEY).orderBy(*cols)
+    return W.partitionBy(SEG, KEY).orderBy(F.col(RID).desc() if descending else F.col(RID))
 
 
 def _across_segments(keys):
@@ -146,7 +152,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                            *extra)
     res = _join_back(local, counts, keys)
     return (res.withColumn(out, (F.col("_off") + F.col("_lpos")).cast("long"))
-               .drop("_off", "_lpos", SEG, KEY))
+               .drop("_off", "_lpos", SEG, KEY, RID))
 
 
 def with_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -168,7 +174,7 @@ def with_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     sums = sums.select(SEG, KEY, F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_off"),
                        *extra)
     res = _join_back(local, sums, keys)
-    return res.withColumn(out, F.col("_off") + F.col("_lsum")).drop("_off", "_lsum", SEG, KEY)
+    return res.withColumn(out, F.col("_off") + F.col("_lsum")).drop("_off", "_lsum", SEG, KEY, RID)
 
 
 def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -191,7 +197,7 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         local = local.withColumn(f"_ff_{c}", F.last(c, ignorenulls=True).over(upto))
         if backward:
             local = local.withColumn(f"_bf_{c}", F.first(c, ignorenulls=True).over(after))
-    okey = F.struct(*order)
+    okey = F.col(RID)
     aggs = []
     for c in cols:
         has = F.col(c).isNotNull()
@@ -214,7 +220,7 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             parts += [F.col(f"_bf_{c}"), F.col(f"_cb_{c}")]
         res = res.withColumn(c + suffix, F.coalesce(*parts))
         res = res.drop(f"_ff_{c}", f"_cf_{c}", f"_bf_{c}", f"_cb_{c}")
-    return res.drop(SEG, KEY)
+    return res.drop(SEG, KEY, RID)
 
 
 def _with_context(df: DataFrame, keys, order, col: str, before: int, after: int,
@@ -284,7 +290,7 @@ def lag_features(df: DataFrame, keys, order, col: str, lags: int = 20,
             new[f"{prefix}_lead_{i}"] = F.when(F.col("_rpos") >= i,
                                                F.lead(col, i).over(wl)).otherwise(outside)
     out = frame.withColumns(new)
-    return out.drop(*[c for c in ("_pre", "_post", "_lpos", "_rpos", SEG, KEY)
+    return out.drop(*[c for c in ("_pre", "_post", "_lpos", "_rpos", SEG, KEY, RID)
                       if c in out.columns])
 
 
@@ -309,7 +315,7 @@ def sliding_window(df: DataFrame, keys, order, col: str, size: int = 30,
     vals = F.when(F.col("_lpos") >= depth, local_vals).otherwise(vals)
     res = (frame.withColumn(f"{out_prefix}_values", vals)
                 .withColumn(f"{out_prefix}_n", F.size(f"{out_prefix}_values")))
-    return res.drop("_pre", "_lpos", "_rpos", SEG, KEY)
+    return res.drop("_pre", "_lpos", "_rpos", SEG, KEY, RID)
 
 
 def sliding_sum(df: DataFrame, keys, order, col: str, size: int = 30,
@@ -343,7 +349,7 @@ def sliding_sum(df: DataFrame, keys, order, col: str, size: int = 30,
         total = total.cast(cast)
     n = F.when(near, local_n + F.size(extra)).otherwise(local_n)
     res = frame.withColumns({out_sum: total, out_n: n.cast("long")})
-    return res.drop("_pre", "_lpos", "_rpos", SEG, KEY)
+    return res.drop("_pre", "_lpos", "_rpos", SEG, KEY, RID)
 
 
 def periodic_phase(df: DataFrame, keys, order, period: int, out: str = "phase",
