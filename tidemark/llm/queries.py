@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, quality, secrets
+from tidemark.llm import chat, quality, secrets, simhash, substrings
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -57,3 +57,16 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("_loss").cast("long").alias("loss_chars"),
                       F.sha2(F.col("_loss"), 256).alias("loss_sha256"),
                       F.length("formatted").cast("long").alias("formatted_chars"), "mapping")
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report, _ = substrings.deduplicate(table(spark, sf_dir, "documents"), "doc_id")
+    return report.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id")
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
