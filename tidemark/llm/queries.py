@@ -6,11 +6,22 @@ those that SQL expresses. The other queries are tested against brute force in ``
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, quality, secrets, simhash, substrings
+from tidemark.llm import (
+    chat, embeddings, packing, quality, secrets, sentencepiece_bpe, simhash, substrings, tokens)
 from tidemark.llm.common import table
 
+#: The folder of the public vocabulary files; the same place on every machine.
+TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
+
+
+def vocabulary(name: str) -> str:
+    return f"{TOKENIZERS}/{name}"
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -37,6 +48,39 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "n_lines_removed", "lost_share")
 
 
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text",
+                                  vocabulary("word_bpe_49k.json"))
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens",
+                          (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                        (F.col("id") == F.col("component")).alias("kept"))
+
+
+#: The byte-level vocabulary: its library file, the same as ranks, its word pattern (a fixed
+#: value) and the strings that are special in texts.
+BYTE_BPE = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken",
+            r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
+            {"<|endoftext|>": 50256})
+
+
+def pack_table(docs: DataFrame) -> DataFrame:
+    library, ranks, pattern, special = BYTE_BPE
+    return packing.pack_documents(docs, "doc_id", "text", vocabulary(library), vocabulary(ranks),
+                                  pattern, special).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_table(table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts hold the template's own control strings.
 SAMPLE_TURNS = [(-7, 0, "user", "\\### Assistant: </turn> ok"),
                 (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
@@ -59,6 +103,16 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("long").alias("formatted_chars"), "mapping")
 
 
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    coded = sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    both = sentencepiece_bpe.decode(coded, path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     report, _ = substrings.deduplicate(table(spark, sf_dir, "documents"), "doc_id")
