@@ -2,32 +2,82 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read back as the next one's ``docs``. All but the
-last return the columns they got.
+last return the columns they got, with ``text`` and ``n_chars`` as the stage leaves them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import quality
+from tidemark.llm import quality, secrets, simhash, substrings
 from tidemark.llm.common import saved, table
+from tidemark.llm.queries import pack_table
+
+
+def _with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """``columns`` of ``docs`` with another text and its length."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return docs.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
+
+
+def _id() -> Column:
+    """The document id; a null one as the operators give it."""
+    return F.coalesce("doc_id", F.lit(simhash.LAST))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go from every document; rejected documents go."""
-    judged = quality.quality(docs.withColumn("_text", F.col("text")), "_text").filter("kept")
-    return judged.select(*[F.col("cleaned").alias("text") if c == "text" else
-                           F.length("cleaned").cast("long").alias("n_chars") if c == "n_chars" else c
-                           for c in docs.columns])
+    judged = quality.quality(docs.select(F.struct(*docs.columns).alias("row"), "text")).filter("kept")
+    return _with_text(judged.select("row.*", "cleaned"), docs.columns, F.col("cleaned"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group stays, once."""
+    found = simhash.near_duplicates(docs, "doc_id")
+    stays = found.filter("id = component").select(F.col("id").alias("_id")).distinct()
+    return (docs.withColumn("_id", _id()).join(stays, "_id", "left_semi")
+            .dropDuplicates(["_id"]).select(*docs.columns))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that a document with a smaller id has in the same passage go; so do documents of
+    which nothing is left."""
+    _, changed = substrings.deduplicate(docs, "doc_id")
+    joined = docs.withColumn("_id", _id()).join(
+        changed.select(F.col("id").alias("_id"), F.col("kept_text").alias("_kept")), "_id", "left")
+    joined = joined.filter("_kept is null or _kept <> ''")
+    same = F.col("_kept").isNull()
+    return joined.select(*[
+        F.when(same, F.col("text")).otherwise(F.col("_kept")).alias("text") if c == "text" else
+        F.when(same, F.col("n_chars")).otherwise(F.length("_kept")).cast("long").alias("n_chars")
+        if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret found is replaced in its text."""
+    ledger = saved(secrets.scan(docs, ["doc_id"]), "ledger")
+    return _with_text(secrets.redacted(docs, ledger), docs.columns, F.col("text"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces in their sequences."""
+    return pack_table(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("substring dedup", substring_dedup),
+    ("secret scans", secret_scans),
+    ("best-fit packing", best_fit_packing),
+]
 
 #: SimHash, the difference cover and packing have no SQL form; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

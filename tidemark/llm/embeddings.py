@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.common import saved
 from tidemark.llm.components import components
 
-_LAST = (1 << 63) - 1
+LAST = (1 << 63) - 1
 _SLACK = 1e-7  # radians, against rounding in the ball arguments
 
 
@@ -194,7 +194,7 @@ def near_duplicates(vectors: DataFrame, key: str, column: str, cosine: float = 0
     kind = vectors.schema[column].dataType.elementType.simpleString()
     dtype = "<f4" if kind == "float" else "<f8"
     half = math.acos(cosine) / 2 - _SLACK
-    rows = saved(vectors.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), column)
+    rows = saved(vectors.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), column)
                  .mapInArrow(_raw(dtype), "id long, raw binary"), "vectors")
     # classes of equal vectors
     classes = saved(rows.filter("raw is not null").groupBy("raw").agg(

@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import (
-    chat, embeddings, packing, quality, secrets, sentencepiece_bpe, simhash, substrings, tokens)
+    chat, embeddings, packing, quality, secrets, sentencepiece_bpe, simhash, substrings, tokens, warc)
 from tidemark.llm.common import table
 
 #: The folder of the public vocabulary files; the same place on every machine.
@@ -59,7 +59,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+    return found.select(F.nullif("id", F.lit(embeddings.LAST)).alias("vec_id"), "n_links", F.col("component").alias("component_id"),
                         (F.col("id") == F.col("component")).alias("kept"))
 
 
@@ -116,11 +116,24 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     report, _ = substrings.deduplicate(table(spark, sf_dir, "documents"), "doc_id")
-    return report.withColumnRenamed("id", "doc_id")
+    return report.select(F.nullif("id", F.lit(substrings.LAST)).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id")
-    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+    return found.select(F.nullif("id", F.lit(simhash.LAST)).alias("doc_id"),
+                        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the table has no capture time: a second for each id stands for it
+    captures = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), "url",
+        F.timestamp_seconds(F.lit(1_600_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1 << 30))).alias("ts"),
+        F.coalesce("html", F.lit("")).alias("payload"))
+    index = warc.archive_and_index(captures)
+    return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to",
+                        "urlkey", F.col("ts").alias("captured"), "archive", "offset")

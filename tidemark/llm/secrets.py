@@ -117,21 +117,33 @@ def scan(versions: DataFrame, keys: Sequence[str], text: str = "text",
     return rows.dropDuplicates(["blob_id"])  # rows repeated with their key hold one blob twice
 
 
+def _hits(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``(blob_id, findings)`` of blobs in which ``rules`` found something."""
+    return (ledger.filter(F.size("findings") > 0)
+            .filter(F.arrays_overlap("rules", F.array(*[F.lit(r.key) for r in rules])))
+            .select("blob_id", F.explode("findings").alias("f"))
+            .filter(F.col("f.kind").isin([r.kind for r in rules]))
+            .groupBy("blob_id").agg(F.array_sort(F.collect_set("f")).alias("findings")))
+
+
 def findings_by_path(versions: DataFrame, keys: Sequence[str], ledger: DataFrame,
                      text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Every path (row of ``versions``) with the spans that ``rules`` found in its blob."""
-    wanted = [r.key for r in rules]
-    kinds = {r.kind: i for i, r in enumerate(rules)}
-    hits = (ledger.filter(F.size("findings") > 0)
-            .filter(F.arrays_overlap("rules", F.array(*[F.lit(k) for k in wanted])))
-            .select("blob_id", F.explode("findings").alias("f"))
-            .filter(F.col("f.kind").isin(list(kinds)))
-            .groupBy("blob_id").agg(F.array_sort(F.collect_set("f")).alias("findings")))
     paths = with_blob_id(versions.select(*keys, F.col(text).alias("_text")), "_text").drop("_text")
-    return (paths.join(hits, "blob_id", "left")
+    return (paths.join(_hits(ledger, rules), "blob_id", "left")
             .withColumn("findings", F.coalesce("findings", F.expr(f"cast(array() as {_SPANS})"))))
 
 
+def redacted(versions: DataFrame, ledger: DataFrame, text: str = "text",
+             rules: Sequence[Rule] = RULES) -> DataFrame:
+    """``versions`` with every span of their blob's findings replaced in ``text``."""
+    hits = _hits(ledger, rules).withColumnsRenamed({"blob_id": "_blob", "findings": "_found"})
+    known = with_blob_id(versions.withColumnsRenamed({text: "_text"}), "_text")
+    joined = known.join(hits, F.col("blob_id") == F.col("_blob"), "left")
+    done = F.when(F.col("_found").isNull(), F.col("_text")).otherwise(redact(F.col("_text"), F.col("_found")))
+    return joined.select(*[done.alias(text) if c == text else c for c in versions.columns])
+
+
 def scan_paths(versions: DataFrame, keys: Sequence[str], text: str = "text",
                ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES):
     """Scan what the ledger lacks; return (findings of every path, the grown ledger).

@@ -14,8 +14,8 @@ both, and those around one code are all linked, so a star to the smallest per co
 them with rows in proportion to the members. It loses no link.
 
 Defined results: a null text or one without words has fingerprint zero, which links like any
-other; repeated rows are kept and fall into one class; null ids are kept, and a class of
-null ids alone has a null component.
+other; repeated rows are kept and fall into one class; a null id is given as the largest
+long, so it is the smallest of a class only if all are null.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from tidemark.llm.common import saved
 from tidemark.llm.components import components
 
 BITS = 64
+LAST = (1 << 63) - 1
 SEED = 42
 _BLOCK = 1 << 17  # shingles expanded to bits at a time
 
@@ -66,7 +67,7 @@ def _fingerprints(shingle, seed):
 def fingerprints(docs: DataFrame, key: str, text: str = "text", shingle: int = 4,
                  seed: int = SEED) -> DataFrame:
     """``(id, fp)`` per row; ``fp`` holds the 64 bits as a signed long."""
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), text).mapInArrow(
         _fingerprints(shingle, seed), "id long, fp long")
 
 

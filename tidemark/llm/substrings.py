@@ -228,7 +228,7 @@ def _cut(window):
 
 
 #: Stands for a null id: after all others.
-_LAST = (1 << 63) - 1
+LAST = (1 << 63) - 1
 
 
 def deduplicate(docs: DataFrame, key: str, text: str = "text", window: int = 50,
@@ -241,7 +241,7 @@ def deduplicate(docs: DataFrame, key: str, text: str = "text", window: int = 50,
     """
     cover = np.array(difference_cover(period))
     width = anchor_words(window, period)
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
     prof = saved(rows.mapInArrow(_profile(width, period, cover),
                                  "id long, n_words long, digest string, anchors array<long>"), "anchors")
     # classes of equal word sequences: all but the smallest id repeat a smaller document whole
