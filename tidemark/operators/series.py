@@ -54,36 +54,6 @@ def _cols(cs) -> list[str]:
     return list(cs)
 
 
-MAX_RANGES = 100_000
-_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
-          "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
-
-
-def _bytes(text: str) -> int:
-    num = "".join(ch for ch in text if ch.isdigit() or ch == ".")
-    unit = text[len(num):].strip().lower()
-    return int(float(num) * _UNITS.get(unit, 1))
-
-
-def _sized_ranges(df: DataFrame) -> int | None:
-    """Range count for inputs too large for the session's shuffle width.
-
-    Uses the optimiser's size estimate (no job): when ``bytes / advisory partition size``
-    exceeds ``spark.sql.shuffle.partitions`` the range exchange gets that many ranges
-    (capped at ``MAX_RANGES``) so each stays near the advisory size; otherwise ``None``
-    (the session width, coalesced by AQE).
-    """
-    conf = df.sparkSession.conf
-    try:
-        width = int(conf.get("spark.sql.shuffle.partitions"))
-        target = _bytes(conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate available (e.g. a remote session)
-        return None
-    wanted = -(-size // max(target, 1))
-    return min(wanted, MAX_RANGES) if wanted > width else None
-
-
 def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str],
               partitions: int | None = None) -> DataFrame:
     """Range-partition by (keys, order) and tag every row with its range index.
@@ -97,12 +67,13 @@ def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     keys, order = _cols(keys), _cols(order)
     ensure_checkpoint_dir(df.sparkSession)
-    partitions = partitions or _sized_ranges(df)
     if partitions:
         ranged = df.repartitionByRange(int(partitions), *keys, *order)
     else:
-        # No explicit count: AQE may merge adjacent ranges to its advisory partition size,
-        # so the number of segments follows the data volume. Merged ranges are still
+        # No explicit count: the exchange starts with the session's width
+        # (``spark.sql.adaptive.coalescePartitions.initialPartitionNum``, see session.py) and
+        # AQE merges adjacent ranges to its advisory partition size by the bytes it has
+        # written, so the number of segments follows the data. Merged ranges are still
         # contiguous in (keys, order), which is all a segment needs.
         ranged = df.repartitionByRange(*keys, *order)
     # Rows are sorted inside each range and stamped with a row id that increases in
@@ -142,17 +113,18 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     keys, order = _cols(keys), _cols(order)
     s = segmented(df, keys, order, partitions)
-    local = s.withColumn("_lpos", F.row_number().over(_local_window(keys, order)) - 1)
-    counts = s.groupBy(SEG, KEY).agg(F.count(F.lit(1)).alias("_n"))
+    # Rows of a segment have consecutive row ids, so the first one gives the local position:
+    # no window over the big side.
+    counts = s.groupBy(SEG, KEY).agg(F.count(F.lit(1)).alias("_n"), F.min(RID).alias("_rid0"))
     before = _across_segments(keys).rowsBetween(W.unboundedPreceding, -1)
     whole = _across_segments(keys).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     extra = [F.sum("_n").over(whole).alias(total)] if total else []
     counts = counts.select(SEG, KEY,
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-                           *extra)
-    res = _join_back(local, counts, keys)
-    return (res.withColumn(out, (F.col("_off") + F.col("_lpos")).cast("long"))
-               .drop("_off", "_lpos", SEG, KEY, RID))
+                           (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_rid0"))
+                           .alias("_off"), *extra)
+    res = _join_back(s, counts, keys)
+    return (res.withColumn(out, (F.col("_off") + F.col(RID)).cast("long"))
+               .drop("_off", SEG, KEY, RID))
 
 
 def with_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -224,7 +196,7 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def _with_context(df: DataFrame, keys, order, col: str, before: int, after: int,
-                  partitions: int | None):
+                  partitions: int | None, position: str | None = None):
     """Segment-local frame plus the values of ``col`` just outside each segment:
 
     * ``_pre``: the last ``before`` values preceding the segment in its series (oldest
@@ -234,7 +206,7 @@ def _with_context(df: DataFrame, keys, order, col: str, before: int, after: int,
     Every segment has at least one row, so the ``before`` preceding (``after`` following)
     segments always suffice. Nulls are kept in place: positions matter for lags. Returns
     (frame, local window); the frame has ``_lpos`` / ``_rpos`` (0-based position from the
-    segment start / end).
+    segment start / end) and, where asked, the position in the whole series.
     """
     s = segmented(df, keys, order, partitions)
     wl = _local_window(keys, order)
@@ -252,8 +224,14 @@ def _with_context(df: DataFrame, keys, order, col: str, before: int, after: int,
         aggs.append(F.sort_array(F.collect_list(F.when(F.col("_lpos") < after, item)))
                     .alias("_head"))
     edge = (F.col("_rpos") < before) | (F.col("_lpos") < after)
+    if position:  # a segment's size stands in its last row, an edge row
+        aggs.append((F.max("_lpos") + 1).alias("_n"))
+        edge = edge | (F.col("_rpos") == 0)
     summ = local.where(edge).groupBy(SEG, KEY).agg(*aggs)
     sel = [F.col(SEG), F.col(KEY)]
+    if position:
+        earlier = _across_segments(keys).rowsBetween(W.unboundedPreceding, -1)
+        sel.append(F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
     if before:
         hist = F.flatten(F.collect_list("_tail").over(
             _across_segments(keys).rowsBetween(-before, -1)))
@@ -263,35 +241,36 @@ def _with_context(df: DataFrame, keys, order, col: str, before: int, after: int,
         fut = F.flatten(F.collect_list("_head").over(
             _across_segments(keys).rowsBetween(1, after)))
         sel.append(F.transform(F.slice(fut, 1, after), lambda x: x["v"]).alias("_post"))
-    return _join_back(local, summ.select(*sel), keys), wl
+    res = _join_back(local, summ.select(*sel), keys)
+    if position:
+        res = res.withColumn(position, (F.col("_off") + F.col("_lpos")).cast("long")).drop("_off")
+    return res, wl
 
 
 def lag_features(df: DataFrame, keys, order, col: str, lags: int = 20,
                  leads: int = 0, prefix: str | None = None,
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, position: str | None = None) -> DataFrame:
     """``{prefix}_lag_1..lags`` (previous values) and ``{prefix}_lead_1..leads`` (next
     values) of ``col``: exact equivalents of ``lag(col, i)`` / ``lead(col, i)`` over the
-    whole series, from one segmentation."""
+    whole series, from one segmentation and one window function per row: the values around
+    a row are gathered once and indexed. ``position`` adds the 0-based series position."""
     keys, order = _cols(keys), _cols(order)
     prefix = prefix or col
-    frame, wl = _with_context(df, keys, order, col, lags, leads, partitions)
+    frame, wl = _with_context(df, keys, order, col, lags, leads, partitions, position)
+    near = F.collect_list(F.struct(F.col(col).alias("v"))).over(wl.rowsBetween(-lags, leads))
+    frame = frame.withColumn("_near", near).withColumn("_here", F.least(F.col("_lpos"), F.lit(lags)))
     new = {}
-    if lags:
-        m = F.size("_pre")
-        for i in range(1, lags + 1):
-            idx = (m - F.lit(i) + F.col("_lpos") + 1).cast("int")
-            outside = F.when(idx >= 1, F.try_element_at("_pre", idx))
-            new[f"{prefix}_lag_{i}"] = F.when(F.col("_lpos") >= i,
-                                              F.lag(col, i).over(wl)).otherwise(outside)
-    if leads:
-        for i in range(1, leads + 1):
-            idx = (F.lit(i) - F.col("_rpos")).cast("int")
-            outside = F.try_element_at("_post", idx)
-            new[f"{prefix}_lead_{i}"] = F.when(F.col("_rpos") >= i,
-                                               F.lead(col, i).over(wl)).otherwise(outside)
+    m = F.size("_pre") if lags else None
+    for i in range(1, lags + 1):
+        outside = F.get("_pre", (m - F.lit(i) + F.col("_lpos")).cast("int"))
+        new[f"{prefix}_lag_{i}"] = F.when(F.col("_lpos") >= i, F.get("_near", F.col("_here") - i)["v"]) \
+                                    .otherwise(outside)
+    for i in range(1, leads + 1):
+        outside = F.get("_post", (F.lit(i - 1) - F.col("_rpos")).cast("int"))
+        new[f"{prefix}_lead_{i}"] = F.when(F.col("_rpos") >= i, F.get("_near", F.col("_here") + i)["v"]) \
+                                     .otherwise(outside)
     out = frame.withColumns(new)
-    return out.drop(*[c for c in ("_pre", "_post", "_lpos", "_rpos", SEG, KEY, RID)
-                      if c in out.columns])
+    return out.drop("_pre", "_post", "_lpos", "_rpos", "_near", "_here", SEG, KEY, RID)
 
 
 def sliding_window(df: DataFrame, keys, order, col: str, size: int = 30,

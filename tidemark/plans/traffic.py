@@ -53,8 +53,7 @@ def ar_design(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
               lags: int = 20, period: int = 200) -> DataFrame:
     """Lagged values ``{value}_lag_1..lags`` plus the periodic phase of the time index
     (as sine and cosine of ``2*pi*pos/period``) -- the AR input window."""
-    lagged = SR.lag_features(df, keys, order, value, lags=lags)
-    posd = SR.with_position(lagged, keys, order, out="pos")
+    posd = SR.lag_features(df, keys, order, value, lags=lags, position="pos")
     ang = F.lit(2 * math.pi / period) * F.col("pos")
     return posd.withColumns({"phase_sin": F.sin(ang), "phase_cos": F.cos(ang)})
 
@@ -66,7 +65,7 @@ def ar_feature_names(value: str, lags: int) -> list[str]:
 def ar_fit(design: DataFrame, value: str, lags: int = 20, reg: float = 0.0):
     """One-step-ahead linear AR model shared by all series (rows with a full window)."""
     names = ar_feature_names(value, lags)
-    data = MD.assemble(design, names).withColumnRenamed(value, "label")
+    data = MD.assemble(MD.complete_rows(design, names), names).withColumnRenamed(value, "label")
     lr = LinearRegression(regParam=reg, elasticNetParam=0.0, labelCol="label")
     return lr.fit(data), names
 
@@ -79,12 +78,11 @@ def ar_direct_fit(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     The design (lags and leads) comes from one skew-safe segmentation; the ``horizon``
     fits share one pinned training table.
     """
-    lagged = SR.lag_features(df, keys, order, value, lags=lags, leads=horizon)
-    posd = SR.with_position(lagged, keys, order, out="pos")
+    posd = SR.lag_features(df, keys, order, value, lags=lags, leads=horizon, position="pos")
     ang = F.lit(2 * math.pi / period) * F.col("pos")
     design = posd.withColumns({"phase_sin": F.sin(ang), "phase_cos": F.cos(ang)})
     names = ar_feature_names(value, lags)
-    data = MD.training_table(MD.assemble(design, names))
+    data = MD.training_table(MD.assemble(MD.complete_rows(design, names), names))
     models = {}
     for h in range(1, horizon + 1):
         target = f"{value}_lead_{h}"
@@ -106,9 +104,11 @@ def ar_forecast(design: DataFrame, model, keys: Sequence[str], value: str, lags:
     coef = [float(x) for x in model.coefficients.toArray()]
     a_lag, (c_sin, c_cos) = coef[:lags], coef[lags:lags + 2]
     b0 = float(model.intercept)
-    ends = design.groupBy(*keys).agg(F.max("pos").alias("_last"))
-    tail = design.join(ends, keys).where(F.col("pos") > F.col("_last") - lags)
-    hist = tail.groupBy(*keys, "_last").agg(
+    # Keys are packed in a struct, whose equality is null-safe: a null key is a series too.
+    packed = design.select(F.struct(*keys).alias("_sk"), "pos", value)
+    ends = packed.groupBy("_sk").agg(F.max("pos").alias("_last"))
+    tail = packed.join(ends, "_sk").where(F.col("pos") > F.col("_last") - lags)
+    hist = tail.groupBy("_sk", "_last").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", value))),
                     lambda s: s[value]).alias("_hist"))
 
@@ -126,7 +126,7 @@ def ar_forecast(design: DataFrame, model, keys: Sequence[str], value: str, lags:
                      F.array().cast("array<double>").alias("out"))
     res = hist.withColumn("_fc", F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start,
                                              step)["out"])
-    return res.select(*keys, F.posexplode("_fc").alias("_i", "forecast")).select(
+    return res.select("_sk.*", F.posexplode("_fc").alias("_i", "forecast")).select(
         *keys, (F.col("_i") + 1).alias("step"), "forecast")
 
 
@@ -153,17 +153,25 @@ def _station_design(readings: DataFrame) -> DataFrame:
 
     Station rows carry no id and (time, lane) may repeat within a device, so a hash of
     the whole row (deterministic, recomputed identically on retry) breaks ties in series
-    order and identifies the row for splitting.
+    order and identifies the row for splitting. Every reading stays: a feature that is still
+    null is NaN in the vector, which trees score; fits take the complete rows.
     """
     keyed = readings.withColumn("_row", F.xxhash64(*readings.columns))
     prepared = prepare_readings(keyed, ["Devices", "Lane"], "Time", "_row", ["Speed"])
-    return MD.assemble(prepared, STATION_FEATURES + ["Lane"]).withColumnRenamed("Traffic",
-                                                                                 "label")
+    return MD.assemble(prepared, STATION_INPUTS, handle_invalid="keep") \
+             .withColumnRenamed("Traffic", "label")
+
+
+STATION_INPUTS = STATION_FEATURES + ["Lane", "Devices"]
+
+
+def _complete(design: DataFrame) -> DataFrame:
+    return MD.complete_rows(design, STATION_INPUTS + ["label"])
 
 
 def build_model(readings: DataFrame, num_trees: int = 30, seed: int = 0):
-    """One forest for the whole fleet; the lane is a feature of every row."""
-    return MD.rf_regressor(num_trees, 10, seed).fit(_station_design(readings))
+    """One forest for the whole fleet; the lane and the device are features of every row."""
+    return MD.rf_regressor(num_trees, 10, seed).fit(_complete(_station_design(readings)))
 
 
 def build_one_device(readings: DataFrame, device: int, num_trees: int = 30,
@@ -174,11 +182,23 @@ def build_one_device(readings: DataFrame, device: int, num_trees: int = 30,
     from tidemark.operators import split as SP
     data = _station_design(readings.where(F.col("Devices") == F.lit(device)))
     data = SP.train_test_split(data, "_row", test_fraction)
-    model = MD.rf_regressor(num_trees, 10, seed).fit(data.where("is_test = 0"))
+    model = MD.rf_regressor(num_trees, 10, seed).fit(_complete(data.where("is_test = 0")))
     scored = model.transform(data.where("is_test = 1"))
     return model, EV.regression_metrics(scored, "label", "prediction", ["Lane"])
 
 
+def lane_metrics(readings: DataFrame, num_trees: int = 30, test_fraction: float = 0.25,
+                 seed: int = 0) -> DataFrame:
+    """MSE / MAE / R^2 on a held-out ``test_fraction`` for every device and lane, from one fleet
+    model in one plan."""
+    from tidemark.operators import evaluate as EV
+    from tidemark.operators import split as SP
+    data = MD.training_table(SP.train_test_split(_station_design(readings), "_row", test_fraction))
+    model = MD.rf_regressor(num_trees, 10, seed).fit(_complete(data.where("is_test = 0")))
+    scored = model.transform(data.where("is_test = 1"))
+    return EV.regression_metrics(scored, "label", "prediction", ["Devices", "Lane"])
+
+
 def model_predict(model, readings: DataFrame) -> DataFrame:
     """Score readings with a fleet model and roll the lanes up to the two directions."""
     return score_directions(model, _station_design(readings), "Devices", "Lane", "Time")
