@@ -2,13 +2,15 @@
 
 Everything that has to be written by a job (CSV sinks, partitioned tables, saved models,
 checkpoints that cut lineage) goes below the folder the cluster names in
-``spark.checkpoint.dir``. A machine-local temporary folder is only chosen when that
-setting is absent, which is the case in unit tests.
+``spark.checkpoint.dir``. Where that setting is absent, a local session (unit tests) gets a
+temporary folder, which goes when the driver ends; any other master is refused.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,6 +39,11 @@ def build_session(master: str | None = None, app: str = "tidemark",
       same everywhere; the driver tables use ``timestamp_ntz`` and are unaffected.
     * UI off (no server is opened).
 
+    Series operators range-partition with the width that adaptive execution starts from,
+    ``spark.sql.adaptive.coalescePartitions.initialPartitionNum`` (the shuffle width unless
+    set): AQE merges ranges to its advisory size, and it can't split them, so on larger inputs
+    raise it until ``input bytes / width`` is below what a task can hold.
+
     Sizing: locally the shuffle width follows the cores. On a cluster the shuffle starts
     wide (``TIDEMARK_SHUFFLE_PARTITIONS``, default 16000) and AQE coalesces it down to
     ~256 MB partitions; file splits are 512 MB, so a 100 TB scan is ~200k tasks rather
@@ -69,6 +76,10 @@ def build_session(master: str | None = None, app: str = "tidemark",
     return spark
 
 
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, configuring one only when none is set."""
     sc = spark.sparkContext
@@ -78,8 +89,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        # Only reached in local runs/tests: the cluster always names a shared folder.
+        # A folder of this machine will do only where every executor is on it.
+        if not _one_machine(sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tidemark-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -88,3 +102,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path in shared storage for a table or model written by a job."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/tidemark-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a written table or model that is no longer needed, wherever it lies."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
