@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, functions as F
 
 def regression_metrics(df: DataFrame, label: str, pred: str,
                        groups: Sequence[str] = ()) -> DataFrame:
-    """MSE, MAE and R^2 (``1 - SSE / SST``, SST around the label mean), per group."""
+    """MSE, MAE and R^2 (``1 - SSE / SST``, SST around the label mean), per group.
+
+    R^2 of a group whose labels are all equal (one row, say) is undefined: null.
+    """
     e = F.col(label) - F.col(pred)
     agg = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
         F.sum(e * e).alias("_sse"), F.var_pop(label).alias("_vp"))
-    r2 = F.lit(1.0) - F.col("_sse") / (F.col("_vp") * F.col("n"))
+    r2 = F.lit(1.0) - F.col("_sse") / F.nullif(F.col("_vp") * F.col("n"), F.lit(0.0))
     return agg.select(*groups, "n", "mse", "mae", r2.alias("r2"))
 
 

@@ -50,14 +50,16 @@ def rows_with_any_null(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 
 def shared_key_flag(df: DataFrame, key: str, out: str = "shared") -> DataFrame:
-    """1 when ``key`` occurs more than once in the table, else 0.
+    """1 when ``key`` occurs more than once in the table, else 0 (also for a null key: nulls
+    are not counted).
 
     A partial count per key (one row per key and map task crosses the shuffle, whatever
     the skew) joined back; AQE broadcasts the counts when they are measured small and
     splits a skewed key's partition otherwise.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_kcount"))
-    res = df.join(counts, df[key].eqNullSafe(counts[key]), "left").drop(counts[key])
+    counts = (df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"))
+                .agg(F.count(F.lit(1)).alias("_kcount")))
+    res = df.join(counts, F.col(key) == F.col("_key"), "left").drop("_key")
     return res.withColumn(out, (F.coalesce(F.col("_kcount"), F.lit(0)) > 1).cast("int")) \
               .drop("_kcount")
 
@@ -101,17 +103,20 @@ def having_count(df: DataFrame, keys, min_count: int = 2, out: str = "count") ->
               .where(F.col(out) >= min_count))
 
 
-def crosstab(df: DataFrame, row: str, col: str, values: Sequence, prefix: str = "") -> DataFrame:
+def crosstab(df: DataFrame, row: str, col: str, values: Sequence, prefix: str = "",
+             other: str | None = None) -> DataFrame:
     """Counts of ``row`` x ``col``; one output column per listed ``col`` value.
 
-    The value list is given, so no extra job runs to discover the pivot columns.
-    Absent combinations count 0.
+    The columns are those of ``values``, so no extra job runs to discover them; take all
+    values of the column from :func:`features.fit_levels`. ``other`` names a column for the
+    rows whose value is null or not listed, so that no count is lost. Absent combinations
+    count 0.
     """
-    names = {v: f"{prefix}{v}" for v in values}
-    res = df.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1)))
-    for v in values:
-        res = res.withColumnRenamed(str(v), names[v])
-    return res.fillna(0, subset=list(names.values()))
+    aggs = [F.count_if(F.col(col) == F.lit(v)).alias(f"{prefix}{v}") for v in values]
+    if other:
+        listed = F.coalesce(F.col(col).isin(list(values)), F.lit(False))
+        aggs.append(F.count_if(~listed).alias(other))
+    return df.groupBy(row).agg(*aggs)
 
 
 def transpose(df: DataFrame, id_col: str, value_cols: Sequence[str], ids: Sequence,
@@ -228,7 +233,8 @@ def kde_grid(df: DataFrame, value: str, grid: Sequence[float],
              groups: Sequence[str] = (), out: str = "density") -> DataFrame:
     """Gaussian kernel density of ``value`` evaluated on a fixed grid, per group.
 
-    Bandwidth by Scott's rule, ``h = std * n^(-1/5)`` (sample std). One pass gathers
+    Bandwidth by Scott's rule, ``h = std * n^(-1/5)`` (sample std); a group without spread
+    (one row, equal values) has no bandwidth and a null density. One pass gathers
     (n, std); a second pass evaluates every grid point as its own aggregate column (no
     row multiplication, no cross join) and the columns are unpivoted to rows.
     """
@@ -236,9 +242,12 @@ def kde_grid(df: DataFrame, value: str, grid: Sequence[float],
     d = df.where(F.col(value).isNotNull())
     stats = d.groupBy(*groups).agg(F.count(value).alias("_n"),
                                    F.stddev_samp(value).alias("_sd"))
-    stats = stats.withColumn("_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)))
+    stats = stats.withColumn("_h", F.nullif(F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)), F.lit(0.0)))
     if groups:
-        j = d.join(stats, groups, "inner")
+        # Packed group keys: a null group is a group, and struct equality is null-safe.
+        key = F.struct(*groups)
+        s = stats.select(key.alias("_gk"), "_h")
+        j = d.withColumn("_gk", key).join(s, "_gk", "inner").drop("_gk")
     else:
         # One-row statistics: fetched as literals (the "fit" of the bandwidth).
         h = stats.select("_h").first()[0]

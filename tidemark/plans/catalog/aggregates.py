@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.operators import features as FE
 from tidemark.operators import table as TB
 from tidemark.plans.catalog.relational import LINE_NUMERIC, STATUSES
 from tidemark.plans.registry import query
@@ -44,10 +45,11 @@ SELECT CAST(floor(length(d.text) / 1000) AS BIGINT) AS length_bucket,
        round(avg(l.quality), 6) AS quality_rate, COUNT(*) AS n_docs
 FROM documents d JOIN labels l USING (doc_id) GROUP BY 1""")
 def rate_by_text_length(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # the length, not the text, goes through the join
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.floor(F.length("text") / 1000).cast("long").alias("length_bucket"))
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    j = d.join(lab, "doc_id", "inner")
-    return j.groupBy(F.floor(F.length("text") / 1000).cast("long").alias("length_bucket")).agg(
+    return d.join(lab, "doc_id", "inner").groupBy("length_bucket").agg(
         F.round(F.avg("quality"), 6).alias("quality_rate"), F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -153,8 +155,8 @@ _ct_cols = ", ".join(f"COUNT(*) FILTER (WHERE o_orderstatus = '{s}') AS \"{s}\""
 @query("crosstab_pivot", f"""
 SELECT o_orderpriority, {_ct_cols} FROM orders GROUP BY 1""")
 def crosstab_pivot(spark, sf_dir):
-    return TB.crosstab(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus",
-                       STATUSES)
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus")
+    return TB.crosstab(o, "o_orderpriority", "o_orderstatus", FE.fit_levels(o, "o_orderstatus"))
 
 
 # A16 -----------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.operators import features as FE
 from tidemark.operators import series as SR
 from tidemark.operators import table as TB
 from tidemark.plans.registry import query
@@ -223,7 +224,7 @@ FROM orders o JOIN (SELECT o_orderpriority, median(o_totalprice) AS prio_median
                     FROM orders GROUP BY 1) m USING (o_orderpriority)""")
 def group_stat_lookup(spark, sf_dir):
     o = orders(spark, sf_dir).select("o_orderkey", "o_orderpriority", "o_totalprice")
-    med = TB.group_median(o, "o_totalprice", ["o_orderpriority"], out="prio_median")
+    med = FE.small_side(TB.group_median(o, "o_totalprice", ["o_orderpriority"], out="prio_median"))
     res = o.join(med, "o_orderpriority", "inner")
     return res.select("o_orderkey", "o_orderpriority", "o_totalprice",
                       F.round("prio_median", 6).alias("prio_median"))
@@ -343,6 +344,7 @@ _prio_cols = ", ".join(
 WITH c AS (SELECT o_orderpriority, o_orderstatus, COUNT(*) AS n FROM orders GROUP BY 1, 2)
 SELECT o_orderstatus AS field, {_prio_cols} FROM c GROUP BY 1""")
 def transpose_counts(spark, sf_dir):
-    o = orders(spark, sf_dir)
-    ct = TB.crosstab(o, "o_orderpriority", "o_orderstatus", STATUSES)
-    return TB.transpose(ct, "o_orderpriority", STATUSES, PRIORITIES)
+    o = orders(spark, sf_dir).select("o_orderpriority", "o_orderstatus")
+    statuses, priorities = (FE.fit_levels(o, c) for c in ("o_orderstatus", "o_orderpriority"))
+    ct = TB.crosstab(o, "o_orderpriority", "o_orderstatus", statuses)
+    return TB.transpose(ct, "o_orderpriority", statuses, priorities)
