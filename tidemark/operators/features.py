@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators import series as SR
 from tidemark.operators import table as TB
+from tidemark.session import ensure_checkpoint_dir
 
 
 # E1 ------------------------------------------------------------------------------------
@@ -22,7 +24,7 @@ def fit_levels(df: DataFrame, col: str, max_levels: int = 10_000) -> list:
     """Sorted distinct non-null values of a low-cardinality column.
 
     The list becomes literal column names, so its size is checked: a column with more
-    than ``max_levels`` values is refused (use :func:`fit_label_dictionary` instead).
+    than ``max_levels`` values is refused; :func:`one_hot_vector` takes any number.
     """
     vals = (df.where(F.col(col).isNotNull()).select(col).distinct()
               .orderBy(col).limit(max_levels + 1).collect())
@@ -55,6 +57,39 @@ def fit_label_dictionary(df: DataFrame, col: str, code: str = "code") -> DataFra
     return SR.with_position(distinct, [], [col], out=code)
 
 
+def fit_label_dictionaries(df: DataFrame, cols: Sequence[str], code: str = "code") -> dict[str, DataFrame]:
+    """``fit_label_dictionary`` of several columns from one numbering, written once.
+
+    The distinct (column, value) pairs are numbered per column by one skew-safe pass; numbers
+    sort as numbers, everything else as text.
+    """
+    kinds = dict(df.dtypes)
+    numeric = lambda c: kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    items = F.array(*[F.struct(
+        F.lit(c).alias("column"),
+        (F.col(c).cast("double") if numeric(c) else F.lit(None).cast("double")).alias("number"),
+        (F.lit(None).cast("string") if numeric(c) else F.col(c).cast("string")).alias("text"))
+        for c in cols])
+    pairs = (df.select(F.explode(items).alias("i")).select("i.*")
+               .where(F.col("number").isNotNull() | F.col("text").isNotNull()).distinct())
+    coded = SR.with_position(pairs, ["column"], ["number", "text"], out=code).checkpoint(eager=True)
+    return {c: coded.where(F.col("column") == c).select(
+        F.col("number" if numeric(c) else "text").cast(kinds[c]).alias(c), code) for c in cols}
+
+
+def one_hot_vector(df: DataFrame, dictionary: DataFrame, col: str, out: str, code: str = "code") -> DataFrame:
+    """One-hot codes as a sparse vector, for columns with any number of values.
+
+    The dictionary stays a table (joined, not listed); a null or unseen value takes the place
+    after the last.
+    """
+    size = dictionary.agg(F.coalesce(F.max(code), F.lit(-1)) + 1).first()[0]
+    coded = label_encode(df, dictionary, col, "_code", code).fillna({"_code": float(size)})
+    slots = df.sparkSession.range(size + 1).select(F.col("id").cast("double").alias("_code"))
+    return (OneHotEncoder(inputCol="_code", outputCol=out, dropLast=False).fit(slots)
+            .transform(coded).drop("_code"))
+
+
 def label_encode(df: DataFrame, dictionary: DataFrame, col: str, out: str | None = None,
                  code: str = "code", as_double: bool = True) -> DataFrame:
     """Replace (or add as ``out``) ``col`` by its dictionary code; unseen -> null.
@@ -111,6 +146,17 @@ def formula_design(df: DataFrame, categorical: Sequence[str], numeric: Sequence[
     return d.select(*cols)
 
 
+#: Rows up to which a fitted statistic is broadcast.
+SMALL_ROWS = 10_000
+
+
+def small_side(stats: DataFrame) -> DataFrame:
+    """``stats`` written once and, if it has been counted to be small, marked for broadcast."""
+    ensure_checkpoint_dir(stats.sparkSession)
+    stats = stats.checkpoint(eager=True)
+    return F.broadcast(stats) if stats.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else stats
+
+
 # E9 ------------------------------------------------------------------------------------
 def fit_group_stat(df: DataFrame, value: str, groups: Sequence[str], stat: str = "median",
                    out: str = "_stat") -> DataFrame:
@@ -124,8 +170,13 @@ def fit_group_stat(df: DataFrame, value: str, groups: Sequence[str], stat: str =
 
 def impute_group_stat(df: DataFrame, value: str, stats: DataFrame, groups: Sequence[str],
                       out: str | None = None, stat_col: str = "_stat") -> DataFrame:
-    """Fill nulls of ``value`` with the statistic of the row's group."""
+    """Fill nulls of ``value`` with the statistic of the row's group.
+
+    Rows often have few groups, and a shuffle on these would put each in one task: statistics
+    that are counted to be small are broadcast, others are joined by shuffle.
+    """
     out = out or value
+    stats = small_side(stats)
     s = stats.select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col(stat_col).alias("_sv"))
     cond = [df[g].eqNullSafe(s[f"_g_{g}"]) for g in groups]
     res = df.join(s, cond, "left").drop(*[f"_g_{g}" for g in groups])

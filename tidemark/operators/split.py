@@ -9,6 +9,7 @@ window runs over the whole table in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,17 +25,24 @@ def hash_order(id_col: str, salt: str = "") -> Column:
     return F.md5(key)
 
 
-def _ranked(df: DataFrame, id_col: str, salt: str, groups: Sequence[str] = ()):
-    d = df.withColumn("_h", hash_order(id_col, salt))
-    r = SR.with_position(d, list(groups), ["_h", id_col], out="_pos", total="_n")
-    return r.drop("_h")
+def ranked(df: DataFrame, id_col: str, salt: str = "", groups: Sequence[str] = ()):
+    """``df`` with each row's position in seeded order and its group's size.
+
+    Only (group, id) is sorted and written; the rows themselves are joined by id. Repeated ids
+    are numbered once: they get the same flag, and sizes count distinct ids.
+    """
+    ids = df.select(*groups, id_col).distinct().withColumn("_h", hash_order(id_col, salt))
+    r = SR.with_position(ids, list(groups), ["_h", id_col], out="_pos", total="_n").drop("_h")
+    keys = [*groups, id_col]
+    r = r.select(F.struct(*keys).alias("_rk"), "_pos", "_n")
+    return df.withColumn("_rk", F.struct(*keys)).join(r, "_rk").drop("_rk")
 
 
 # K1 ------------------------------------------------------------------------------------
 def train_test_split(df: DataFrame, id_col: str, test_fraction: float = 0.25,
                      salt: str = "", out: str = "is_test") -> DataFrame:
     """Flag exactly ``ceil(n * test_fraction)`` rows as test (int 1/0)."""
-    r = _ranked(df, id_col, salt)
+    r = ranked(df, id_col, salt)
     flag = (F.col("_pos") < F.ceil(F.col("_n") * F.lit(test_fraction))).cast("int")
     return r.withColumn(out, flag).drop("_pos", "_n")
 
@@ -44,7 +52,7 @@ def three_way_split(df: DataFrame, id_col: str, fractions=(0.6, 0.2, 0.2), salt:
                     names=("train", "validation", "test"), out: str = "split") -> DataFrame:
     if abs(sum(fractions) - 1.0) > 1e-9:
         raise ValueError("fractions must sum to 1")
-    r = _ranked(df, id_col, salt)
+    r = ranked(df, id_col, salt)
     b1 = F.ceil(F.col("_n") * F.lit(fractions[0]))
     b2 = F.ceil(F.col("_n") * F.lit(fractions[0] + fractions[1]))
     lab = (F.when(F.col("_pos") < b1, F.lit(names[0]))
@@ -73,7 +81,7 @@ def kfold_assign(df: DataFrame, order: Sequence[str], k: int, out: str = "fold")
 def stratified_split(df: DataFrame, id_col: str, label: str, test_fraction: float = 0.2,
                      salt: str = "", out: str = "is_test") -> DataFrame:
     """Per class, ``ceil(n_class * f)`` rows in seeded order go to test."""
-    r = _ranked(df, id_col, salt, [label])
+    r = ranked(df, id_col, salt, [label])
     flag = (F.col("_pos") < F.ceil(F.col("_n") * F.lit(test_fraction))).cast("int")
     return r.withColumn(out, flag).drop("_pos", "_n")
 
@@ -100,14 +108,36 @@ def stratified_shuffle_splits(df: DataFrame, id_col: str, label: str, n_splits:
 def stratified_kfold(df: DataFrame, id_col: str, label: str, k: int, salt: str = "",
                      out: str = "fold") -> DataFrame:
     """Per class, rows in seeded order are dealt to folds round-robin."""
-    r = _ranked(df, id_col, salt, [label])
+    r = ranked(df, id_col, salt, [label])
     return r.withColumn(out, F.pmod(F.col("_pos"), F.lit(k)).cast("int")).drop("_pos", "_n")
 
 
 # K7 ------------------------------------------------------------------------------------
-def bootstrap_sample(df: DataFrame, fraction: float = 0.8, seed: int = 0) -> DataFrame:
-    """Sample with replacement of about ``fraction * n`` rows (Poisson per row)."""
-    return df.sample(withReplacement=True, fraction=fraction, seed=seed)
+def bootstrap_sample(df: DataFrame, id_col: str, fraction: float = 0.8, seed: int = 0) -> DataFrame:
+    """Sample with replacement of about ``fraction * n`` rows.
+
+    Every row is repeated as often as a Poisson(``fraction``) count says that is read off a
+    hash of (seed, id), so the sample depends on neither partitioning nor retries. Counts
+    have a resolution of 1/65536.
+    """
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), 1, 4)
+    times = F.lit(0)
+    for cut in poisson_cuts(fraction):
+        times = times + (digits >= cut).cast("int")
+    return df.withColumn("_n", F.explode(F.array_repeat(F.lit(0), times))).drop("_n")
+
+
+def poisson_cuts(rate: float, resolution: int = 65536) -> list[str]:
+    """Hash prefixes from which a Poisson count is at least 1, 2, ... (four hex digits)."""
+    cuts, upto, term, k = [], 0.0, math.exp(-rate), 0
+    while True:
+        upto += term
+        cut = round(upto * resolution)
+        if cut >= resolution:
+            return cuts
+        cuts.append(format(cut, "04x"))
+        k += 1
+        term *= rate / k
 
 
 

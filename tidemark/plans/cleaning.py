@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.functions import scalar as S
 from tidemark.operators import features as FE
 from tidemark.operators import table as TB
+from tidemark.session import ensure_checkpoint_dir
 
-# Output feature set of the final cleaning variant (label first when present).
+# The names of the output features of the final cleaning variant (label first
+# when present), of the encoded columns, and of the scaled ones.
 FEATURES = ["Sex", "AgeCat", "Fare_Person_scaled", "Family_Size", "Age_suqre_scaled",
             "Ticket_scaled", "Embarked", "AgeClass", "Name_length", "Class_scaled", "Title",
             "Fare", "Pclass"]
@@ -78,12 +80,16 @@ def _encoded(df: DataFrame, dictionaries: dict) -> DataFrame:
 
 
 def fit(train: DataFrame, strict_reference: bool = False) -> CleaningState:
-    b = _base(train, strict_reference)
-    fare_medians = FE.fit_group_stat(b, "Fare", ["Pclass"], "median")
+    """Fit all state. The columns that fitting needs are pinned once; every state table is
+    small and is written when it is fitted, so no step runs an earlier one again."""
+    ensure_checkpoint_dir(train.sparkSession)
+    b = _base(train, strict_reference).select(
+        "Pclass", "Fare", "Title", "Age", "Family_Size", "Sex", "Embarked", "Ticket").checkpoint(eager=True)
+    fare_medians = FE.small_side(FE.fit_group_stat(b, "Fare", ["Pclass"], "median"))
     b = _with_fare(b, fare_medians)
-    title_ages = FE.fit_group_stat(b, "Age", ["Title"], "mean")
+    title_ages = FE.small_side(FE.fit_group_stat(b, "Age", ["Title"], "mean"))
     b = _with_age(b, title_ages)
-    dictionaries = {c: FE.fit_label_dictionary(b, c) for c in ENCODED + ["Ticket"]}
+    dictionaries = FE.fit_label_dictionaries(b, ENCODED + ["Ticket"])
     enc = _encoded(b, dictionaries)
     scalers = FE.fit_standard_scaler(enc, list(SCALED))
     return CleaningState(fare_medians, title_ages, dictionaries, scalers)
@@ -111,7 +117,7 @@ def submission(train: DataFrame, test: DataFrame, estimator, label: str = "Survi
     tr = transform(train, state, label=label, keep=(id_col,))
     te = transform(test, state, keep=(id_col,))
     feats = [c for c in FEATURES]
-    tr = MD.assemble(tr.withColumn("label", F.col(label).cast("double")), feats)
+    tr = MD.assemble(MD.complete_rows(tr.withColumn("label", F.col(label).cast("double")), feats), feats)
     model = estimator.fit(MD.training_table(tr))
     out = model.transform(MD.assemble(te, feats, handle_invalid="keep"))
     return out.select(id_col, F.col("prediction").cast("int").alias(label))
