@@ -9,8 +9,8 @@ Estimators Spark ML lacks are compositions of Spark ML fits and DataFrame aggreg
 
 * AdaBoost (discrete SAMME): weighted depth-1 trees; each round's error is one
   aggregation, the new weights a column expression; lineage is cut by ``checkpoint``.
-* Extremely randomised trees: every tree sees the features cut at random thresholds drawn
-  per tree, so its split search can only choose among random cut points (an
+* Extremely randomised trees: forests whose features are cut at random thresholds drawn per
+  batch of trees, so their split search can only choose among random cut points (an
   approximation of per-node random thresholds, documented as such).
 * Out-of-fold predictions / stacking / bagging: loops of ordinary fits over fold or
   bootstrap columns, results joined on the row id.
@@ -40,13 +40,23 @@ from tidemark.session import ensure_checkpoint_dir
 
 # --- assembling ----------------------------------------------------------------------------
 def assemble(df: DataFrame, inputs: Sequence[str], out: str = "features",
-             handle_invalid: str = "skip") -> DataFrame:
-    """Feature columns (by name) -> one vector column. Rows with a null feature are
-    skipped by default (the analysed code dropped them before building its matrix)."""
+             handle_invalid: str = "error") -> DataFrame:
+    """Feature columns (by name) -> one vector column; no row is dropped.
+
+    A null feature is an error by default; ``"keep"`` gives NaN there, which tree models can
+    score. Rows to fit on are chosen by the caller with :func:`complete_rows`.
+    """
+    if handle_invalid == "skip":
+        raise ValueError("rows are dropped by complete_rows, not while assembling")
     return VectorAssembler(inputCols=list(inputs), outputCol=out,
                            handleInvalid=handle_invalid).transform(df)
 
 
+def complete_rows(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
+    """Rows without a null in ``inputs``: those that a model can be fitted on."""
+    return df.dropna(subset=list(inputs))
+
+
 def scaled(df: DataFrame, inp: str = "features", out: str = "scaled") -> tuple[DataFrame, object]:
     """Standardised features (mean 0, unit sample std) -- for margin-based learners."""
     m = StandardScaler(inputCol=inp, outputCol=out, withMean=True, withStd=True).fit(df)
@@ -125,111 +135,116 @@ def svc_multiclass(n_rows: int, c: float = 1.0, label="label", features="feature
 
 # --- AdaBoost (discrete SAMME) -------------------------------------------------------------
 class AdaBoostModel:
-    def __init__(self, stumps, alphas, classes, features):
-        self.stumps, self.alphas, self.classes, self.features = stumps, alphas, classes, features
+    """Weighted depth-1 trees, kept as (feature, threshold, left, right, weight) numbers and
+    scored in one expression, whatever their count."""
+
+    def __init__(self, stumps, classes, features, importances):
+        self.stumps, self.classes, self.features = stumps, classes, features
+        self.featureImportances = importances
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        """Weighted vote: class with the largest sum of round weights."""
-        res = df
-        votes = {c: F.lit(0.0) for c in self.classes}
-        for i, (m, a) in enumerate(zip(self.stumps, self.alphas)):
-            col = f"_ada{i}"
-            res = m.setPredictionCol(col).setRawPredictionCol(f"_raw{i}") \
-                   .setProbabilityCol(f"_p{i}").transform(res).drop(f"_raw{i}", f"_p{i}")
-            for c in self.classes:
-                votes[c] = votes[c] + F.when(F.col(col) == F.lit(float(c)), F.lit(a)).otherwise(0.0)
-        # Ties go to the smaller class: maximise (score, -class).
-        best = F.array_max(F.array(*[F.struct(votes[c].alias("s"), F.lit(-float(c)).alias("neg"))
+        """Weighted vote: class with the largest sum of round weights; ties go to the smaller."""
+        x = vector_to_array(F.col(self.features))
+        if not self.stumps:
+            return df.withColumn(out, F.lit(float(self.classes[0]) if self.classes else None))
+        rounds = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(t).alias("t"), F.lit(lo).alias("lo"),
+                                    F.lit(hi).alias("hi"), F.lit(a).alias("a"))
+                           for f, t, lo, hi, a in self.stumps])
+        said = F.transform(rounds, lambda r: F.struct(
+            F.when(F.get(F.col("_x"), r["f"]) <= r["t"], r["lo"]).otherwise(r["hi"]).alias("c"), r["a"].alias("a")))
+        score = lambda c: F.aggregate("_said", F.lit(0.0), lambda acc, r: acc + F.when(
+            r["c"] == F.lit(float(c)), r["a"]).otherwise(0.0))
+        best = F.array_max(F.array(*[F.struct(score(c).alias("s"), F.lit(-float(c)).alias("neg"))
                                      for c in self.classes]))
-        res = res.withColumn(out, -best["neg"])
-        return res.drop(*[f"_ada{i}" for i in range(len(self.stumps))])
+        return df.withColumn("_x", x).withColumn("_said", said).withColumn(out, -best["neg"]).drop("_x", "_said")
 
-    @property
-    def featureImportances(self):
-        """Alpha-weighted mean of the stumps' importances."""
-        tot = sum(self.alphas) or 1.0
-        acc = None
-        for m, a in zip(self.stumps, self.alphas):
-            v = m.featureImportances.toArray() * (a / tot)
-            acc = v if acc is None else acc + v
-        return acc
+
+def _stump(model) -> tuple[int, float, float, float]:
+    """(feature, threshold, prediction at or below, prediction above) of a depth-1 tree."""
+    root = model._java_obj.rootNode()
+    if root.subtreeDepth() == 0:
+        return 0, float("inf"), float(root.prediction()), float(root.prediction())
+    split = root.split()
+    return (split.featureIndex(), float(split.threshold()), float(root.leftChild().prediction()),
+            float(root.rightChild().prediction()))
 
 
 def adaboost(df: DataFrame, rounds: int = 500, learning_rate: float = 0.75,
              label: str = "label", features: str = "features",
-             checkpoint_every: int = 5, max_classes: int = 1000) -> AdaBoostModel:
+             checkpoint_every: int = 10) -> AdaBoostModel:
     """Discrete SAMME boosting of depth-1 trees (Zhu et al., 2009).
 
-    Per round: fit a stump with ``weightCol``, one aggregation gives the weighted error,
-    a column expression reweights the rows. Rows and weights stay distributed; the
-    lineage is cut every ``checkpoint_every`` rounds with a reliable checkpoint.
+    Per round: fit a stump with ``weightCol``, one aggregation gives the weighted error, a
+    column expression reweights the rows; the new total weight follows from the error. The
+    reweighted rows are kept in memory for the next round, and every ``checkpoint_every``
+    rounds a reliable checkpoint cuts the lineage.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    classes = sorted(r[0] for r in df.select(label).distinct().limit(max_classes + 1).collect())
-    if len(classes) > max_classes:
-        raise ValueError(f"more than {max_classes} classes in {label}")
+    stats = df.agg(F.count("*"), F.array_sort(F.collect_set(label))).first()
+    n, classes = stats[0], list(stats[1])
     k = len(classes)
-    n = df.count()
-    data = df.select(label, features).withColumn("_w", F.lit(1.0 / n))
-    stumps, alphas = [], []
-    for i in range(rounds):
-        stump = DecisionTreeClassifier(maxDepth=1, labelCol=label, featuresCol=features,
-                                       weightCol="_w", predictionCol="_pred",
-                                       rawPredictionCol="_raw", probabilityCol="_prob")
-        m = stump.fit(data)
-        scored = m.transform(data).drop("_raw", "_prob")
-        miss = (F.col("_pred") != F.col(label)).cast("double")
-        row = scored.agg((F.sum(F.col("_w") * miss) / F.sum("_w")).alias("err")).first()
-        err = float(row["err"] or 0.0)
+    data = df.select(label, features).withColumn("_w", F.lit(1.0 / max(n, 1))).persist()
+    stumps, importances, total = [], 0.0, 0.0
+    for i in range(rounds if k > 1 else 0):
+        m = DecisionTreeClassifier(maxDepth=1, labelCol=label, featuresCol=features,
+                                   weightCol="_w", predictionCol="_pred",
+                                   rawPredictionCol="_raw", probabilityCol="_prob").fit(data)
+        f, t, lo, hi = _stump(m)
+        said = F.when(vector_to_array(F.col(features))[f] <= t, F.lit(lo)).otherwise(F.lit(hi))
+        miss = (said != F.col(label)).cast("double")
+        err = float(data.agg(F.sum(F.col("_w") * miss)).first()[0] or 0.0)
         if err >= 1.0 - 1.0 / k:
             break  # no better than chance: stop, as SAMME does
+        sure = err <= 1e-12
         err = max(err, 1e-12)
         alpha = learning_rate * (math.log((1.0 - err) / err) + math.log(k - 1))
-        stumps.append(m)
-        alphas.append(alpha)
-        if err <= 1e-12:
+        stumps.append((f, t, lo, hi, alpha))
+        importances = importances + m.featureImportances.toArray() * alpha
+        total += alpha
+        if sure:
             break
-        data = scored.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * miss)).drop("_pred")
-        total = data.agg(F.sum("_w")).first()[0]
-        data = data.withColumn("_w", F.col("_w") / F.lit(total))
-        if (i + 1) % checkpoint_every == 0:
-            data = data.checkpoint(eager=True)
-    return AdaBoostModel(stumps, alphas, classes, features)
+        weight = F.col("_w") * F.exp(F.lit(alpha) * miss) / F.lit(1.0 - err + err * math.exp(alpha))
+        after = data.withColumn("_w", weight)
+        after = after.checkpoint(eager=True) if (i + 1) % checkpoint_every == 0 else after
+        after = after.persist()
+        after.count()
+        data.unpersist()
+        data = after
+    data.unpersist()
+    return AdaBoostModel(stumps, classes, features, importances / (total or 1.0) if stumps else [])
 
 
 # --- extremely randomised trees (approximation) --------------------------------------------
 class ExtraTreesModel:
-    def __init__(self, trees, cuts, features):
-        self.trees, self.cuts, self.features = trees, cuts, features
+    """Forests over random cuts; the class probabilities of all trees are averaged."""
+
+    def __init__(self, forests, cuts, features):
+        self.forests, self.cuts, self.features = forests, cuts, features
 
     def transform(self, df: DataFrame, out: str = "prediction",
                   prob: str = "probability_1") -> DataFrame:
-        arr = vector_to_array(F.col(self.features))
-        res = df.withColumn("_xa", arr)
-        p = F.lit(0.0)
-        for t, (m, cuts) in enumerate(zip(self.trees, self.cuts)):
-            res = _cut_features(res, cuts, f"_xt{t}")
-            res = (m.setFeaturesCol(f"_xt{t}").setPredictionCol(f"_pt{t}")
-                    .setProbabilityCol(f"_pp{t}").setRawPredictionCol(f"_rt{t}").transform(res))
-            p = p + vector_to_array(F.col(f"_pp{t}"))[1]
-        res = res.withColumn(prob, p / F.lit(len(self.trees)))
-        drop = ["_xa"] + [f"_{x}t{t}" for t in range(len(self.trees)) for x in "xpr"] + \
-            [f"_pp{t}" for t in range(len(self.trees))]
-        return res.withColumn(out, (F.col(prob) > 0.5).cast("double")).drop(*drop)
+        res, sums = df.withColumn("_xa", vector_to_array(F.col(self.features))), None
+        trees = [m.getNumTrees for m in self.forests]
+        for t, (m, cuts) in enumerate(zip(self.forests, self.cuts)):
+            m = m.copy().setFeaturesCol(f"_xt{t}").setPredictionCol(f"_pt{t}").setProbabilityCol(f"_pp{t}") \
+                 .setRawPredictionCol(f"_rt{t}")
+            res = m.transform(_cut_features(res, cuts, f"_xt{t}")).drop(f"_xt{t}", f"_pt{t}", f"_rt{t}")
+            p = F.transform(vector_to_array(F.col(f"_pp{t}")), lambda v: v * F.lit(trees[t] / sum(trees)))
+            sums = p if sums is None else F.zip_with(sums, p, lambda a, b: a + b)
+        res = res.withColumn("_p", sums).drop("_xa", *[f"_pp{t}" for t in range(len(self.forests))])
+        # the class with the largest mean probability; ties go to the smaller
+        best = F.array_max(F.transform("_p", lambda v, i: F.struct(v.alias("p"), (-i).alias("neg"))))
+        return res.withColumns({prob: F.get("_p", F.lit(1)), out: (-best["neg"]).cast("double")}).drop("_p")
 
     @property
     def featureImportances(self):
         """Importance of a source feature = summed importance of its random cuts."""
         import numpy as np
-        nf = len(self.cuts[0])
-        acc = np.zeros(nf)
-        for m, cuts in zip(self.trees, self.cuts):
-            imp = m.featureImportances.toArray()
-            j = 0
-            for f, cs in enumerate(cuts):
-                acc[f] += imp[j:j + len(cs)].sum()
-                j += len(cs)
-        return acc / max(len(self.trees), 1)
+        acc = np.zeros(len(self.cuts[0]))
+        for m, cuts in zip(self.forests, self.cuts):
+            of = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
+            np.add.at(acc, of, m.featureImportances.toArray() * m.getNumTrees)
+        return acc / max(sum(m.getNumTrees for m in self.forests), 1)
 
 
 def _cut_features(df: DataFrame, cuts, out: str) -> DataFrame:
@@ -238,27 +253,30 @@ def _cut_features(df: DataFrame, cuts, out: str) -> DataFrame:
     return df.withColumn(out, array_to_vector(F.array(*cols)))
 
 
-def extra_trees(df: DataFrame, n_trees: int = 500, max_depth: int = 8, cuts_per_feature: int = 3,
-                seed: int = 0, label: str = "label", features: str = "features") -> ExtraTreesModel:
-    """Each tree: random thresholds per feature drawn uniformly in the feature's range
-    (one aggregation gives the ranges), features replaced by their cut indicators, then a
-    single un-bootstrapped tree with a random feature subset (``sqrt``) per node."""
+def extra_trees(df: DataFrame, n_trees: int = 500, max_depth: int = 8, min_instances: int = 1,
+                batch: int = 50, cuts_per_feature: int = 16, seed: int = 0,
+                label: str = "label", features: str = "features") -> ExtraTreesModel:
+    """Un-bootstrapped forests of ``batch`` trees over features that are cut at thresholds drawn
+    uniformly in each feature's range (one aggregation gives the ranges), with a random feature
+    subset (``sqrt``) per node. Every batch draws its own cuts, so ``n_trees`` trees are a few
+    distributed fits. Rows hold one label of 0, 1, 2, ...
+    """
     rng = random.Random(seed)
     arr = df.select(label, vector_to_array(F.col(features)).alias("_xa"))
     nf = len(arr.select("_xa").first()[0])
     bounds = arr.agg(*[F.min(F.col("_xa")[i]).alias(f"lo{i}") for i in range(nf)],
                      *[F.max(F.col("_xa")[i]).alias(f"hi{i}") for i in range(nf)]).first()
-    trees, all_cuts = [], []
-    for t in range(n_trees):
+    forests, all_cuts = [], []
+    for done in range(0, n_trees, batch):
         cuts = [[rng.uniform(bounds[f"lo{i}"], bounds[f"hi{i}"]) for _ in range(cuts_per_feature)]
                 for i in range(nf)]
-        data = _cut_features(arr, cuts, "_xt")
-        rf = RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt",
-                                    maxDepth=max_depth, seed=rng.randrange(1 << 30),
+        rf = RandomForestClassifier(numTrees=min(batch, n_trees - done), bootstrap=False,
+                                    featureSubsetStrategy="sqrt", maxDepth=max_depth,
+                                    minInstancesPerNode=min_instances, seed=rng.randrange(1 << 30),
                                     labelCol=label, featuresCol="_xt")
-        trees.append(rf.fit(data))
+        forests.append(rf.fit(_cut_features(arr, cuts, "_xt")))
         all_cuts.append(cuts)
-    return ExtraTreesModel(trees, all_cuts, features)
+    return ExtraTreesModel(forests, all_cuts, features)
 
 
 # --- out-of-fold predictions, bagging, stacking --------------------------------------------
@@ -276,37 +294,43 @@ def oof_predictions(df: DataFrame, test: DataFrame | None, make_estimator, id_co
     frame with a ``_score`` column (default: the predicted label).
     """
     score = score or (lambda m, d: m.transform(d).withColumn("_score", F.col("prediction")))
-    oof_parts, test_parts = [], []
+    oof_parts, scores = [], []
+    scored = test.drop(*MODEL_OUTPUTS) if test is not None else None
     for f in range(k):
         train = df.where(F.col(fold_col) != f)
         held = df.where(F.col(fold_col) == f)
         m = make_estimator().fit(train)
         oof_parts.append(score(m, held).select(id_col, F.col("_score").alias(out)))
-        if test is not None:
-            test_parts.append(score(m, test).select(id_col, F.col("_score").alias(out)))
+        if scored is not None:  # one more column for each model: no shuffle
+            scored = score(m, scored).select(*scored.columns, F.col("_score").alias(f"_s{f}"))
+            scores.append(F.col(f"_s{f}"))
     oof = reduce(DataFrame.unionByName, oof_parts)
     tst = None
-    if test is not None:
-        tst = reduce(DataFrame.unionByName, test_parts).groupBy(id_col).agg(
-            F.avg(out).alias(out))
+    if scored is not None:
+        tst = scored.select(id_col, (sum(scores[1:], scores[0]) / F.lit(float(k))).alias(out))
     return oof, tst
 
 
+#: Columns that Spark ML models add.
+MODEL_OUTPUTS = ("prediction", "rawPrediction", "probability")
+
+
 def bagging(df: DataFrame, make_estimator, id_col: str, score_df: DataFrame, n_models: int = 20,
             fraction: float = 0.8, vote: str = "unanimous", seed: int = 0) -> DataFrame:
     """Fit ``n_models`` on bootstrap samples, average their 0/1 predictions per row.
 
     ``vote="unanimous"`` truncates the mean to int (1 only if every model says 1, as the
-    analysed code did); ``"majority"`` rounds it.
+    analysed code did); ``"majority"`` rounds it. The models score the rows one after the
+    other, a column each, so scoring needs no shuffle.
     """
-    parts = []
+    scored, votes = score_df.drop(*MODEL_OUTPUTS), []
     for i in range(n_models):
-        sample = SP.bootstrap_sample(df, fraction, seed + i)
-        m = make_estimator().fit(sample)
-        parts.append(m.transform(score_df).select(id_col, F.col("prediction").alias("_p")))
-    avg = reduce(DataFrame.unionByName, parts).groupBy(id_col).agg(F.avg("_p").alias("mean_vote"))
-    pred = (F.col("mean_vote").cast("int") if vote == "unanimous"
-            else (F.col("mean_vote") >= 0.5).cast("int"))
+        m = make_estimator().fit(SP.bootstrap_sample(df, id_col, fraction, seed + i))
+        scored = m.transform(scored).select(*scored.columns, F.col("prediction").alias(f"_v{i}"))
+        votes.append(F.col(f"_v{i}"))
+    ones = sum(votes[1:], votes[0])
+    avg = scored.select(id_col, (ones / F.lit(float(n_models))).alias("mean_vote"))
+    pred = ((F.col("mean_vote") >= 1.0) if vote == "unanimous" else (F.col("mean_vote") >= 0.5)).cast("int")
     return avg.withColumn("prediction", pred)
 
 

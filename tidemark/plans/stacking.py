@@ -40,5 +40,5 @@ def stack(train: DataFrame, test: DataFrame, bases: Mapping[str, Callable], meta
     tr, te = meta_features(train, test, bases, id_col, fold_col, k, scorers)
     names = list(bases)
     m = meta_estimator.fit(MD.assemble(tr, names))
-    out = m.transform(MD.assemble(te, names))
+    out = m.transform(MD.assemble(te, names, handle_invalid="keep"))
     return out.select(id_col, F.col("prediction").cast("int").alias("prediction"))
