@@ -41,6 +41,14 @@ def test_learners_beat_baseline(separable, make):
     assert acc(m.transform(separable)) > majority(separable) + 0.1
 
 
+@pytest.mark.parametrize("make", [lambda: MD.rf_regressor(20, 6), lambda: MD.gbt_regressor(30, 3, 0.1),
+                                  lambda: MD.ridge(400, 1.0)])
+def test_regressors_beat_the_mean(separable, make):
+    d = separable.withColumn("label", 3 * F.col("a") - F.col("b"))
+    r2 = EV.regression_metrics(make().fit(d).transform(d), "label", "prediction").first().r2
+    assert r2 > 0.7
+
+
 def test_adaboost_and_extra_trees(separable):
     ada = MD.adaboost(separable, rounds=8)
     assert acc(ada.transform(separable)) > majority(separable) + 0.1
