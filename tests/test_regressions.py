@@ -157,3 +157,20 @@ def test_local_scratch_is_gone_when_the_session_ends(tmp_path):
                          env={**__import__("os").environ, "TMPDIR": str(tmp_path), "PYTHONPATH": "."})
     assert "SCRATCH" in run.stdout, run.stderr[-500:]
     assert not list(tmp_path.glob("tidemark-ckpt-*"))
+
+
+def test_leave_one_out_equals_n_fits(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 3))
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(size=40)
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)] + [(None, 1.0, 1.0, 1.0)],
+                               "a double, b double, c double, y double")
+    for row in EV.ridge_leave_one_out(df, ["a", "b", "c"], "y", [0.1, 5.0]).collect():
+        errors = []
+        for i in range(40):
+            keep = np.arange(40) != i
+            mx, my = x[keep].mean(0), y[keep].mean()
+            w = np.linalg.solve((x[keep] - mx).T @ (x[keep] - mx) + row.alpha * np.eye(3), (x[keep] - mx).T @ (y[keep] - my))
+            errors.append((y[i] - my - (x[i] - mx) @ w) ** 2)
+        # the shortcut holds the penalty on features centred by all rows, as is usual for it
+        assert row.n == 40 and abs(row.loo_mse - np.mean(errors)) < 0.02 * np.mean(errors)

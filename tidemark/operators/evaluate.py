@@ -80,3 +80,78 @@ def group_ols(df: DataFrame, y: str, x: str, groups: Sequence[str] = ()) -> Data
     return df.groupBy(*groups).agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
         F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"))
+
+
+def ridge_state(df: DataFrame, features: Sequence[str], label: str) -> dict:
+    """Counts, means and centred cross products of complete rows, from one aggregation.
+
+    The state has one number per pair of features, whatever the rows.
+    """
+    rows = df.dropna(subset=[*features, label])
+    cols = [F.col(c).cast("double") for c in [*features, label]]
+    first = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols]).first()
+    n, means = first[0], [float(m or 0.0) for m in first[1:]]
+    centred = [c - F.lit(m) for c, m in zip(cols, means)]
+    p = len(cols)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = rows.agg(*[F.sum(centred[i] * centred[j]) for i, j in pairs]).first()
+    cross = [[0.0] * p for _ in range(p)]
+    for (i, j), v in zip(pairs, sums):
+        cross[i][j] = cross[j][i] = float(v or 0.0)
+    return {"n": n, "means": means, "cross": cross}
+
+
+def ridge_solve(state: dict, alpha: float) -> tuple[list[float], float, list[list[float]]]:
+    """(coefficients, intercept, inverse of X'X + alpha I) for centred features."""
+    import numpy as np
+
+    cross = np.array(state["cross"])
+    inverse = np.linalg.pinv(cross[:-1, :-1] + alpha * np.eye(len(cross) - 1))
+    coef = inverse @ cross[:-1, -1]
+    return coef.tolist(), state["means"][-1] - float(coef @ np.array(state["means"][:-1])), inverse.tolist()
+
+
+def ridge_predict(features: Sequence[str], coef: Sequence[float], intercept: float) -> F.Column:
+    out = F.lit(intercept)
+    for name, c in zip(features, coef):
+        out = out + F.col(name).cast("double") * F.lit(c)
+    return out
+
+
+def ridge_leave_one_out(df: DataFrame, features: Sequence[str], label: str,
+                        alphas: Sequence[float] = (0.1, 1.0, 10.0)) -> DataFrame:
+    """Leave-one-out mean squared error of ridge regression for each penalty, exactly.
+
+    Leaving a row out changes its residual by the factor ``1 / (1 - h)``, where ``h`` is the
+    row's leverage: two aggregations and one pass give what n fits would. ``(alpha, loo_mse, n)``.
+    """
+    state = ridge_state(df, features, label)
+    rows = df.dropna(subset=[*features, label])
+    centred = [F.col(c).cast("double") - F.lit(m) for c, m in zip(features, state["means"])]
+    errors = []
+    for alpha in alphas:
+        coef, intercept, inverse = ridge_solve(state, alpha)
+        h = F.lit(1.0 / max(state["n"], 1))
+        for i, a in enumerate(centred):
+            for j, b in enumerate(centred):
+                h = h + a * F.lit(inverse[i][j]) * b
+        left = (F.col(label).cast("double") - ridge_predict(features, coef, intercept)) / (F.lit(1.0) - h)
+        errors.append(F.avg(left * left))
+    out = rows.agg(F.count(F.lit(1)).alias("n"), F.array(*errors).alias("_e"))
+    return out.select(F.explode(F.arrays_zip(
+        F.array(*[F.lit(float(a)) for a in alphas]).alias("alpha"), F.col("_e").alias("loo_mse"))).alias("r"), "n") \
+        .select("r.alpha", "r.loo_mse", "n")
+
+
+def group_linear_metrics(df: DataFrame, y: str, x: str, groups: Sequence[str], is_test: str) -> DataFrame:
+    """One-feature least squares per group, fitted on its training rows, with metrics on its
+    test rows: every group in one aggregation and one join.
+
+    A group whose feature doesn't vary predicts its mean; one without training rows has null
+    errors. Groups of test rows alone or training rows alone are kept.
+    """
+    fit = df.where(F.col(is_test) == 0).groupBy(F.struct(*groups).alias("_g")).agg(
+        F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"), F.avg(y).alias("_m"))
+    scored = df.withColumn("_g", F.struct(*groups)).join(fit, "_g", "left").withColumn(
+        "_p", F.coalesce(F.col("_a") + F.col("_b") * F.col(x), F.col("_m")))
+    return regression_metrics(scored.where(F.col(is_test) == 1), y, "_p", groups)

@@ -14,6 +14,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.operators import evaluate as EV
 from tidemark.operators import models as MD
 from tidemark.operators import split as SP
 from tidemark.plans import stacking as ST
@@ -81,19 +82,20 @@ def _scored(model, df, id_col="doc_id"):
 
 
 # P15 -----------------------------------------------------------------------------------
-_langs = ", ".join(f"CAST(lang = '{lg}' AS DOUBLE)" for lg in ["en", "fr", "de", "es"])
+_parts = ["n_chars", "len(regexp_extract_all(text, '[^\\t\\n\\v\\f\\r ]+'))",
+          "len(text) - len(replace(text, chr(10), '')) + 1", "len(text) - len(regexp_replace(text, '[0-9]', '', 'g'))",
+          "len(text) - len(regexp_replace(text, '[A-Z]', '', 'g'))",
+          *[f"CAST(lang = '{lg}' AS INTEGER)" for lg in ("en", "fr", "de", "es")]]
 
 
 @query("assemble_features", f"""
 SELECT doc_id, CAST(quality AS DOUBLE) AS label,
-       [CAST(n_chars AS DOUBLE), CAST(len(regexp_extract_all(text, '[^\\t\\n\\v\\f\\r ]+')) AS DOUBLE),
-        CAST(len(text) - len(replace(text, chr(10), '')) + 1 AS DOUBLE),
-        CAST(len(text) - len(regexp_replace(text, '[0-9]', '', 'g')) AS DOUBLE),
-        CAST(len(text) - len(regexp_replace(text, '[A-Z]', '', 'g')) AS DOUBLE), {_langs}] AS features
+       concat_ws(',', {', '.join(f"CAST({p} AS VARCHAR)" for p in _parts)}) AS features
 FROM documents JOIN labels USING (doc_id)""")
 def assemble_features(spark, sf_dir):
     d = labelled_docs(spark, sf_dir)
-    return d.select("doc_id", "label", vector_to_array("features").alias("features"))
+    counts = F.transform(vector_to_array("features"), lambda x: x.cast("long").cast("string"))
+    return d.select("doc_id", "label", F.array_join(counts, ",").alias("features"))
 
 
 # M1 ------------------------------------------------------------------------------------
@@ -146,13 +148,10 @@ def logistic_l1(spark, sf_dir):
 # M5 ------------------------------------------------------------------------------------
 @query("ridge_cv")
 def ridge_cv(spark, sf_dir):
-    e = MD.assemble(MD.complete_rows(event_frame(spark, sf_dir), EVENT_FEATURES), EVENT_FEATURES)
-    e = MD.training_table(SP.stratified_kfold(e, "event_id", "event_type", 3))
-    n = e.count()
-    est = MD.ridge(n, 1.0)
-    grid = ParamGridBuilder().addGrid(est.regParam, [a / n for a in (0.1, 1.0, 10.0)]).build()
-    cvm, maps = MD.grid_search_cv(e, est, [grid], MD.EVALUATORS["rmse"](), "fold", 3)
-    return MD.param_table(spark, maps, cvm.avgMetrics, "rmse")
+    """Penalty by leave-one-out error over all features (closed form, so no fold is fitted)."""
+    out = EV.ridge_leave_one_out(event_frame(spark, sf_dir), EVENT_FEATURES, "label", (0.1, 1.0, 10.0))
+    return out.select(F.concat(F.lit("alpha="), F.col("alpha").cast("string")).alias("params"),
+                      F.sqrt("loo_mse").alias("rmse"))
 
 
 # M7 ------------------------------------------------------------------------------------

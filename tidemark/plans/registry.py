@@ -32,4 +32,4 @@ def query(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every catalogue module (each registers its queries on import)."""
     from tidemark.plans.catalog import (  # noqa: F401
-        scans, relational, aggregates, series, scalars, features, splits, evaluation, models)
+        scans, relational, aggregates, series, scalars, features, splits, evaluation, models, closed_forms)
