@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import (
-    chat, embeddings, packing, quality, secrets, sentencepiece_bpe, simhash, substrings, tokens, warc)
+    chat, embeddings, oracles, packing, quality, secrets, sentencepiece_bpe, simhash, substrings, tokens, warc)
 from tidemark.llm.common import table
 
 #: The folder of the public vocabulary files; the same place on every machine.
@@ -23,7 +23,12 @@ def vocabulary(name: str) -> str:
 
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_secret_scans": oracles.SECRETS,
+    "op2_quality_rules": oracles.QUALITY,
+    "op6_chat_formatting": oracles.CHAT,
+    "op8_substring_dedup": oracles.SUBSTRINGS,
+}
 
 
 def query(fn):
