@@ -174,3 +174,20 @@ def test_leave_one_out_equals_n_fits(spark):
             errors.append((y[i] - my - (x[i] - mx) @ w) ** 2)
         # the shortcut holds the penalty on features centred by all rows, as is usual for it
         assert row.n == 40 and abs(row.loo_mse - np.mean(errors)) < 0.02 * np.mean(errors)
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_quantiles_are_exact_beyond_the_sketch(spark, accuracy):
+    rng = np.random.default_rng(accuracy)
+    groups = {"tiny": [3.0], "two": [1.0, 2.0], "ties": [5.0] * 500 + [6.0] * 20, None: rng.integers(0, 40, 333).tolist(),
+              "wide": rng.normal(size=1500).tolist(), "skewed": (rng.pareto(1, 900) * 10).tolist()}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("tiny", None)],
+                               "g string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    names = [f"p{i}" for i in range(len(probs))]
+    got = {r.g: [r[n] for n in names] for r in TB.group_quantiles(df, "v", probs, ["g"], names, accuracy=accuracy).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert np.allclose(got[g], np.quantile(vs, probs)), g
+    one = TB.group_quantiles(df.where("g = 'wide'"), "v", [0.5], accuracy=accuracy).first()
+    assert math.isclose(one.q50, float(np.quantile(groups["wide"], 0.5)))

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators import series as SR
 from tidemark.operators import table as TB
-from tidemark.session import ensure_checkpoint_dir
 
 
 # E1 ------------------------------------------------------------------------------------
@@ -146,15 +145,8 @@ def formula_design(df: DataFrame, categorical: Sequence[str], numeric: Sequence[
     return d.select(*cols)
 
 
-#: Rows up to which a fitted statistic is broadcast.
-SMALL_ROWS = 10_000
-
-
-def small_side(stats: DataFrame) -> DataFrame:
-    """``stats`` written once and, if it has been counted to be small, marked for broadcast."""
-    ensure_checkpoint_dir(stats.sparkSession)
-    stats = stats.checkpoint(eager=True)
-    return F.broadcast(stats) if stats.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else stats
+#: Kept under this name for callers that fit features.
+small_side = TB.small_side
 
 
 # E9 ------------------------------------------------------------------------------------

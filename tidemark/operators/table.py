@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import series as SR
+from tidemark.session import ensure_checkpoint_dir
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -131,42 +132,61 @@ def transpose(df: DataFrame, id_col: str, value_cols: Sequence[str], ids: Sequen
 
 
 # --- exact order statistics --------------------------------------------------------------
+#: Rows up to which a fitted statistic is broadcast.
+SMALL_ROWS = 10_000
+
+
+def small_side(stats: DataFrame) -> DataFrame:
+    """``stats`` written once and, if it has been counted to be small, marked for broadcast."""
+    ensure_checkpoint_dir(stats.sparkSession)
+    stats = stats.checkpoint(eager=True)
+    return F.broadcast(stats) if stats.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else stats
+
+
 def group_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     groups: Sequence[str] = (), names: Sequence[str] | None = None,
-                    partitions: int | None = None) -> DataFrame:
-    """Exact ``percentile_cont`` of ``value`` per group (nulls dropped).
-
-    1. Count every distinct (group, value) -- a partial aggregate, so heavy ties (one
-       value holding a third of the rows) collapse to one row before any shuffle.
-    2. A skew-safe running total over the distinct values in order gives each value its
-       rank interval ``[before, before + count)`` and the group size ``n``.
-    3. Only the values whose interval holds rank ``floor(p(n-1))`` or ``ceil(p(n-1))``
-       survive a filter; interpolation between them is the answer.
+                    partitions: int | None = None, accuracy: int = 10_000) -> DataFrame:
+    """Exact ``percentile_cont`` of a numeric ``value`` per group (nulls dropped).
+
+    1. One pass of sketches (``percentile_approx``, partial aggregates) brackets every wanted
+       quantile per group; the bracket is wider than the sketch's error, so it holds the
+       wanted ranks for certain. Groups of up to ``accuracy`` rows are bracketed whole.
+    2. A second pass counts the rows below each bracket and the rows per distinct value inside:
+       a few rows in ``accuracy``, so hardly anything is shuffled, and ties collapse before.
+    3. A skew-safe running total over these values gives each its rank interval; those that
+       hold rank ``floor(p(n-1))`` or ``ceil(p(n-1))`` survive, and interpolation between them
+       is the answer.
     """
     groups = _cols(groups)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    counted = (df.where(F.col(value).isNotNull()).groupBy(*groups, value)
-                 .agg(F.count(F.lit(1)).alias("_c")))
-    r = SR.with_running_total(counted, groups, [value], "_c", out="_b", total="_n",
-                              partitions=partitions)
-    holds = lambda rank: (F.col("_b") <= rank) & (rank < F.col("_b") + F.col("_c"))
-    parts = []
-    for p, nm in zip(probs, names):
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        parts.append((nm, p, F.floor(pos), F.ceil(pos)))
-    picked = r.where(reduce(lambda a, b: a | b, [holds(lo) | holds(hi) for _, _, lo, hi in parts]))
-    aggs = [F.first("_n").alias("_n")]
-    for nm, _, lo, hi in parts:
-        aggs.append(F.max(F.when(holds(lo), F.col(value))).alias(f"_lo_{nm}"))
-        aggs.append(F.max(F.when(holds(hi), F.col(value))).alias(f"_hi_{nm}"))
-    agg = picked.groupBy(*groups).agg(*aggs)
-    out = [F.col(g) for g in groups]
-    for nm, p, _, _ in parts:
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        frac = pos - F.floor(pos)
-        lo_v, hi_v = F.col(f"_lo_{nm}").cast("double"), F.col(f"_hi_{nm}").cast("double")
-        out.append((lo_v + frac * (hi_v - lo_v)).alias(nm))
-    return agg.select(*out)
+    margin = 4.0 / accuracy
+    cuts = [c for p in probs for c in (max(0.0, p - margin), min(1.0, p + margin))]
+    key = F.struct(*groups) if groups else F.struct(F.lit(0).alias("_all"))
+    d = df.where(F.col(value).isNotNull()).select(key.alias("_g"), F.col(value).alias("_v"))
+    brackets = small_side(d.groupBy("_g").agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", cuts, accuracy).alias("_b")))
+    j = d.join(brackets, "_g")
+    whole = F.col("_n") <= accuracy
+    lows = [whole | (F.col("_v") >= F.col("_b")[2 * k]) for k in range(len(names))]
+    inside = [low & (whole | (F.col("_v") <= F.col("_b")[2 * k + 1])) for k, low in enumerate(lows)]
+    below = j.groupBy("_g").agg(F.first("_n").alias("_n"), F.array(*[F.count_if(~low) for low in lows]).alias("_under"))
+    counted = (j.where(reduce(lambda a, b: a | b, inside)).groupBy("_g", "_v", "_n", "_b")
+                .agg(F.count(F.lit(1)).alias("_c")))
+    each = counted.select("_g", "_v", "_c", F.explode(F.filter(F.array(*[
+        F.when(ok, F.lit(k)) for k, ok in enumerate(inside)]), lambda x: x.isNotNull())).alias("_k"))
+    r = SR.with_running_total(each, ["_g", "_k"], ["_v"], "_c", out="_before", partitions=partitions)
+    r = r.join(small_side(below), "_g").withColumn("_rank", F.get("_under", F.col("_k")) + F.col("_before"))
+    pos = (F.col("_n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_k") + 1)
+    holds = lambda rank: (F.col("_rank") <= rank) & (rank < F.col("_rank") + F.col("_c"))
+    v = F.col("_v").cast("double")
+    out = [F.col(f"_g.{g}").alias(g) for g in groups]
+    agg = (r.withColumns({"_lo": holds(F.floor(pos)), "_hi": holds(F.ceil(pos)), "_f": pos - F.floor(pos)})
+            .where("_lo or _hi").groupBy("_g").agg(*[a for k in range(len(names)) for a in (
+                F.max(F.when(F.col("_lo") & (F.col("_k") == k), v)).alias(f"_lo{k}"),
+                F.max(F.when(F.col("_hi") & (F.col("_k") == k), v)).alias(f"_hi{k}"),
+                F.max(F.when(F.col("_k") == k, F.col("_f"))).alias(f"_f{k}"))]))
+    return agg.select(*out, *[(F.col(f"_lo{k}") + F.col(f"_f{k}") * (F.col(f"_hi{k}") - F.col(f"_lo{k}"))).alias(nm)
+                              for k, nm in enumerate(names)])
 
 
 def group_median(df: DataFrame, value: str, groups: Sequence[str] = (),
