@@ -18,8 +18,9 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    from tidemark.session import ensure_checkpoint_dir
+    from tidemark.session import clear_scratch, ensure_checkpoint_dir
     if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-test-ckpt-"))
     ensure_checkpoint_dir(s)
     yield s
+    clear_scratch(s)

@@ -191,3 +191,15 @@ def test_quantiles_are_exact_beyond_the_sketch(spark, accuracy):
         assert np.allclose(got[g], np.quantile(vs, probs)), g
     one = TB.group_quantiles(df.where("g = 'wide'"), "v", [0.5], accuracy=accuracy).first()
     assert math.isclose(one.q50, float(np.quantile(groups["wide"], 0.5)))
+
+
+def test_scratch_can_be_cleared(tmp_path):
+    code = ("from tidemark.session import build_session, clear_scratch, scratch_path\n"
+            "s = build_session('local[1]')\n"
+            "p = scratch_path(s, 'x'); s.range(3).write.parquet(p)\n"
+            "from pathlib import Path\n"
+            "root = Path(p.removeprefix('file:')).parent\n"
+            "before = root.exists(); clear_scratch(s); print('SCRATCH', before, root.exists())\n")
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300,
+                         env={**__import__("os").environ, "TMPDIR": str(tmp_path), "PYTHONPATH": "."})
+    assert "SCRATCH True False" in run.stdout, run.stderr[-500:]

@@ -109,3 +109,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all that ``scratch_path`` named in this application. Call it when the results
+    that read from there have been used; each application has a folder of its own."""
+    drop_path(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark-scratch")
