@@ -6,7 +6,7 @@ shorter word run is kept at positions whose remainder modulo ``period`` lies in
 cover, a set in which every remainder is the difference of two members. Two places that share
 ``window`` words therefore share an aligned anchor inside them, whatever their positions, so
 only documents with a shared anchor, and there only windows that contain one, are extended to
-full 128-bit window hashes and compared.
+full 96-bit window hashes and compared.
 
 Stages, each written to the shared folder:
 
@@ -182,7 +182,7 @@ def _windows(window, period, cover):
                 h1, h2 = (rolling(_word_hashes(words, _SEEDS[k]), window, k)[starts] for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(starts), i)), pa.array(h1.view(np.int64)),
-                     pa.array(h2.view(np.int64)), pa.array(starts.astype(np.int32))],
+                     pa.array(h2.view(np.int64).astype(np.int32)), pa.array(starts.astype(np.int32))],
                     names=["id", "h1", "h2", "at"])
     return _batched(run)
 
@@ -259,9 +259,8 @@ def deduplicate(docs: DataFrame, key: str, text: str = "text", window: int = 50,
     candidates = saved(packed.join(nominated, "id"), "candidates")
     # their windows, whole; the smallest id of each
     windows = saved(candidates.select("id", "packed", "ranks").mapInArrow(
-        _windows(window, period, cover), "id long, h1 long, h2 long, at int"), "windows")
-    least = (windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-             .filter("lo < hi").drop("hi"))
+        _windows(window, period, cover), "id long, h1 long, h2 int, at int"), "windows")
+    least = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"))
     covered = (windows.join(least, ["h1", "h2"]).filter("lo < id").groupBy("id")
                .agg(F.collect_list("at").alias("starts")))
     cut = saved(candidates.select("id", "packed").join(covered, "id").mapInArrow(
