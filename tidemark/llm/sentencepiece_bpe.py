@@ -229,30 +229,30 @@ def _model(path: str) -> Model:
     return per_worker(f"piece {path}", lambda: Model(path))
 
 
-def _batches(texts, limit):
-    """(first row, last row) of groups of about ``limit`` characters."""
+def _batches(sizes, limit):
+    """(first row, last row) of groups of about ``limit`` bytes."""
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(sizes):
+        size += n
         if size >= limit:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
-#: Characters encoded together.
-BATCH_CHARS = 4 << 20
+#: Bytes of text encoded together.
+BATCH_BYTES = 1 << 20
 
 
-def encode(docs: DataFrame, key: str, text: str, path: str, batch_chars: int = BATCH_CHARS) -> DataFrame:
+def encode(docs: DataFrame, key: str, text: str, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``(id, ids)`` per row, for the model file at ``path``, which executors must reach."""
     def run(batches):
         model = _model(path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in _batches(texts, batch_chars):
-                ids, at = model.encode(texts[lo:hi])
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
+            for lo, hi in _batches(sizes, batch_bytes):
+                ids, at = model.encode(b.column(1).slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo),
                      pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))],
@@ -268,7 +268,9 @@ def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         model = _model(path)
         for b in batches:
             at = b.schema.get_field_index(ids)
-            texts = pa.array([None if x is None else model.decode(x) for x in b.column(at).to_pylist()], pa.string())
+            # ids become Python numbers one row at a time: as lists they take ten times the room
+            texts = pa.array([model.decode(x.values.to_numpy().tolist()) if x.is_valid else None
+                              for x in b.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, "decoded"])
 
     from pyspark.sql.types import StringType, StructType
