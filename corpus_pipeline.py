@@ -14,49 +14,45 @@ from tidemark.llm.common import saved, table
 from tidemark.llm.queries import pack_table
 
 
-def _with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
-    """``columns`` of ``docs`` with another text and its length."""
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return docs.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` as (row, id, text): no column of theirs meets one of a stage. A null id is
+    given as the operators give it."""
+    return docs.select(F.struct(*docs.columns).alias("row"),
+                       F.coalesce("doc_id", F.lit(simhash.LAST)).alias("id"), "text")
 
 
-def _id() -> Column:
-    """The document id; a null one as the operators give it."""
-    return F.coalesce("doc_id", F.lit(simhash.LAST))
+def _columns(docs: DataFrame, text: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``row``, with another text and its length."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return [new.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go from every document; rejected documents go."""
-    judged = quality.quality(docs.select(F.struct(*docs.columns).alias("row"), "text")).filter("kept")
-    return _with_text(judged.select("row.*", "cleaned"), docs.columns, F.col("cleaned"))
+    judged = quality.quality(_rows(docs)).filter("kept")
+    return judged.select(*_columns(docs, F.col("cleaned")))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays, once."""
     found = simhash.near_duplicates(docs, "doc_id")
-    stays = found.filter("id = component").select(F.col("id").alias("_id")).distinct()
-    return (docs.withColumn("_id", _id()).join(stays, "_id", "left_semi")
-            .dropDuplicates(["_id"]).select(*docs.columns))
+    stays = found.filter("id = component").select("id").distinct()
+    return _rows(docs).join(stays, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that a document with a smaller id has in the same passage go; so do documents of
     which nothing is left."""
     _, changed = substrings.deduplicate(docs, "doc_id")
-    joined = docs.withColumn("_id", _id()).join(
-        changed.select(F.col("id").alias("_id"), F.col("kept_text").alias("_kept")), "_id", "left")
-    joined = joined.filter("_kept is null or _kept <> ''")
-    same = F.col("_kept").isNull()
-    return joined.select(*[
-        F.when(same, F.col("text")).otherwise(F.col("_kept")).alias("text") if c == "text" else
-        F.when(same, F.col("n_chars")).otherwise(F.length("_kept")).cast("long").alias("n_chars")
-        if c == "n_chars" else F.col(c) for c in docs.columns])
+    joined = _rows(docs).join(changed, "id", "left").filter("kept_text is null or kept_text <> ''")
+    return joined.select(*_columns(docs, F.coalesce("kept_text", "text")))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found is replaced in its text."""
     ledger = saved(secrets.scan(docs, ["doc_id"]), "ledger")
-    return _with_text(secrets.redacted(docs, ledger), docs.columns, F.col("text"))
+    return secrets.redacted(docs, ledger).select(F.struct(*docs.columns).alias("row"), "text").select(
+        *_columns(docs, F.col("text")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

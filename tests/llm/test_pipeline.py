@@ -78,3 +78,16 @@ def test_planted_outcome(spark, tmp_path):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     kept = rows(cp.quality_rules(spark, docs, d))
     assert set(kept) == {0, 1, 2, 3, 4, 8} and kept[3].text == PROSE[::-1] + "."
+
+
+def test_columns_with_any_name_stay_as_they_are(spark):
+    names = ["kept", "cleaned", "id", "row", "blob_id", "_text", "kept_text", "component", "findings", "fp"]
+    rows = [(i, t, None, f"s{i}", len(t), *[f"{n}{i}" for n in names])
+            for i, t in enumerate([PROSE, PROSE, PROSE + " token = abcdefghijklmnop"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, "
+                                 + ", ".join(f"{n} string" for n in names))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names] and r.source == f"s{r.doc_id}"
