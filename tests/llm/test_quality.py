@@ -54,3 +54,22 @@ def test_lines_and_verdict(spark):
 
 def test_empty(spark, empty_dir):
     assert queries.op2_quality_rules(spark, empty_dir).count() == 0
+
+
+def test_texts_read_once_have_no_failing_line(spark):
+    """The test on whole texts lets through none that a rule on lines would catch."""
+    import random
+    r = random.Random(8)
+    bits = ["word", "two words", "a longer line of words here.", "x | y | z", "!!", "#", "end.", "\t", " ", "\r", "\x85",
+            "menu", "A!! B!! C!!", "home > news > today", "…", "fin»"]
+    texts = ["\n".join("".join(r.choice(bits + [" "] * 4) for _ in range(r.randrange(5))) for _ in range(r.randrange(6)))
+             for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules = quality.LineRules()
+    got = {x.doc_id: x for x in quality.clean_lines(df).collect()}
+    lines = df.selectExpr("doc_id", "posexplode(split(text, '\n', -1)) as (i, line)")
+    fails = lines.select("doc_id", "i", "line", quality.line_fails(lines["line"], rules, True).alias("f")).collect()
+    for k, t in enumerate(texts):
+        mine = sorted((x.i, x.line, x.f) for x in fails if x.doc_id == k)
+        assert got[k].cleaned == "\n".join(x for _, x, f in mine if not f), repr(t)
+        assert got[k].n_lines == len(mine) and got[k].n_lines_removed == sum(f for _, _, f in mine)
