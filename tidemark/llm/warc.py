@@ -54,8 +54,8 @@ def record_uuid(key: Column) -> Column:
                     F.lit("-8"), part(18, 3), F.lit("-"), part(21, 12), F.lit(">"))
 
 
-def plan_records(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``captures`` (id, url, ts, payload) with digest and, for revisits, ``refers_to``.
+def plan_revisits(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """``(id, refers_to)`` of the captures (id, url, ts, payload) that are revisits.
 
     Groups are formed on (digest, length) alone, so a payload that a third of all rows share
     costs one row a task in the aggregation and narrow rows in the join back.
@@ -64,10 +64,8 @@ def plan_records(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
                            F.octet_length("payload").cast("long").alias("bytes"))
     best = (keys.filter(F.col("bytes") >= min_bytes).groupBy("digest", "bytes")
             .agg(F.max("id").alias("best"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    revisits = (keys.join(best, ["digest", "bytes"]).filter("id < best")
-                .select("id", F.col("best").alias("refers_to")).distinct())
-    return captures.join(revisits, "id", "left").withColumns({
-        "digest": base32_sha1(F.col("payload")), "bytes": F.octet_length("payload").cast("long")})
+    return (keys.join(best, ["digest", "bytes"]).filter("id < best")
+            .select("id", F.col("best").alias("refers_to")).distinct())
 
 
 def record_text(c: DataFrame) -> DataFrame:
@@ -97,13 +95,14 @@ def record_text(c: DataFrame) -> DataFrame:
 def write(captures: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Archives of all captures under ``path``, each of about ``archive_bytes`` before compression.
 
-    Captures are dealt to archives by a hash of id and url, so no host or copied page makes a
-    large one.
+    Captures are dealt to archives by a hash of their id, once, which the join with the plan
+    uses too; no host or copied page makes a large archive.
     """
     total = captures.agg(F.sum(F.octet_length("payload") + 600)).first()[0] or 0
-    planned = plan_records(captures, min_bytes)
     archives = max(1, -(-total // archive_bytes))
-    dealt = planned.repartition(archives, F.xxhash64("id", "url", "ts"))
+    revisits = plan_revisits(captures, min_bytes).repartition(archives, "id").hint("shuffle_hash")
+    dealt = captures.repartition(archives, "id").join(revisits, "id", "left").withColumns({
+        "digest": base32_sha1(F.col("payload")), "bytes": F.octet_length("payload").cast("long")})
     (record_text(dealt).write.option("lineSep", _END).option("compression", "gzip").text(path))
 
 
