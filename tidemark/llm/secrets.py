@@ -118,12 +118,16 @@ def scan(versions: DataFrame, keys: Sequence[str], text: str = "text",
 
 
 def _hits(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``(blob_id, findings)`` of blobs in which ``rules`` found something."""
-    return (ledger.filter(F.size("findings") > 0)
+    """``(blob_id, findings)`` of blobs in which ``rules`` found something.
+
+    Written before it is joined: a join that shares its exchange with an aggregation can't be
+    split, and a blob may be held by a third of all paths.
+    """
+    return saved(ledger.filter(F.size("findings") > 0)
             .filter(F.arrays_overlap("rules", F.array(*[F.lit(r.key) for r in rules])))
             .select("blob_id", F.explode("findings").alias("f"))
             .filter(F.col("f.kind").isin([r.kind for r in rules]))
-            .groupBy("blob_id").agg(F.array_sort(F.collect_set("f")).alias("findings")))
+            .groupBy("blob_id").agg(F.array_sort(F.collect_set("f")).alias("findings")), "findings")
 
 
 def findings_by_path(versions: DataFrame, keys: Sequence[str], ledger: DataFrame,
@@ -138,10 +142,10 @@ def redacted(versions: DataFrame, ledger: DataFrame, text: str = "text",
              rules: Sequence[Rule] = RULES) -> DataFrame:
     """``versions`` with every span of their blob's findings replaced in ``text``."""
     hits = _hits(ledger, rules).withColumnsRenamed({"blob_id": "_blob", "findings": "_found"})
-    known = with_blob_id(versions.withColumnsRenamed({text: "_text"}), "_text")
-    joined = known.join(hits, F.col("blob_id") == F.col("_blob"), "left")
+    rows = with_blob_id(versions.select(F.struct(*versions.columns).alias("_row"), F.col(text).alias("_text")), "_text")
+    joined = rows.join(hits, F.col("blob_id") == F.col("_blob"), "left")
     done = F.when(F.col("_found").isNull(), F.col("_text")).otherwise(redact(F.col("_text"), F.col("_found")))
-    return joined.select(*[done.alias(text) if c == text else c for c in versions.columns])
+    return joined.select(*[(done if c == text else F.col("_row")[c]).alias(c) for c in versions.columns])
 
 
 def scan_paths(versions: DataFrame, keys: Sequence[str], text: str = "text",
