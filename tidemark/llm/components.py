@@ -3,8 +3,10 @@
 Edges are first reduced to a spanning forest inside each partition (bounded by the
 partition), then contracted with alternating large-star / small-star rounds: every round is
 a partial minimum per vertex and an equi-join, so no neighbourhood is ever gathered in one
-task, and a hub's rows are split by the adaptive skew join. Each round is written to the
-shared folder, which cuts the lineage.
+task. The minima are written before they are joined: a join that shares its exchange with
+the aggregation below it can't be split, one of two plain exchanges can, and so a hub's rows
+are dealt to several tasks. Each round is written to the shared folder, which cuts the
+lineage.
 """
 
 from __future__ import annotations
@@ -41,18 +43,18 @@ def _local_forest(batches):
         names=["a", "b"])
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, name: str) -> DataFrame:
     nb = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
         e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    m = nb.groupBy("u").agg(F.min("v").alias("lo")).select(
-        F.col("u").alias("mu"), F.least("u", "lo").alias("m"))
+    m = saved(nb.groupBy("u").agg(F.min("v").alias("lo")).select(
+        F.col("u").alias("mu"), F.least("u", "lo").alias("m")), name)
     return (nb.filter("v > u").join(m, F.col("u") == F.col("mu"))
               .select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct())
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, name: str) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    m = down.groupBy("u").agg(F.min("v").alias("m"))
+    m = saved(down.groupBy("u").agg(F.min("v").alias("m")), name)
     moved = (down.join(m.withColumnRenamed("u", "mu"), F.col("u") == F.col("mu"))
                  .select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b"))
     return moved.unionAll(m.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
@@ -72,7 +74,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     e = saved(edges.select("a", "b").mapInArrow(_local_forest, EDGES), name)
     before = _state(e)
     while before[0]:
-        e = saved(_small_star(_large_star(e)), name)
+        e = saved(_small_star(_large_star(e, name), name), name)
         after = _state(e)
         if after == before:
             break
