@@ -67,3 +67,22 @@ def test_redact(spark):
     found, _ = secrets.scan_paths(df, ["doc_id"])
     out = df.join(found, "doc_id").select(secrets.redact(df["text"], found["findings"]).alias("t")).first().t
     assert out == "x [REDACTED] y [REDACTED]"
+
+
+BODY = "\n".join("MIIEvQ+/" * 8 for _ in range(5)) + "\nshort+tail=="
+
+
+@pytest.mark.parametrize("key,rest", [
+    ("-----BEGIN RSA PRIVATE KEY-----\n" + BODY + "\n-----END RSA PRIVATE KEY-----", "\nafter it, text"),
+    ("-----BEGIN PRIVATE KEY-----\n" + BODY, "\n\nno end, but text."),
+    ("-----BEGIN PRIVATE KEY-----\n" + BODY, ""),
+    ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\n" + BODY, "\nand, text"),
+    ("-----BEGIN PRIVATE KEY-----\\n" + BODY.replace("\n", "\\n") + "\\n-----END PRIVATE KEY-----", "\\n'"),
+    ("-----BEGIN PRIVATE KEY----- " + "Ab1/" * 16 + " " + "Ab1+" * 16, " then words go on"),
+    ("-----BEGIN PRIVATE KEY-----\n" + ("Ab1/" * 16 + "\n") * 4000 + "-----END PRIVATE KEY-----", " ends."),
+    ("-----BEGIN PRIVATE KEY-----", " opens such a file"),
+])
+def test_private_keys_go_whole(spark, key, rest):
+    df = spark.createDataFrame([(0, "before " + key + rest)], "doc_id long, text string")
+    out = secrets.redacted(df, secrets.scan(df, ["doc_id"])).first().text
+    assert out == "before [REDACTED]" + rest

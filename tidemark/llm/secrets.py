@@ -49,9 +49,17 @@ BASE_RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{14,}+"),
     Rule("hex", 1, r"[0-9a-f]{16,}+"),
 )
+#: A private key after its header: all up to the END line; where that is missing, the lines of
+#: encapsulated headers and of base64. Breaks may be escaped ("\\n" in source and JSON) or, in
+#: texts joined anew, blanks. Every loop is possessive, which Java runs without recursion.
+_BREAK = r"(?:[\x20\t\r\n]|\\[nr])"
+_PEM_BODY = (r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+             r"|(?:" + _BREAK + r"*+(?:Proc-Type|DEK-Info):\x20?[A-Za-z0-9,-]++"
+             r"|" + _BREAK + r"*+[A-Za-z0-9+/=]{16,}+"
+             r"|[\x20\t]*+(?:[\r\n]|\\[nr])" + _BREAK + r"*+[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:[\r\n]|\\[nr]|$)))*+)")
 #: Further kinds; each has a prefix that ordinary text doesn't produce.
 MORE_RULES = (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("pem", 2, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----" + _PEM_BODY),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}+"),
 )
