@@ -34,17 +34,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays, once."""
+    """The document with the smallest id of each group stays, once; of several texts with that
+    id the one with the smallest digest."""
     found = simhash.near_duplicates(docs, "doc_id")
-    stays = found.filter("id = component").select("id").distinct()
-    return _rows(docs).join(stays, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
+    stays = found.groupBy("root").agg(F.min(F.struct("id", "text_key")).alias("s")).select("s.*")
+    rows = _rows(docs).withColumn("text_key", simhash.text_key(F.col("text")))
+    return rows.join(stays, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"]).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that a document with a smaller id has in the same passage go; so do documents of
     which nothing is left."""
     _, changed = substrings.deduplicate(docs, "doc_id")
-    joined = _rows(docs).join(changed, "id", "left").filter("kept_text is null or kept_text <> ''")
+    rows = _rows(docs).withColumn("digest", substrings.words_digest(F.col("text")))
+    joined = rows.join(changed, ["id", "digest"], "left").filter("kept_text is null or kept_text <> ''")
     return joined.select(*_columns(docs, F.coalesce("kept_text", "text")))
 
 

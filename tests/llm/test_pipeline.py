@@ -91,3 +91,19 @@ def test_columns_with_any_name_stay_as_they_are(spark):
         assert out.columns == docs.columns
         for r in out.collect():
             assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names] and r.source == f"s{r.doc_id}"
+
+
+IDS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(seed):
+    return " ".join(f"s{seed}w{i * 7919 % 1009}" for i in range(120)) + "."
+
+
+def test_near_dedup_keeps_texts_that_share_an_id_or_have_none(spark):
+    near = prose(5).replace("w1 ", "w1x ")
+    texts = [(5, prose(5)), (None, near), (None, prose(6)), (None, prose(7)), (None, prose(7)), (8, prose(8)),
+             (8, prose(9)), (8, prose(9))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], IDS).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in cp.simhash_near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(5, prose(5)), (None, prose(6)), (None, prose(7)), (8, prose(8)), (8, prose(9))], key=str)

@@ -14,7 +14,8 @@ both, and those around one code are all linked, so a star to the smallest per co
 them with rows in proportion to the members. It loses no link.
 
 Defined results: a null text or one without words has fingerprint zero, which links like any
-other; repeated rows are kept and fall into one class; a null id is given as the largest
+other; repeated rows are kept and fall into one class; components
+are found over fingerprints, so rows that share an id but no text meet only by their texts; a null id is given as the largest
 long, so it is the smallest of a class only if all are null.
 """
 
@@ -60,15 +61,22 @@ def _fingerprints(shingle, seed):
         for b in batches:
             fps = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()],
                            np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64())],
+                                             names=["id", "text_key", "fp"])
     return run
 
 
 def fingerprints(docs: DataFrame, key: str, text: str = "text", shingle: int = 4,
                  seed: int = SEED) -> DataFrame:
-    """``(id, fp)`` per row; ``fp`` holds the 64 bits as a signed long."""
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), text).mapInArrow(
-        _fingerprints(shingle, seed), "id long, fp long")
+    """``(id, text_key, fp)`` per row; ``fp`` holds the 64 bits as a signed long."""
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), text,
+                       text_key(F.col(text))).mapInArrow(
+        _fingerprints(shingle, seed), "id long, text_key binary, fp long")
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that tell texts of one id apart; a null text is the empty one."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_key")
 
 
 def segments(count: int, max_bits: int) -> list[tuple[int, int, int]]:
@@ -131,14 +139,15 @@ def _odd_links(codes: DataFrame, max_bits: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str, text: str = "text", shingle: int = 4, max_bits: int = 4,
                     count: int = 3, hot_bucket: int = 1000) -> DataFrame:
-    """``(id, fp, component)`` for every row; the component is the smallest id reachable."""
+    """``(id, text_key, fp, root, component)`` for every row; the component is the smallest id
+    reachable. ``root`` names a component alone, also where ids are null or stand for several
+    texts; ``text_key`` is the digest of the text."""
     fps = saved(fingerprints(docs, key, text, shingle), "fingerprints")
     classes = saved(fps.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
     found = links(classes.select("fp"), max_bits, count, hot_bucket)
-    a = classes.select("fp", F.col("rep").alias("a"))
-    b = classes.select(F.col("fp").alias("other"), F.col("rep").alias("b"))
-    edges = found.join(a, "fp").join(b, "other").select("a", "b").filter("a <> b")
-    comp = components(edges, "simhash")
-    of_class = classes.join(comp, F.col("rep") == F.col("id"), "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component"))
+    comp = components(found.select(F.col("fp").alias("a"), F.col("other").alias("b")), "simhash")
+    of_class = saved(classes.join(comp, F.col("fp") == F.col("id"), "left").select(
+        F.col("fp").alias("_fp"), F.coalesce("component", "fp").alias("root"), "rep"), "class-roots")
+    least = saved(of_class.groupBy("root").agg(F.min("rep").alias("component")), "root-ids")
+    of_class = saved(of_class.drop("rep").join(least, "root"), "class-components")
     return fps.join(of_class, F.col("fp") == F.col("_fp"), "left").drop("_fp")
