@@ -107,3 +107,11 @@ def test_near_dedup_keeps_texts_that_share_an_id_or_have_none(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], IDS).repartition(3)
     got = sorted(((r.doc_id, r.text) for r in cp.simhash_near_dedup(spark, docs, "").collect()), key=str)
     assert got == sorted([(5, prose(5)), (None, prose(6)), (None, prose(7)), (8, prose(8)), (8, prose(9))], key=str)
+
+
+def test_substring_stage_keeps_texts_that_share_an_id_or_have_none(spark):
+    shared = prose(1)
+    texts = [(1, shared), (4, "own start " + shared), (4, prose(2)), (None, prose(3)), (None, shared), (None, prose(4))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], IDS).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in cp.substring_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, shared), (4, "own start"), (4, prose(2)), (None, prose(3)), (None, prose(4))], key=str)

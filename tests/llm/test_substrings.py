@@ -66,3 +66,20 @@ def test_cover_has_every_difference(period):
 
 def test_empty(spark, empty_dir):
     assert queries.op8_substring_dedup(spark, empty_dir).count() == 0
+
+
+def test_texts_that_share_an_id_or_have_none_are_cut_by_their_own_windows(spark):
+    words = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    a, b = words("a", 12), words("b", 12)
+    rows = [(1, a), (2, b), (5, "x y z " + a), (5, b + " u v"), (5, words("c", 20)), (None, words("d", 30)),
+            (None, "q " + a), (None, a), (None, words("e", 20)), (5, "x y z " + a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    report, changed = substrings.deduplicate(df, "doc_id", window=10, period=7)
+    last = (1 << 63) - 1
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(1, 12, 0, a), (2, 12, 0, b), (5, 15, 12, "x y z"), (5, 15, 12, "x y z"), (5, 14, 12, "u v"),
+            (5, 20, 0, words("c", 20)), (last, 30, 0, words("d", 30)), (last, 13, 12, "q"), (last, 12, 12, ""),
+            (last, 20, 0, words("e", 20))]
+    assert sorted(map(tuple, report.collect())) == sorted((i, n, r, sha(t)) for i, n, r, t in want)
+    assert sorted((r.id, r.kept_text) for r in changed.collect()) == [
+        (5, "u v"), (5, "x y z"), (last, ""), (last, "q")]

@@ -11,8 +11,8 @@ full 96-bit window hashes and compared.
 Stages, each written to the shared folder:
 
 1. ``profile``: per document the word count, a digest of its words, and its anchors. Documents
-   with the same word sequence form a class; only the smallest id goes on, since all windows
-   of the others are repeats.
+   with the same word sequence form a class; only one row with the smallest id goes on, under
+   a key of its own, since all windows of the others are repeats.
 2. Anchors that two documents share: a partial count per hash, then a semi-join back.
 3. Windows around shared anchors, hashed over their whole length; the smallest id per hash is
    a partial minimum, joined back to the rows with a larger id.
@@ -22,8 +22,9 @@ Texts travel compressed, and only those that stages 3 and 4 need. Hot passages c
 document in the joins, which the adaptive skew join splits; no list of documents is gathered.
 
 Defined results: a null text has no words; documents shorter than the window lose nothing;
-rows that repeat an id count as one document for "smaller id" and are each treated alike;
-null ids are never smaller than another and lose what any document with an id has.
+rows that repeat an id (or have none) don't count as smaller than each other, and each text is
+cut by its own windows; null ids are never smaller than another and lose what any document with
+an id has.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import saved, word_array
 
 #: Odd multipliers of the two rolling hashes, and the seeds of their word hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -123,6 +124,15 @@ def _positions(n_words: int, width: int, period: int, cover) -> np.ndarray:
     return at[np.isin(at % period, cover)]
 
 
+def _digest(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
+
+
+def words_digest(text: Column) -> Column:
+    """The digest of a text's words, as ``changed`` of ``deduplicate`` has it (JVM-side)."""
+    return F.sha2(F.array_join(word_array(F.coalesce(text, F.lit(""))), " "), 256)
+
+
 def _profile(width, period, cover):
     def run(batches):
         for b in _slices(batches):
@@ -130,7 +140,7 @@ def _profile(width, period, cover):
             for t in b.column(1).to_pylist():
                 words = (t or "").encode().split()
                 n_words.append(len(words))
-                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                digests.append(_digest(words))
                 at = _positions(len(words), width, period, cover)
                 anchors.append(rolling(_word_hashes(words, _SEEDS[0]), width, 0)[at] if len(at)
                                else np.empty(0, np.uint64))
@@ -144,14 +154,15 @@ def _profile(width, period, cover):
 
 
 def _packed(batches):
-    """Texts compressed for the shuffle."""
+    """Texts compressed for the shuffle, with the digest of their words."""
     import zstandard
 
     z = zstandard.ZstdCompressor(level=1)
     for b in batches:
+        texts = [(t or "").encode() for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([z.compress((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())],
-            names=["id", "packed"])
+            [b.column(0), pa.array([_digest(t.split()) for t in texts], pa.string()),
+             pa.array([z.compress(t) for t in texts], pa.binary())], names=["id", "digest", "packed"])
 
 
 def _unpack(blob: bytes) -> list[bytes]:
@@ -166,7 +177,7 @@ def _windows(window, period, cover):
 
     def run(batches):
         for b in batches:
-            for i, blob, shared in zip(*(c.to_pylist() for c in b.columns)):
+            for i, key, blob, shared in zip(*(c.to_pylist() for c in b.columns)):
                 words = _unpack(blob)
                 n = len(words) - window + 1
                 at = _positions(len(words), width, period, cover)
@@ -180,10 +191,11 @@ def _windows(window, period, cover):
                 np.add.at(steps, np.clip(at + 1, 0, n), -1)
                 starts = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
                 h1, h2 = (rolling(_word_hashes(words, _SEEDS[k]), window, k)[starts] for k in (0, 1))
+                # 32 bits of the second hash and the start in one long: narrow rows in the shuffles
+                tail = h2.view(np.int64) << 32 | starts
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(starts), i)), pa.array(h1.view(np.int64)),
-                     pa.array(h2.view(np.int64).astype(np.int32)), pa.array(starts.astype(np.int32))],
-                    names=["id", "h1", "h2", "at"])
+                    [pa.array(np.full(len(starts), i)), pa.array(np.full(len(starts), key)),
+                     pa.array(h1.view(np.int64)), pa.array(tail)], names=["id", "key", "h1", "tail"])
     return _batched(run)
 
 
@@ -206,8 +218,8 @@ def _cut(window):
     """Documents without the words that the windows at ``starts`` cover."""
     def run(batches):
         for b in batches:
-            ids, removed, digests, texts = [], [], [], []
-            for i, blob, starts in zip(*(c.to_pylist() for c in b.columns)):
+            removed, digests, texts = [], [], []
+            for blob, starts in zip(*(c.to_pylist() for c in b.columns[2:])):
                 words = _unpack(blob)
                 steps = np.zeros(len(words) + 1, np.int64)
                 at = np.unique(np.array(starts, np.int64))
@@ -216,14 +228,13 @@ def _cut(window):
                 np.add.at(steps, at + window, -1)
                 covered = np.cumsum(steps[:-1]) > 0
                 kept = b" ".join([w for w, c in zip(words, covered.tolist()) if not c])
-                ids.append(i)
                 removed.append(int(covered.sum()))
                 digests.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()),
+                [b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string()),
                  pa.array(texts, pa.binary()).cast(pa.string())],
-                names=["id", "n_removed", "kept_sha256", "kept_text"])
+                names=["id", "digest", "n_removed", "kept_sha256", "kept_text"])
     return run
 
 
@@ -236,43 +247,45 @@ def deduplicate(docs: DataFrame, key: str, text: str = "text", window: int = 50,
     """(report, changed).
 
     ``report`` has ``(id, n_words, n_removed, kept_sha256)`` for every row; ``changed`` has
-    ``(id, kept_text)`` once for each id that loses words, where ``kept_text`` holds the words
-    left, joined by one space. A null id is given as the largest long.
+    ``(id, digest, kept_text)`` once for each id and word sequence that loses words, where
+    ``digest`` is that of ``words_digest`` and ``kept_text`` holds the words left, joined by one
+    space. A null id is given as the largest long.
     """
     cover = np.array(difference_cover(period))
     width = anchor_words(window, period)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
     prof = saved(rows.mapInArrow(_profile(width, period, cover),
-                                 "id long, n_words long, digest string, anchors array<long>"), "anchors")
+                                 "id long, n_words long, digest string, anchors array<long>")
+                 .withColumn("key", F.monotonically_increasing_id()), "anchors")
     # classes of equal word sequences: all but the smallest id repeat a smaller document whole
-    first = prof.groupBy("digest").agg(F.min("id").alias("first"))
-    info = saved(prof.select("id", "n_words", "digest").join(first, "digest")
-                 .withColumn("copy", (F.col("id") > F.col("first")) & (F.col("n_words") >= window))
+    first = prof.groupBy("digest").agg(F.min(F.struct("id", "key")).alias("first"))
+    info = saved(prof.select("id", "key", "n_words", "digest").join(first, "digest")
+                 .withColumn("copy", (F.col("id") > F.col("first.id")) & (F.col("n_words") >= window))
+                 .withColumn("leads", F.col("key") == F.col("first.key"))
                  .drop("first"), "classes")
     # anchors that two rows share
-    anchors = prof.select("id", F.posexplode("anchors").alias("rank", "hash"))
+    anchors = prof.select("key", F.posexplode("anchors").alias("rank", "hash"))
     shared = anchors.groupBy("hash").count().filter("count > 1").select("hash")
-    nominated = (anchors.join(shared, "hash", "left_semi").groupBy("id")
+    nominated = (anchors.join(shared, "hash", "left_semi").groupBy("key")
                  .agg(F.collect_set("rank").alias("ranks"))
-                 .join(info.filter("copy").select("id").distinct(), "id", "left_anti"))
-    packed = rows.mapInArrow(_packed, "id long, packed binary")
-    candidates = saved(packed.join(nominated, "id"), "candidates")
+                 .join(info.filter("leads").select("key", "id", "digest"), "key"))
+    packed = rows.mapInArrow(_packed, "id long, digest string, packed binary")
+    candidates = saved(packed.join(nominated, ["id", "digest"]).dropDuplicates(["id", "digest"]), "candidates")
     # their windows, whole; the smallest id of each
-    windows = saved(candidates.select("id", "packed", "ranks").mapInArrow(
-        _windows(window, period, cover), "id long, h1 long, h2 int, at int"), "windows")
-    least = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"))
-    covered = (windows.join(least, ["h1", "h2"]).filter("lo < id").groupBy("id")
-               .agg(F.collect_list("at").alias("starts")))
-    cut = saved(candidates.select("id", "packed").join(covered, "id").mapInArrow(
-        _cut(window), "id long, n_removed long, kept_sha256 string, kept_text string"), "cut")
-    result = cut.select("id", "n_removed", "kept_sha256").dropDuplicates(["id"])
-    report = info.join(result, "id", "left").select(
+    windows = saved(candidates.select("id", "key", "packed", "ranks").mapInArrow(
+        _windows(window, period, cover), "id long, key long, h1 long, tail long"), "windows")
+    h2 = F.shiftright("tail", 32)
+    least = windows.groupBy(F.col("h1").alias("l1"), h2.alias("l2")).agg(F.min("id").alias("lo"))
+    covered = (windows.join(least, (F.col("h1") == F.col("l1")) & (h2 == F.col("l2"))).filter("lo < id")
+               .groupBy("key").agg(F.collect_list(F.col("tail").bitwiseAND(F.lit((1 << 32) - 1))).alias("starts")))
+    cut = saved(candidates.select("key", "id", "digest", "packed").join(covered, "key")
+                .select("id", "digest", "packed", "starts").mapInArrow(
+        _cut(window), "id long, digest string, n_removed long, kept_sha256 string, kept_text string"), "cut")
+    report = info.join(cut.drop("kept_text"), ["id", "digest"], "left").select(
         "id", "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
         .cast("long").alias("n_removed"),
         F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "digest"))
         .alias("kept_sha256"))
-    copies = info.filter("copy").select("id", F.lit("").alias("kept_text")).distinct()
-    changed = cut.select("id", "kept_text").dropDuplicates(["id"]).join(
-        copies.select("id"), "id", "left_anti").unionByName(copies)
-    return report, changed
+    copies = info.filter("copy").select("id", "digest", F.lit("").alias("kept_text")).distinct()
+    return report, cut.select("id", "digest", "kept_text").unionByName(copies)
