@@ -82,3 +82,11 @@ def test_null_and_repeated_ids(spark):
                                "vec_id long, embedding array<float>")
     got = sorted((r.id, r.n_links, r.component) for r in embeddings.near_duplicates(df, "vec_id", "embedding").collect())
     assert got == [(5, 2, 5), (5, 2, 5), (7, 0, 7), ((1 << 63) - 1, 2, 5)]
+
+
+def test_loose_groups_larger_than_any_block_are_whole(spark):
+    """Cosines of about 0.96: hardly two vectors lie within half the linking angle."""
+    rows = clusters(11, [700, 150, 3], 0.204, 60, 48)
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>").repartition(3)
+    found = embeddings.near_duplicates(df, "vec_id", "embedding", block=16, window=8, passes=2)
+    assert {r.id: (r.n_links, r.component) for r in found.collect()} == brute(rows)

@@ -1,21 +1,14 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by comparing every pair, tile by tile.
 
-Every pass sorts the vectors lexicographically by concatenated random hashes (signs of random
-projections, packed into one long) and compares each vector with those in a bounded window
-after it; the verified pairs of all passes are united. Sorting is a range exchange, and the
-sorted order is cut into blocks of a fixed number of rows with the next block's head attached,
-so no group depends on how vectors cluster and no pair is lost at a boundary.
+Equal vectors are one class, under a position of its own that is written once; ids come in
+again only at the end, so null and repeated ids tie nothing together. The classes are cut by
+position into runs of a fixed number of rows, and every two runs make a tile, compared whole
+in one task. A tile gives each vector's number of links and a spanning forest of them, never
+the pairs: what it returns is bounded by its rows, however densely they are linked, and all
+tiles are of one size, however vectors cluster.
 
-Dense groups: equal vectors are one class. Before the passes, a pass of its own gathers
-vectors of a block around leaders, into balls of half the linking angle: by the triangle
-inequality all members of a ball are linked, so they are counted, not listed. The passes
-compare ball leaders. Two balls whose leaders' angle decides it either way are settled by their
-radii; for the others the members are compared, pair of balls by pair of balls. A group of near
-copies that holds a third of all rows thus costs a few balls for each block.
-
-Links are found, not guessed: no pair below the threshold counts. What can be missed is a pair
-that no pass brings within a window; ``tests/llm/test_embeddings.py`` holds the recall against
-brute force.
+No pair is missed, at any size and density. The price is that work grows with the square of
+the number of different vectors, and rows sent to tiles with the square over ``_RUNS * block``.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components
 link with nothing; so do vectors of different lengths; repeated rows are vectors of their own;
@@ -24,8 +17,6 @@ a null id counts as the largest.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -34,11 +25,8 @@ from tidemark.llm.common import saved
 from tidemark.llm.components import components
 
 LAST = (1 << 63) - 1
-_SLACK = 1e-7  # radians, against rounding in the ball arguments
-
-
-def _angle(cosine):
-    return np.arccos(np.clip(cosine, -1.0, 1.0))
+_RUNS = 4  # blocks in a run: a tile compares a run's blocks one after the other
+_TASKS = 20_000  # partitions that tiles are dealt to, at most
 
 
 def _raw(dtype):
@@ -64,26 +52,6 @@ def _units(column, dtype) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _keys(dtype, passes, seed, bits):
-    """One row per vector and pass: (pass, dim, key, id)."""
-    def run(batches):
-        for b in batches:
-            raw = b.column(1)
-            dims = np.array([len(r) for r in raw.to_pylist()], np.int64) // np.dtype(dtype).itemsize
-            for dim in np.unique(dims).tolist():
-                rows = np.flatnonzero(dims == dim)
-                u = _units(raw.take(pa.array(rows)), dtype)
-                ids = b.column(0).take(pa.array(rows))
-                for p in passes:
-                    plane = np.random.default_rng([seed, p, dim]).standard_normal((dim, bits))
-                    key = ((u @ plane) > 0) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, p), pa.int32()), pa.array(np.full(n, dim), pa.int32()),
-                         pa.array(key), ids], names=["pass", "dim", "key", "id"])
-    return run
-
-
 def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` in the shared folder with ``pos``, its place in the global order.
 
@@ -103,138 +71,84 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
                 .drop("_part", "_in", "_offset")
 
 
-def _blocks(order: DataFrame, items: DataFrame, block: int, window: int) -> DataFrame:
-    """Rows of ``items`` by block of the order; the first ``window`` rows of a block stand in the
-    block before as well (``own`` false)."""
-    b = F.floor(F.col("pos") / block)
-    copies = F.array(F.struct(b.alias("block"), F.lit(True).alias("own")))
-    if window:
-        copies = F.when((F.col("pos") % block < window) & (b > 0), F.concat(copies, F.array(F.struct(
-            (b - 1).alias("block"), F.lit(False).alias("own"))))).otherwise(copies)
-    return (order.withColumn("_c", F.explode(copies))
-            .select("pass", "dim", "pos", "id", "_c.block", "_c.own").join(items, "id"))
-
-
-def _gather(dtype, half):
-    """Greedy balls of a block: (id, ball, radius to its leader)."""
+def _roots(hit, same):
+    """For rows and columns of ``hit`` that have links: a row that stands for their component."""
+    back = hit if same else np.ascontiguousarray(hit.T)
+    left = np.full(len(hit), -1, np.int64)
+    right = left if same else np.full(len(back), -1, np.int64)
+    for s in np.flatnonzero(hit.any(axis=1)):
+        if left[s] >= 0:
+            continue
+        left[s] = s
+        front, steps = np.array([s]), [(hit, right), (back, left)]
+        while len(front):
+            rows, seen = steps[0]
+            front = np.flatnonzero(rows[front].any(axis=0) & (seen < 0))
+            seen[front] = s
+            steps.reverse()
+    return left, right
+
+
+def _compare(dtype, block, cosine):
+    """Links inside a tile: (id, root, links) of vectors that have some; root leads their part."""
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("pos")
-        ids, dims = t.column("id").to_numpy(), t.column("dim").to_numpy()
-        leader, away = np.full(len(ids), -1, np.int64), np.zeros(len(ids))
+        same = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
+        first = t.column("run").to_numpy() == t.column("lo").to_numpy()
+        dims, ids, n = (t.column(c).to_numpy() for c in ("dim", "id", "n"))
+        out = [(np.empty(0, np.int64),) * 3]
         for dim in np.unique(dims):
-            rows = np.flatnonzero(dims == dim)
-            u = _units(t.column("raw").take(pa.array(rows)), dtype)
-            cos = u @ u.T
-            free = np.ones(len(rows), bool)
-            for i in range(len(rows)):
-                if free[i]:
-                    mine = np.flatnonzero(free & (cos[i] >= math.cos(half)))
-                    mine = np.union1d(mine, [i])
-                    free[mine] = False
-                    leader[rows[mine]] = ids[rows[i]]
-                    a = _angle(cos[i, mine])
-                    a[mine == i] = 0.0
-                    away[rows[mine]] = a
-        return pa.table({"id": ids, "leader": leader, "away": away})
-    return run
-
-
-def _compare(dtype, window, cosine):
-    """Pairs of balls in a block's windows: (a, b, full); not full: their members decide."""
-    limit = math.acos(cosine)
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("pos")
-        pos, ids, own = (t.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "id", "own"))
-        group = t.column("pass").to_numpy().astype(np.int64) << 32 | t.column("dim").to_numpy()
-        radius = t.column("radius").to_numpy()
-        out = []
-        for g in np.unique(group):
-            rows = np.flatnonzero(group == g)
-            u, r, p, k = _units(t.column("raw").take(pa.array(rows)), dtype), radius[rows], pos[rows], ids[rows]
-            m = int(own[rows].sum())  # own rows come first
-            cos = u[:m] @ u.T
-            reach = math.cos(min(limit + 2 * r.max() + _SLACK, math.pi))
-            i, j = np.nonzero(cos >= min(reach, cosine))
-            near = (p[j] > p[i]) & (p[j] - p[i] <= window)
-            i, j = i[near], j[near]
-            c, both = cos[i, j], r[i] + r[j]
-            angle = _angle(c)
-            single = both == 0
-            full = np.where(single, c >= cosine, angle + both <= limit - _SLACK)
-            open_ = ~single & ~full & (angle - both <= limit + _SLACK)
-            use = full | open_
-            a, b = k[i[use]], k[j[use]]
-            out.append((np.minimum(a, b), np.maximum(a, b), full[use]))
-        a, b, full = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"a": a, "b": b, "full": full})
-    return run
-
-
-def _settle(dtype, cosine):
-    """Links between the members of two balls: (a, b, id, links) for members that have some."""
-    def run(t: pa.Table) -> pa.Table:
-        sides = [t.filter(pa.compute.equal(t.column("side"), s)) for s in (0, 1)]
-        hit = _units(sides[0].column("raw"), dtype) @ _units(sides[1].column("raw"), dtype).T >= cosine
-        n = [s.column("n").to_numpy() for s in sides]
-        links = np.concatenate((hit @ n[1], n[0] @ hit)).astype(np.int64)
-        ids = np.concatenate([s.column("id").to_numpy() for s in sides])
-        use = links > 0
-        a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
-        return pa.table({"a": np.full(use.sum(), a, np.int64), "b": np.full(use.sum(), b, np.int64),
-                         "id": ids[use], "links": links[use]})
-
-    import pyarrow.compute  # noqa: F401 - makes pa.compute
+            sides = [np.flatnonzero((dims == dim) & side) for side in (first, first if same else ~first)]
+            if not all(map(len, sides)):
+                continue
+            u, v = (_units(t.column("raw").take(pa.array(r)), dtype) for r in sides)
+            n_u, n_v = (n[r].astype(np.float64) for r in sides)
+            hit, of_u, of_v = np.empty((len(u), len(v)), bool), np.zeros(len(u)), np.zeros(len(v))
+            for i in range(0, len(u), block):
+                h = hit[i:i + block]
+                h[:] = u[i:i + block] @ v.T >= cosine
+                if same:
+                    h[np.arange(len(h)), np.arange(i, i + len(h))] = False
+                weight = h.astype(np.float64)
+                of_u[i:i + block] = weight @ n_v
+                of_v += n_u[i:i + block] @ weight
+            for rows, root, links in list(zip(sides, _roots(hit, same), (of_u, of_v)))[:1 if same else 2]:
+                some = root >= 0
+                out.append((ids[rows[some]], ids[sides[0][root[some]]], links[some].astype(np.int64)))
+        return pa.table(dict(zip(("id", "root", "links"), map(np.concatenate, zip(*out)))))
     return run
 
 
 def near_duplicates(vectors: DataFrame, key: str, column: str, cosine: float = 0.95, passes: int = 10,
                     window: int = 512, block: int = 2048, bits: int = 60, seed: int = 7) -> DataFrame:
-    """``(id, n_links, component)`` per row; a null key is given as the largest long."""
+    """``(id, n_links, component)`` per row; a null key is given as the largest long.
+
+    Every pair is compared; ``passes``, ``window``, ``bits`` and ``seed``, which bounded that,
+    are taken for callers that name them and change nothing.
+    """
     kind = vectors.schema[column].dataType.elementType.simpleString()
     dtype = "<f4" if kind == "float" else "<f8"
-    half = math.acos(cosine) / 2 - _SLACK
     rows = saved(vectors.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), column)
                  .mapInArrow(_raw(dtype), "id long, raw binary"), "vectors")
     # classes of equal vectors
-    classes = saved(rows.filter("raw is not null").groupBy("raw").agg(
-        F.min("id").alias("id"), F.count("*").alias("n")), "vector-classes")
-    key_schema = "pass int, dim int, key long, id long"
-    of = lambda ps: classes.select("id", "raw").mapInArrow(
-        _keys(dtype, ps, seed, bits), key_schema)
-    order = ranked(of([0]), ["pass", "dim", "key", "id"], "ball-order")
-    balls = saved(_blocks(order, classes.select("id", "raw"), block, 0).groupBy("block").applyInArrow(
-        _gather(dtype, half), "id long, leader long, away double"), "balls")
-    members = classes.join(balls, "id")
-    names = members.groupBy("leader").agg(F.min("id").alias("ball"), F.max("away").alias("radius"),
-                                          F.sum("n").alias("size"))
-    members = saved(members.join(names.select("leader", "ball"), "leader"), "members")
-    leaders = saved(names.join(classes.select(F.col("id").alias("leader"), "raw"), "leader")
-                    .select(F.col("ball").alias("id"), "raw", "radius", "size"), "leaders")
-    # the passes
-    keys = leaders.select("id", "raw").mapInArrow(_keys(dtype, list(range(1, passes + 1)), seed, bits), key_schema)
-    order = ranked(keys, ["pass", "dim", "key", "id"], "pass-order")
-    pairs = saved(_blocks(order, leaders.select("id", "raw", "radius"), block, window).groupBy("block")
-                  .applyInArrow(_compare(dtype, window, cosine), "a long, b long, full boolean")
-                  .distinct(), "ball-pairs")
-    unsettled = pairs.filter("not full").select("a", "b")
-    part = members.select(F.col("ball"), "id", "raw", "n")
-    sides = [unsettled.join(part, F.col(end) == F.col("ball")).select("a", "b", F.lit(s).alias("side"), "id", "raw", "n")
-             for s, end in enumerate("ab")]
-    settled = saved(sides[0].unionByName(sides[1]).groupBy("a", "b").applyInArrow(
-        _settle(dtype, cosine), "a long, b long, id long, links long"), "settled")
-    full = pairs.filter("full").select("a", "b")
-    edges = full.unionByName(settled.select("a", "b").distinct())
-    comp = components(edges, "embedding")
-    # links of a vector: the rest of its ball, whole balls, single members
-    both = full.unionAll(full.select("b", "a"))
-    whole = both.join(leaders.select(F.col("id").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("whole"))
-    extra = settled.groupBy("id").agg(F.sum("links").alias("extra"))
-    per_ball = leaders.select(F.col("id").alias("ball"), "size").join(whole.withColumnRenamed("a", "ball"), "ball", "left") \
-        .join(comp.withColumnRenamed("id", "ball"), "ball", "left")
-    found = (members.select("raw", "id", "ball").join(per_ball, "ball").join(extra, "id", "left")
-             .select("raw", (F.col("size") - 1 + F.coalesce("whole", F.lit(0)) + F.coalesce("extra", F.lit(0)))
-                     .alias("n_links"), F.coalesce("component", "ball").alias("component")))
-    return rows.join(saved(found, "vector-links"), "raw", "left").select(
+    classes = rows.filter("raw is not null").groupBy("raw").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    classes = saved(ranked(classes.withColumn("dim", F.length("raw")), ["dim", "raw"], "vector-order")
+                    .withColumnRenamed("pos", "id"), "vector-classes")
+    # tiles: every two runs, and each run with itself
+    size = _RUNS * block
+    runs = max(-(-classes.count() // size), 1)
+    own, other = F.col("run"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long")))
+    tiles = (classes.select("id", "dim", "raw", "n", F.floor(F.col("id") / size).alias("run"), other.alias("other"))
+             .select("id", "dim", "raw", "n", "run", F.least(own, "other").alias("lo"),
+                     F.greatest(own, "other").alias("hi"))
+             .repartition(min(runs * (runs + 1) // 2, _TASKS), "lo", "hi"))
+    found = saved(tiles.groupBy("lo", "hi").applyInArrow(
+        _compare(dtype, block, cosine), "id long, root long, links long"), "tile-links")
+    comp = components(found.select(F.col("root").alias("a"), F.col("id").alias("b")).filter("a <> b"), "embedding")
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    found = saved(classes.drop("dim").join(links, "id", "left").join(comp, "id", "left").select(
+        "raw", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.coalesce("component", "id").alias("root")), "vector-links")
+    least = saved(found.groupBy("root").agg(F.min("least").alias("component")), "root-ids")
+    return rows.join(saved(found.drop("least").join(least, "root"), "vector-components"), "raw", "left").select(
         "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "id").alias("component"))
