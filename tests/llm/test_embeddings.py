@@ -90,3 +90,12 @@ def test_loose_groups_larger_than_any_block_are_whole(spark):
     df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>").repartition(3)
     found = embeddings.near_duplicates(df, "vec_id", "embedding", block=16, window=8, passes=2)
     assert {r.id: (r.n_links, r.component) for r in found.collect()} == brute(rows)
+
+
+def test_vectors_that_share_an_id_or_have_none(spark):
+    last = (1 << 63) - 1
+    rows = [(None, [1.0, 0.0]), (None, [0.0, 1.0]), (None, [1.0, 0.01]), (5, [-1.0, 0.0]), (5, [0.0, -1.0]),
+            (5, [0.0, -1.0]), (7, [0.01, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted((r.id, r.n_links, r.component) for r in embeddings.near_duplicates(df, "vec_id", "embedding").collect())
+    assert got == [(5, 0, 5), (5, 1, 5), (5, 1, 5), (7, 1, 7), (last, 1, 7), (last, 1, last), (last, 1, last)]
