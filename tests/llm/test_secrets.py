@@ -86,3 +86,14 @@ def test_private_keys_go_whole(spark, key, rest):
     df = spark.createDataFrame([(0, "before " + key + rest)], "doc_id long, text string")
     out = secrets.redacted(df, secrets.scan(df, ["doc_id"])).first().text
     assert out == "before [REDACTED]" + rest
+
+
+def test_findings_of_an_older_rule_version_are_left_out(spark):
+    df = spark.createDataFrame([("a", "AKIA" + "A" * 14 + " and deadbeefdeadbeef")], "path string, text string")
+    old, hexes = secrets.BASE_RULES[1:]
+    _, ledger = secrets.scan_paths(df, ["path"], rules=(old, hexes))
+    new = (secrets.Rule("access", 2, "AKIA[A-Z0-9]{16,}+"), hexes)
+    found, ledger = secrets.scan_paths(df, ["path"], ledger=ledger, rules=new)
+    assert [(f.kind, f.rule) for f in found.first().findings] == [("hex", "hex:1")]
+    assert secrets.redacted(df, ledger, rules=new).first().text == "AKIA" + "A" * 14 + " and [REDACTED]"
+    assert secrets.redacted(df, ledger, rules=(old, hexes)).first().text == "[REDACTED] and [REDACTED]"

@@ -1,7 +1,7 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of every path is content-addressed (SHA-256 of its text). A ledger keeps, per
-blob, which rule versions have been run on it and what they found, so a scan touches only
+blob, which rule versions have been run on it and what each found, so a scan touches only
 (blob, rule version) pairs that the ledger lacks; findings are joined back to all paths that
 ever held the blob. Everything runs on DataFrame functions: matches and their code-point
 offsets come from ``regexp_extract_all`` and ``split`` on the same pattern, whose pieces
@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.common import saved
 
 LEDGER = ("blob_id string, rules array<string>, "
-          "findings array<struct<start:int, end:int, ord:int, kind:string>>")
-_SPANS = "array<struct<start:int, end:int, ord:int, kind:string>>"
+          "findings array<struct<start:int, end:int, ord:int, kind:string, rule:string>>")
+_SPANS = "array<struct<start:int, end:int, ord:int, kind:string, rule:string>>"
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ def find_spans(text: Column, rule: Rule, order: int) -> Column:
         start = acc["pos"] + m["gap"]
         end = start + m["len"]
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(order).alias("ord"),
-                        F.lit(rule.kind).alias("kind"))
+                        F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"))
         return F.struct(end.alias("pos"), F.when(m["val"] >= rule.min_chars, F.concat(acc["out"], F.array(span)))
                         .otherwise(acc["out"]).alias("out"))
 
@@ -134,7 +134,7 @@ def _hits(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return saved(ledger.filter(F.size("findings") > 0)
             .filter(F.arrays_overlap("rules", F.array(*[F.lit(r.key) for r in rules])))
             .select("blob_id", F.explode("findings").alias("f"))
-            .filter(F.col("f.kind").isin([r.kind for r in rules]))
+            .filter(F.col("f.rule").isin([r.key for r in rules]))
             .groupBy("blob_id").agg(F.array_sort(F.collect_set("f")).alias("findings")), "findings")
 
 
