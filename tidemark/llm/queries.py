@@ -11,7 +11,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import (
-    chat, embeddings, oracles, packing, quality, secrets, sentencepiece_bpe, simhash, substrings, tokens, warc)
+    byte_pairs, centroids, chat, embeddings, oracles, packing, quality, repair, secrets, sentencepiece_bpe, simhash,
+    substrings, tokens, warc)
 from tidemark.llm.common import table
 
 #: The folder of the public vocabulary files; the same place on every machine.
@@ -142,3 +143,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_and_index(captures)
     return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to",
                         "urlkey", F.col("ts").alias("captured"), "archive", "offset")
+
+
+@query
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("word_bpe_49k.json")
+    coded = byte_pairs.encode(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    both = byte_pairs.decode(coded, path)
+    return both.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+                        F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair.repair(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return found.withColumnRenamed("id", "conv_id")
