@@ -43,23 +43,31 @@ def clusters(seed, near, spread, singles=150, dim=24):
 
 
 @pytest.mark.parametrize("spread", [0.05, 0.15, 0.24, 0.3])
-def test_recall_against_brute_force(spark, tmp_path, spread):
+def test_one_window_equals_brute_force(spark, tmp_path, spread):
     rows = clusters(int(spread * 100), [2, 3, 9, 40, 220], spread)
-    got, want = run(spark, tmp_path / "t", rows), brute(rows)
-    assert sum(n for n, _ in got.values()) >= 0.9 * sum(n for n, _ in want.values())
+    assert run(spark, tmp_path / "t", rows) == brute(rows)
+
+
+@pytest.mark.parametrize("spread", [0.1, 0.2])
+def test_recall_with_small_windows(spark, spread):
+    """Windows much smaller than the table: rows whose id is divisible by 50 against all rows."""
+    rows = clusters(int(spread * 100), [2] * 150 + [3, 9, 40, 220], spread, 1200, 32)
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>").repartition(3)
+    found = embeddings.near_duplicates(df, "vec_id", "embedding", window=16, run_rows=64)
+    got, want = {r.id: (r.n_links, r.component) for r in found.collect()}, brute(rows)
+    asked = [k for k in rows if k % 50 == 0]
+    assert sum(got[k][0] for k in asked) >= 0.9 * sum(want[k][0] for k in asked)
+    assert sum(n for n, _ in got.values()) >= 0.97 * sum(n for n, _ in want.values())
     assert all(got[k][0] <= want[k][0] for k in rows)
     assert all(want[k][1] == want[got[k][1]][1] for k in rows)  # never joined across components
 
 
-def test_balls_and_small_blocks_equal_brute_force(spark):
-    """Small blocks and windows: balls settle by radius or by their members."""
-    rows = clusters(9, [130, 60, 5], 0.2, 40, 8) | {1000: [1.0] * 8, 1001: [1.0] * 8, 1002: [2.0] * 8}
-    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
-    found = embeddings.near_duplicates(df, "vec_id", "embedding", block=64, window=64, passes=16)
-    got = {r.id: (r.n_links, r.component) for r in found.collect()}
-    want = brute(rows)
-    assert all(got[k][0] <= want[k][0] for k in rows)
-    assert sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values())
+def test_passes_follow_the_bits_that_windows_share():
+    need = lambda shared: embeddings.passes_needed(shared, 0.95, 0.99)
+    assert need({}) == 1 and need({0: 10}) == 1
+    assert need({4: 10}) < need({8: 10}) < need({4: 5, 16: 5}) < need({16: 10})
+    agree = 1 - np.arccos(0.95) / np.pi
+    assert 1 - (1 - agree ** 8) ** need({8: 10}) >= 0.99 > 1 - (1 - agree ** 8) ** (need({8: 10}) - 1)
 
 
 def test_odd_vectors(spark, tmp_path):
@@ -88,7 +96,16 @@ def test_loose_groups_larger_than_any_block_are_whole(spark):
     """Cosines of about 0.96: hardly two vectors lie within half the linking angle."""
     rows = clusters(11, [700, 150, 3], 0.204, 60, 48)
     df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>").repartition(3)
-    found = embeddings.near_duplicates(df, "vec_id", "embedding", block=16, window=8, passes=2)
+    found = embeddings.near_duplicates(df, "vec_id", "embedding", window=16, run_rows=32)
+    assert {r.id: (r.n_links, r.component) for r in found.collect()} == brute(rows)
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.1, 0.17])
+def test_dense_groups_are_counted_whole(spark, spread):
+    """Runs that angles decide are counted without a comparison, all others are compared."""
+    rows = clusters(13, [400, 90], spread, 60, 48) | {1000: [1.0] * 48, 1001: [1.0] * 48, 1002: [2.0] * 48}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>").repartition(3)
+    found = embeddings.near_duplicates(df, "vec_id", "embedding", window=32, run_rows=16)
     assert {r.id: (r.n_links, r.component) for r in found.collect()} == brute(rows)
 
 
