@@ -9,9 +9,7 @@ Estimators Spark ML lacks are compositions of Spark ML fits and DataFrame aggreg
 
 * AdaBoost (discrete SAMME): weighted depth-1 trees; each round's error is one
   aggregation, the new weights a column expression; lineage is cut by ``checkpoint``.
-* Extremely randomised trees: forests whose features are cut at random thresholds drawn per
-  batch of trees, so their split search can only choose among random cut points (an
-  approximation of per-node random thresholds, documented as such).
+* Extremely randomised trees and Newton boosting: see :mod:`tidemark.operators.trees`.
 * Out-of-fold predictions / stacking / bagging: loops of ordinary fits over fold or
   bootstrap columns, results joined on the row id.
 """
@@ -19,7 +17,6 @@ Estimators Spark ML lacks are compositions of Spark ML fits and DataFrame aggreg
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
 from functools import reduce
 
@@ -29,12 +26,13 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator,
                                    MulticlassClassificationEvaluator, RegressionEvaluator)
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import split as SP
+from tidemark.operators.trees import extra_trees  # noqa: F401 - one of the learners
 from tidemark.session import ensure_checkpoint_dir
 
 
@@ -214,71 +212,6 @@ def adaboost(df: DataFrame, rounds: int = 500, learning_rate: float = 0.75,
     return AdaBoostModel(stumps, classes, features, importances / (total or 1.0) if stumps else [])
 
 
-# --- extremely randomised trees (approximation) --------------------------------------------
-class ExtraTreesModel:
-    """Forests over random cuts; the class probabilities of all trees are averaged."""
-
-    def __init__(self, forests, cuts, features):
-        self.forests, self.cuts, self.features = forests, cuts, features
-
-    def transform(self, df: DataFrame, out: str = "prediction",
-                  prob: str = "probability_1") -> DataFrame:
-        res, sums = df.withColumn("_xa", vector_to_array(F.col(self.features))), None
-        trees = [m.getNumTrees for m in self.forests]
-        for t, (m, cuts) in enumerate(zip(self.forests, self.cuts)):
-            m = m.copy().setFeaturesCol(f"_xt{t}").setPredictionCol(f"_pt{t}").setProbabilityCol(f"_pp{t}") \
-                 .setRawPredictionCol(f"_rt{t}")
-            res = m.transform(_cut_features(res, cuts, f"_xt{t}")).drop(f"_xt{t}", f"_pt{t}", f"_rt{t}")
-            p = F.transform(vector_to_array(F.col(f"_pp{t}")), lambda v: v * F.lit(trees[t] / sum(trees)))
-            sums = p if sums is None else F.zip_with(sums, p, lambda a, b: a + b)
-        res = res.withColumn("_p", sums).drop("_xa", *[f"_pp{t}" for t in range(len(self.forests))])
-        # the class with the largest mean probability; ties go to the smaller
-        best = F.array_max(F.transform("_p", lambda v, i: F.struct(v.alias("p"), (-i).alias("neg"))))
-        return res.withColumns({prob: F.get("_p", F.lit(1)), out: (-best["neg"]).cast("double")}).drop("_p")
-
-    @property
-    def featureImportances(self):
-        """Importance of a source feature = summed importance of its random cuts."""
-        import numpy as np
-        acc = np.zeros(len(self.cuts[0]))
-        for m, cuts in zip(self.forests, self.cuts):
-            of = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
-            np.add.at(acc, of, m.featureImportances.toArray() * m.getNumTrees)
-        return acc / max(sum(m.getNumTrees for m in self.forests), 1)
-
-
-def _cut_features(df: DataFrame, cuts, out: str) -> DataFrame:
-    cols = [(F.col("_xa")[f] > F.lit(float(c))).cast("double")
-            for f, cs in enumerate(cuts) for c in cs]
-    return df.withColumn(out, array_to_vector(F.array(*cols)))
-
-
-def extra_trees(df: DataFrame, n_trees: int = 500, max_depth: int = 8, min_instances: int = 1,
-                batch: int = 50, cuts_per_feature: int = 16, seed: int = 0,
-                label: str = "label", features: str = "features") -> ExtraTreesModel:
-    """Un-bootstrapped forests of ``batch`` trees over features that are cut at thresholds drawn
-    uniformly in each feature's range (one aggregation gives the ranges), with a random feature
-    subset (``sqrt``) per node. Every batch draws its own cuts, so ``n_trees`` trees are a few
-    distributed fits. Rows hold one label of 0, 1, 2, ...
-    """
-    rng = random.Random(seed)
-    arr = df.select(label, vector_to_array(F.col(features)).alias("_xa"))
-    nf = len(arr.select("_xa").first()[0])
-    bounds = arr.agg(*[F.min(F.col("_xa")[i]).alias(f"lo{i}") for i in range(nf)],
-                     *[F.max(F.col("_xa")[i]).alias(f"hi{i}") for i in range(nf)]).first()
-    forests, all_cuts = [], []
-    for done in range(0, n_trees, batch):
-        cuts = [[rng.uniform(bounds[f"lo{i}"], bounds[f"hi{i}"]) for _ in range(cuts_per_feature)]
-                for i in range(nf)]
-        rf = RandomForestClassifier(numTrees=min(batch, n_trees - done), bootstrap=False,
-                                    featureSubsetStrategy="sqrt", maxDepth=max_depth,
-                                    minInstancesPerNode=min_instances, seed=rng.randrange(1 << 30),
-                                    labelCol=label, featuresCol="_xt")
-        forests.append(rf.fit(_cut_features(arr, cuts, "_xt")))
-        all_cuts.append(cuts)
-    return ExtraTreesModel(forests, all_cuts, features)
-
-
 # --- out-of-fold predictions, bagging, stacking --------------------------------------------
 def positive_probability(model_df: DataFrame, prob_col: str = "probability") -> F.Column:
     return vector_to_array(F.col(prob_col))[1]

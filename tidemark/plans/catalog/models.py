@@ -183,7 +183,7 @@ def adaboost(spark, sf_dir):
 @query("extra_trees")
 def extra_trees(spark, sf_dir):
     d = labelled_docs(spark, sf_dir)
-    m = MD.extra_trees(d.where("is_test = 0"), n_trees=N_TREES, max_depth=8, min_instances=2, batch=125)
+    m = MD.extra_trees(d.where("is_test = 0"), n_trees=N_TREES, max_depth=8, min_instances=2)
     return m.transform(d.where("is_test = 1")).select("doc_id", "label", "prediction",
                                                       "probability_1")
 
