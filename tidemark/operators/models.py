@@ -31,6 +31,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.operators import linear as LN
 from tidemark.operators import split as SP
 from tidemark.operators.trees import extra_trees  # noqa: F401 - one of the learners
 from tidemark.session import ensure_checkpoint_dir
@@ -267,6 +268,20 @@ def bagging(df: DataFrame, make_estimator, id_col: str, score_df: DataFrame, n_m
     return avg.withColumn("prediction", pred)
 
 
+def bagging_logistic(df: DataFrame, id_col: str, score_df: DataFrame, c: float = 1.0, n_models: int = 20,
+                     fraction: float = 0.8, vote: str = "unanimous", seed: int = 0, features: str = "features"
+                     ) -> DataFrame:
+    """:func:`bagging` of L1 logistic regressions of strength ``c``, all fitted in shared passes:
+    a sample is a weight for each row. Same samples, same votes."""
+    counts = F.array(*[SP.bootstrap_count(id_col, fraction, seed + i) for i in range(n_models)])
+    data = training_table(df.select(features, "label", counts.alias("_w")))
+    models = LN.logistic_l1_fits(data, [c] * n_models, "_w", features=features)
+    x = vector_to_array(F.col(features))
+    ones = sum(((m.margin(x) > 0).cast("int") for m in models[1:]), (models[0].margin(x) > 0).cast("int"))
+    avg = score_df.select(id_col, (ones / F.lit(float(n_models))).alias("mean_vote"))
+    return avg.withColumn("prediction", (F.col("mean_vote") >= (1.0 if vote == "unanimous" else 0.5)).cast("int"))
+
+
 # --- selection -----------------------------------------------------------------------------
 def grid_search_cv(df: DataFrame, estimator, grids: Sequence[list], evaluator,
                    fold_col: str = "fold", k: int = 5, parallelism: int = 4):
@@ -318,7 +333,8 @@ def importance_table(spark: SparkSession, names: Sequence[str], models: dict) ->
 
 
 def coefficient_table(spark: SparkSession, names: Sequence[str], model) -> DataFrame:
-    rows = [(n, float(c)) for n, c in zip(names, model.coefficients.toArray())]
+    coef = model.coef if isinstance(model, LN.LogisticModel) else model.coefficients.toArray()
+    rows = [(n, float(c)) for n, c in zip(names, coef)]
     rows.append(("(intercept)", float(model.intercept)))
     return spark.createDataFrame(rows, "feature string, coef double")
 

@@ -120,11 +120,16 @@ def bootstrap_sample(df: DataFrame, id_col: str, fraction: float = 0.8, seed: in
     hash of (seed, id), so the sample depends on neither partitioning nor retries. Counts
     have a resolution of 1/65536.
     """
+    return df.withColumn("_n", F.explode(F.array_repeat(F.lit(0), bootstrap_count(id_col, fraction, seed)))).drop("_n")
+
+
+def bootstrap_count(id_col: str, fraction: float = 0.8, seed: int = 0) -> Column:
+    """How often :func:`bootstrap_sample` holds a row: a weight that stands for the sample."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), 1, 4)
     times = F.lit(0)
     for cut in poisson_cuts(fraction):
         times = times + (digits >= cut).cast("int")
-    return df.withColumn("_n", F.explode(F.array_repeat(F.lit(0), times))).drop("_n")
+    return times
 
 
 def poisson_cuts(rate: float, resolution: int = 65536) -> list[str]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.operators import evaluate as EV
+from tidemark.operators import linear as LN
 from tidemark.operators import models as MD
 from tidemark.operators import split as SP
 from tidemark.plans import stacking as ST
@@ -140,8 +141,7 @@ def _scaled_docs(spark, sf_dir):
 @query("logistic_l1")
 def logistic_l1(spark, sf_dir):
     d = _scaled_docs(spark, sf_dir)
-    train = d.where("is_test = 0")
-    m = MD.logistic_l1(train.count(), 1.0, features="scaled", max_iter=500).fit(train)
+    m, = LN.logistic_l1_fits(d.where("is_test = 0"), [1.0], features="scaled")
     return _scored(m, d.where("is_test = 1"))
 
 
@@ -216,10 +216,8 @@ def svc_multiclass(spark, sf_dir):
 @query("bagging_logistic")
 def bagging_logistic(spark, sf_dir):
     d = _scaled_docs(spark, sf_dir)
-    train = d.where("is_test = 0")
-    n = train.count()
-    return MD.bagging(train, lambda: MD.logistic_l1(int(n * 0.8), 1.0, features="scaled"),
-                      "doc_id", d.where("is_test = 1"), n_models=20, vote="unanimous")
+    return MD.bagging_logistic(d.where("is_test = 0"), "doc_id", d.where("is_test = 1"), c=1.0, n_models=20,
+                               vote="unanimous", features="scaled")
 
 
 # M9 ------------------------------------------------------------------------------------
@@ -338,7 +336,7 @@ def feature_importances(spark, sf_dir):
 @query("coefficient_table")
 def coefficient_table(spark, sf_dir):
     d = _scaled_docs(spark, sf_dir).where("is_test = 0")
-    m = MD.logistic_l1(d.count(), 1.0, features="scaled").fit(d)
+    m, = LN.logistic_l1_fits(d, [1.0], features="scaled")
     return MD.coefficient_table(spark, DOC_FEATURES, m)
 
 
@@ -346,8 +344,7 @@ def coefficient_table(spark, sf_dir):
 @query("bad_case_report")
 def bad_case_report(spark, sf_dir):
     d = _scaled_docs(spark, sf_dir)
-    train = d.where("is_test = 0")
-    m = MD.logistic_l1(train.count(), 1.0, features="scaled").fit(train)
+    m, = LN.logistic_l1_fits(d.where("is_test = 0"), [1.0], features="scaled")
     wrong = m.transform(d.where("is_test = 1")).where(F.col("prediction") != F.col("label")) \
              .select(F.col("doc_id").alias("bad_id"), F.col("prediction"))
     src = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
@@ -511,10 +508,8 @@ def lane_model_metrics(spark, sf_dir):
 @query("ar_direct_fit")
 def ar_direct_fit(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
-    models, names = TR.ar_direct_fit(ev, ["event_type"], ["ts", "event_id"], "value",
-                                     AR_LAGS, AR_OUTPUT_WINDOW, AR_PERIOD)
-    rows = [(h, n, float(c)) for h, m in models.items()
-            for n, c in zip(names + ["(intercept)"],
-                            list(m.coefficients.toArray()) + [m.intercept])]
+    coef, intercepts, names = TR.ar_direct_fit(ev, ["event_type"], ["ts", "event_id"], "value",
+                                               AR_LAGS, AR_OUTPUT_WINDOW, AR_PERIOD)
+    rows = [(h + 1, n, float(c)) for h in range(AR_OUTPUT_WINDOW)
+            for n, c in zip(names + ["(intercept)"], [*coef[:, h], intercepts[h]])]
     return spark.createDataFrame(rows, "horizon int, feature string, coef double")
-

@@ -17,6 +17,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.operators import linear as LN
 from tidemark.operators import models as MD
 from tidemark.operators import series as SR
 
@@ -75,20 +76,19 @@ def ar_direct_fit(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     """Direct multi-step AR: one linear model per step ahead (``lead_1..lead_horizon`` as
     targets) over the same lag + phase window -- the ``output window`` form of the model.
 
-    The design (lags and leads) comes from one skew-safe segmentation; the ``horizon``
-    fits share one pinned training table.
+    All targets share the rows (whole windows of ``lags + horizon`` points) and so one Gram
+    matrix: one table of windows, two passes, one factorisation. Returns (coefficients as
+    (feature, step), intercepts by step, feature names). ``reg`` is a ridge penalty.
     """
     posd = SR.lag_features(df, keys, order, value, lags=lags, leads=horizon, position="pos")
     ang = F.lit(2 * math.pi / period) * F.col("pos")
     design = posd.withColumns({"phase_sin": F.sin(ang), "phase_cos": F.cos(ang)})
     names = ar_feature_names(value, lags)
-    data = MD.training_table(MD.assemble(MD.complete_rows(design, names), names))
-    models = {}
-    for h in range(1, horizon + 1):
-        target = f"{value}_lead_{h}"
-        lr = LinearRegression(regParam=reg, elasticNetParam=0.0, labelCol=target)
-        models[h] = lr.fit(data.where(F.col(target).isNotNull()))
-    return models, names
+    columns = names + [f"{value}_lead_{h}" for h in range(1, horizon + 1)]
+    # one array column: windows with a gap are left out where the sums are taken
+    data = MD.training_table(design.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("window")))
+    coef, intercepts = LN.solve(LN.gram(data, "window", len(columns)), horizon, reg)
+    return coef, intercepts, names
 
 
 def ar_forecast(design: DataFrame, model, keys: Sequence[str], value: str, lags: int,
