@@ -95,3 +95,126 @@ def test_one_class_and_no_rows(spark, small):
     one = TS.extra_trees(df.where("label = 1").withColumn("label", F.lit(1.0)), n_trees=3)
     assert {r.prediction for r in one.transform(df).collect()} == {1.0}
     assert TS.extra_trees(df.where("id < 0"), n_trees=3).transform(df).count() == df.count()
+
+
+def cuts_of(x):
+    return [(u[:-1] + u[1:]) / 2 for u in (np.unique(x[:, f]) for f in range(x.shape[1]))]
+
+
+def test_candidate_cuts(spark, small):
+    x, _, df = small
+    for got, want in zip(TS.candidate_cuts(df), cuts_of(x)):
+        assert np.allclose(got, want)
+    few = TS.candidate_cuts(df, max_cuts=7)
+    assert len(few[0]) == 7 and np.allclose(few[1], cuts_of(x)[1])
+
+
+def plain_real_adaboost(x, y, rounds, rate, k):
+    w, stumps = np.full(len(x), 1 / len(x)), []
+    for _ in range(rounds):
+        w = w / w.sum()
+        best = None
+        for f, cuts in enumerate(cuts_of(x)):
+            for c in cuts:
+                low = x[:, f] <= c
+                gain = 0.0
+                for side, sign in ((np.ones(len(x), bool), 1), (low, -1), (~low, -1)):
+                    cw = np.bincount(y[side], w[side], k)
+                    gain += sign * (cw.sum() - (cw ** 2).sum() / cw.sum())
+                if best is None or round(gain, 12) > best[0]:
+                    best = (round(gain, 12), f, c)
+        _, f, c = best
+        low = x[:, f] <= c
+        logs = np.zeros((len(x), k))
+        for side in (low, ~low):
+            cw = np.bincount(y[side], w[side], k)
+            logs[side] = np.log(np.clip(cw / cw.sum(), np.finfo(float).eps, None))
+        stumps.append((f, c, (k - 1) * (logs - logs.mean(axis=1, keepdims=True))))
+        code = np.where(np.arange(k)[None, :] == y[:, None], 1.0, -1 / (k - 1))
+        w = w * np.exp(-rate * (k - 1) / k * (code * logs).sum(axis=1))
+    return stumps
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_real_adaboost_equals_a_plain_version(spark, small, k):
+    x, y, _ = small
+    y = np.minimum(y, k - 1)
+    m = TS.real_adaboost(table(spark, x, 10.0 * y), rounds=12, learning_rate=0.75, keep_every=5)
+    want = plain_real_adaboost(x, y, 12, 0.75, k)
+    assert [s[0] for s in m.stumps] == [s[0] for s in want] and np.allclose([s[1] for s in m.stumps], [s[1] for s in want])
+    votes = sum(s[2] for s in want)
+    got = {r.id: r.prediction for r in m.transform(table(spark, x, 10.0 * y)).collect()}
+    assert [got[i] for i in range(len(x))] == (10.0 * votes.argmax(axis=1)).tolist()
+    assert np.isclose(m.featureImportances.sum(), 1)
+
+
+def test_real_adaboost_ends(spark, small):
+    x, y, df = small
+    assert TS.real_adaboost(df.where("id < 0")).transform(df).where("prediction is null").count() == len(x)
+    one = TS.real_adaboost(df.where("label = 2"), rounds=3)
+    assert {r.prediction for r in one.transform(df).collect()} == {2.0}
+    sure = TS.real_adaboost(table(spark, x, (x[:, 1] > 1).astype(float)), rounds=9)
+    assert len(sure.stumps) == 1
+    flat = TS.real_adaboost(table(spark, np.ones((20, 2)), [0, 1] * 10), rounds=9)
+    assert flat.stumps == []
+
+
+def plain_newton(x, y, rows, columns, depth, eta, lam, gamma, child, fraction, seed, rounds):
+    margin, leaves = np.zeros(len(x)), []
+
+    def grow(mine, g, h, cols, level):
+        G, H = g[mine].sum(), h[mine].sum()
+        node = {"w": -eta * G / (H + lam)}
+        best = None
+        for f in cols if level < depth else []:
+            for c in cuts_of(x)[f]:
+                low = mine[x[mine, f] <= c]
+                gl, hl = g[low].sum(), h[low].sum()
+                if len(low) in (0, len(mine)) or hl < child or H - hl < child:
+                    continue
+                gain = gl ** 2 / (hl + lam) + (G - gl) ** 2 / (H - hl + lam) - G ** 2 / (H + lam)
+                if gain > 1e-6 and (best is None or round(gain, 10) > best[0]):
+                    best = (round(gain, 10), f, c)
+        if best:
+            gain, f, c = best
+            node.update(f=f, c=c, kids=[grow(mine[s], g, h, cols, level + 1) for s in (x[mine, f] <= c, x[mine, f] > c)])
+            if gain < gamma and not any("kids" in k for k in node["kids"]):
+                del node["kids"]
+        return node
+
+    def leaf(node, r):
+        while "kids" in node:
+            node = node["kids"][int(r[node["f"]] > node["c"])]
+        return node["w"]
+
+    for t in range(rounds):
+        p = 1 / (1 + np.exp(-margin))
+        use = np.flatnonzero(TS.sampled(rows, seed, t, fraction))
+        tree = grow(use, p - y, p * (1 - p), columns[t], 0)
+        margin = margin + np.array([leaf(tree, r) for r in x])
+    return margin
+
+
+@pytest.mark.parametrize("options", [
+    dict(max_depth=2), dict(max_depth=3, gamma=0.9, min_child_weight=2.0, subsample=0.8, colsample=0.8, keep_every=3)])
+def test_newton_boosting_equals_a_plain_booster(spark, small, options):
+    x, y, _ = small
+    y = (y > 0).astype(float)
+    df = table(spark, x, y)
+    m = TS.newton_boosting(df, "id", rounds=7, seed=5, **options)
+    got = {r.id: r for r in m.transform(df).withColumn("r", F.xxhash64("id")).collect()}
+    rows = np.array([got[i].r for i in range(len(x))])
+    want = plain_newton(x, y, rows, m.columns, options["max_depth"], 0.3, 1.0, options.get("gamma", 0.0),
+                        options.get("min_child_weight", 1.0), options.get("subsample", 1.0), 5, 7)
+    assert np.allclose([got[i].margin for i in range(len(x))], want)
+    assert all(got[i].prediction == (want[i] > 0) for i in range(len(x)))
+    if "colsample" in options:
+        assert all(len(c) == 3 for c in m.columns) and len({tuple(c) for c in m.columns}) > 1
+        share = np.mean([TS.sampled(rows, 5, t, 0.8) for t in range(200)])
+        assert 0.78 < share < 0.82
+
+
+def test_newton_boosting_without_rows(spark, small):
+    _, _, df = small
+    m = TS.newton_boosting(df.where("id < 0"), "id", rounds=3)
+    assert {r.margin for r in m.transform(df).collect()} == {0.0}

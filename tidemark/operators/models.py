@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import linear as LN
 from tidemark.operators import split as SP
-from tidemark.operators.trees import extra_trees  # noqa: F401 - one of the learners
+from tidemark.operators.trees import extra_trees, newton_boosting, real_adaboost  # noqa: F401 - learners
 from tidemark.session import ensure_checkpoint_dir
 
 

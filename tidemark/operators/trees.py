@@ -238,3 +238,317 @@ def extra_trees(df: DataFrame, n_trees: int = 500, max_depth: int = 8, min_insta
     total = gain_of.sum(axis=1, keepdims=True)
     share = np.divide(gain_of, total, out=np.zeros_like(gain_of), where=total > 0).mean(axis=0)
     return ExtraTreesModel(trees, counts, features, share / share.sum() if share.sum() else share, drawn)
+
+
+# --- histograms over candidate cuts -------------------------------------------------------------
+def candidate_cuts(df: DataFrame, features: str = "features", max_cuts: int = 255) -> list[np.ndarray]:
+    """Ascending cuts of each feature: midways between its different values where there are at
+    most ``max_cuts`` + 1 of them, else ``max_cuts`` quantiles. At most that many numbers a
+    feature reach the driver."""
+    x = F.col(features)
+    if df.schema[features].dataType.simpleString() == "vector":
+        x = vector_to_array(x)
+    flat = df.select(F.posexplode(x).alias("f", "v"))
+    seen = flat.groupBy("f").agg(F.approx_count_distinct("v").alias("about")).collect()
+    cuts: dict[int, np.ndarray] = {}
+    few = [r.f for r in seen if r.about <= 2 * (max_cuts + 1)]
+    if few:
+        values = flat.where(F.col("f").isin(few)).distinct().groupBy("f").agg(
+            F.sort_array(F.collect_list("v")).alias("v")).collect()  # bounded by the count above
+        for r in values:
+            if len(r.v) <= max_cuts + 1:
+                v = np.array(r.v)
+                cuts[r.f] = v[:-1] + (v[1:] - v[:-1]) / 2
+                cuts[r.f] = np.where(cuts[r.f] >= v[1:], v[:-1], cuts[r.f])
+    rest = [r.f for r in seen if r.f not in cuts]
+    if rest:
+        places = [(i + 1) / (max_cuts + 1) for i in range(max_cuts)]
+        for r in flat.where(F.col("f").isin(rest)).groupBy("f").agg(
+                F.percentile_approx("v", places, 100 * max_cuts).alias("q")).collect():
+            cuts[r.f] = np.unique(np.array(r.q))
+    return [cuts[f] for f in sorted(cuts)]
+
+
+class _Cuts:
+    """All features' cuts in a row; a feature with ``c`` cuts has ``c`` + 1 bins."""
+
+    def __init__(self, cuts: list[np.ndarray]):
+        self.cuts = cuts
+        self.start = np.concatenate(([0], np.cumsum([len(c) + 1 for c in cuts])))
+
+    def bins(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(c, x[:, f], side="left") + self.start[f] for f, c in enumerate(self.cuts)], axis=1)
+
+    def below(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sums at or below each cut, its feature, its value) from sums by bin (first axis)."""
+        parts = [np.cumsum(sums[a:b], axis=0)[:-1] for a, b in zip(self.start, self.start[1:])]
+        return (np.concatenate(parts), np.repeat(np.arange(len(self.cuts)), [len(c) for c in self.cuts]),
+                np.concatenate(self.cuts) if self.cuts else np.empty(0))
+
+
+def _by_entry(rows: DataFrame, work, shape: tuple) -> np.ndarray:
+    """The sums of the tasks' arrays of this shape."""
+    got = rows.mapInArrow(work, "entry int, v double").groupBy("entry").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(shape)
+    out.reshape(-1)[got.column("entry").to_numpy()] = got.column("v").to_numpy()
+    return out
+
+
+def _entries(total: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(total)
+    return _table({"entry": some.astype(np.int32), "v": total.reshape(-1)[some]})
+
+
+# --- AdaBoost on class probabilities (SAMME.R) --------------------------------------------------
+class RealAdaBoostModel:
+    """Stumps as (feature, cut, log probabilities at or below, above); ``votes`` are added up."""
+
+    def __init__(self, stumps, classes, features, importances):
+        self.stumps, self.classes, self.features, self.featureImportances = stumps, classes, features, importances
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        """Adds the class with the largest sum of votes; ties go to the smaller."""
+        import pandas as pd
+
+        stumps, k = self.stumps, len(self.classes)
+
+        def score(x):
+            rows = np.stack(x.to_numpy()) if len(x) else np.empty((0, 1))
+            total = np.zeros((len(rows), k))
+            for logs in _stump_logs(stumps, rows):
+                total += (k - 1) * (logs - logs.mean(axis=1, keepdims=True))
+            return pd.Series(np.array(names)[total.argmax(axis=1)] if len(rows) else np.empty(0))
+
+        names = [float(c) for c in self.classes]
+        score.__annotations__ = {"x": pd.Series, "return": pd.Series}
+        if not names:
+            return df.withColumn(out, F.lit(None).cast("double"))
+        x = F.col(self.features)
+        if df.schema[self.features].dataType.simpleString() == "vector":
+            x = vector_to_array(x)
+        return df.withColumn(out, F.pandas_udf(score, "double")(x))
+
+
+def _stump_logs(stumps, x: np.ndarray):
+    """Log class probabilities that each stump gives the rows."""
+    for f, cut, low, high in stumps:
+        yield np.where((x[:, f] <= cut)[:, None], low, high)
+
+
+def _class_weights(cuts: _Cuts, stumps, k: int, rate: float):
+    """Boosting weights by bin and class; rows bring the log weight from before ``stumps``."""
+    bins = int(cuts.start[-1])
+
+    def run(batches):
+        total = np.zeros((bins, k))
+        for b in batches:
+            x, y = _matrix(b.column(0)), b.column(1).to_numpy().astype(np.int64)
+            w = np.exp(b.column(2).to_numpy() + _log_weights(stumps, x, y, k, rate))
+            place = cuts.bins(x) if len(x) else np.empty((0, len(cuts.cuts)), int)
+            for f in range(place.shape[1]):
+                total += np.bincount(place[:, f] * k + y, w, bins * k).reshape(bins, k)
+        yield _entries(total)
+    return run
+
+
+def _log_weights(stumps, x, y, k, rate) -> np.ndarray:
+    """What the stumps add to log weights, but for an amount that all rows share."""
+    logs = np.zeros(len(x))
+    code = np.full((len(x), k), -1.0 / max(k - 1, 1))
+    code[np.arange(len(x)), y] = 1.0
+    for log_p in _stump_logs(stumps, x):
+        logs -= rate * (k - 1) / k * (code * log_p).sum(axis=1)
+    return logs
+
+
+def _advanced(stumps, k, rate):
+    def run(batches):
+        for b in batches:
+            x, y = _matrix(b.column(0)), b.column(1).to_numpy().astype(np.int64)
+            logs = b.column(2).to_numpy() + _log_weights(stumps, x, y, k, rate)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(logs)], names=b.schema.names)
+    return run
+
+
+def real_adaboost(df: DataFrame, rounds: int = 500, learning_rate: float = 0.75, label: str = "label",
+                  features: str = "features", max_cuts: int = 255, keep_every: int = 50) -> RealAdaBoostModel:
+    """AdaBoost by class probabilities (SAMME.R): depth-1 trees on reweighted rows.
+
+    A round is one job: a row's weight follows from the stumps so far, the tasks add up weights
+    by candidate cut and class, the cut with the best weighted Gini gain is taken (of equals the
+    first feature's smallest) and its two leaves' class probabilities become votes. Ends early
+    when a stump makes no error, or when no cut gains anything. Probabilities are kept above the
+    smallest step of a double. Every ``keep_every`` rounds the log weights are written, less a
+    common amount that keeps them in range. Labels may be any numbers; features aren't null.
+    """
+    classes = [r[0] for r in df.select(F.col(label).cast("double")).distinct().orderBy(label).collect()]
+    k = len(classes)
+    if k < 2:
+        return RealAdaBoostModel([], classes, features, np.zeros(0)) if not k else RealAdaBoostModel(
+            [(0, np.inf, np.zeros(1), np.zeros(1))], classes, features, np.zeros(0))
+    code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label).cast("double")) - 1
+    rows = _rows(df.withColumn("_code", code), features, "_code", [F.lit(0.0).alias("m")])
+    cuts = _Cuts(candidate_cuts(df, features, max_cuts))
+    eps, p = np.finfo(float).eps, len(cuts.cuts)
+    stumps, used, kept = [], np.zeros(p), 0
+    for turn in range(rounds):
+        if turn - kept == keep_every:
+            moved = rows.mapInArrow(_advanced(stumps[kept:], k, learning_rate), rows.schema).checkpoint(eager=True)
+            most = moved.agg(F.max("m")).first()[0]
+            rows, kept = moved.withColumn("m", F.col("m") - F.lit(most)), turn
+        sums = _by_entry(rows, _class_weights(cuts, stumps[kept:], k, learning_rate), (int(cuts.start[-1]), k))
+        whole = sums[:cuts.start[1]].sum(axis=0)
+        low, feature, value = cuts.below(sums / whole.sum())
+        whole = whole / whole.sum()
+        high = whole - low
+        fits = (low.sum(axis=1) > eps) & (high.sum(axis=1) > eps)
+        if not fits.any():
+            break
+        gain = np.where(fits, np.round(_gini(whole) - _gini_weight(low) - _gini_weight(high), 12), -np.inf)
+        best = int(gain.argmax())
+        leaves = [np.maximum(side[best], 0) / side[best].sum() for side in (low, high)]
+        logs = [np.log(np.clip(leaf, eps, None)) for leaf in leaves]
+        stumps.append((int(feature[best]), float(value[best]), *logs))
+        used[feature[best]] += 1
+        error = 1 - low[best].max() - high[best].max()
+        if error <= 1e-12:
+            break
+    return RealAdaBoostModel(stumps, classes, features, used / max(used.sum(), 1))
+
+
+def _gini_weight(w: np.ndarray) -> np.ndarray:
+    """Weight times Gini impurity of class weights (last axis)."""
+    n = w.sum(axis=-1)
+    return n - np.divide((w * w).sum(axis=-1), n, out=np.zeros_like(n), where=n > 0)
+
+
+# --- Newton boosting ----------------------------------------------------------------------------
+def sampled(row: np.ndarray, seed: int, turn: int, fraction: float) -> np.ndarray:
+    """Whether a round's sample holds the rows with these hashes (decided by the hash alone)."""
+    if fraction >= 1:
+        return np.ones(len(row), bool)
+    with np.errstate(over="ignore"):
+        z = row.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(seed * 1_000_003 + turn + 1)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return z < np.uint64(min(int(fraction * 2.0 ** 64), 2 ** 64 - 1))
+
+
+class NewtonModel:
+    """Boosted trees with a weight in every leaf; ``columns`` are those drawn for each tree."""
+
+    def __init__(self, trees: Trees, value: np.ndarray, base: float, columns: list, features: str):
+        self.trees, self.value, self.base, self.columns, self.features = trees, value, base, columns, features
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        total = np.full(len(x), self.base)
+        for row, node in self.trees.portions(x):
+            total += np.bincount(row, self.value[node], len(x))
+        return total
+
+    def transform(self, df: DataFrame, out: str = "prediction", margin: str = "margin") -> DataFrame:
+        """Adds the margin and the class (1 where it is above 0)."""
+        import pandas as pd
+
+        def score(x):
+            return pd.Series(self.margins(np.stack(x.to_numpy())) if len(x) else np.empty(0))
+
+        score.__annotations__ = {"x": pd.Series, "return": pd.Series}
+        x = F.col(self.features)
+        if df.schema[self.features].dataType.simpleString() == "vector":
+            x = vector_to_array(x)
+        return df.withColumn(margin, F.pandas_udf(score, "double")(x)).withColumn(out, (F.col(margin) > 0).cast("double"))
+
+
+def _node_sums(cuts: _Cuts, trees: Trees, value: np.ndarray, turn: int, slot: np.ndarray, slots: int, seed: int,
+               fraction: float, first: int):
+    """Gradients and Hessians of this round's sample by open node and bin. Trees from ``first``
+    on aren't yet in the margin that a row brings along."""
+    bins = int(cuts.start[-1])
+
+    def run(batches):
+        total = np.zeros((2, slots, bins))
+        for b in batches:
+            x, y = _matrix(b.column(0)), b.column(1).to_numpy()
+            use = sampled(b.column(2).to_numpy(), seed, turn, fraction)
+            x, y, margin = x[use], y[use], b.column(3).to_numpy()[use].copy()
+            if not len(x):
+                continue
+            for t in range(first, turn):
+                margin += value[trees.walk(x, np.array([t]))[:, 0]]
+            p = 0.5 * (1 + np.tanh(0.5 * margin))
+            here = slot[trees.walk(x, np.array([turn]))[:, 0]]
+            place = cuts.bins(x)
+            some = here >= 0
+            for f in range(place.shape[1]):
+                at = here[some] * bins + place[some, f]
+                total[0] += np.bincount(at, (p - y)[some], slots * bins).reshape(slots, bins)
+                total[1] += np.bincount(at, (p * (1 - p))[some], slots * bins).reshape(slots, bins)
+        yield _entries(total)
+    return run
+
+
+def newton_boosting(df: DataFrame, id_col: str, rounds: int = 3000, max_depth: int = 4, eta: float = 0.3,
+                    reg_lambda: float = 1.0, gamma: float = 0.0, min_child_weight: float = 1.0,
+                    subsample: float = 1.0, colsample: float = 1.0, seed: int = 0, label: str = "label",
+                    features: str = "features", max_cuts: int = 255, keep_every: int = 20) -> NewtonModel:
+    """Logistic boosting by second-order steps.
+
+    A tree is grown on gradients and Hessians of a row sample (``subsample``, by the row's id)
+    and a draw of columns (``colsample``), level by level, one job each: the cut with the largest
+    gain in ``G^2 / (H + reg_lambda)`` summed over both sides is taken where each side's Hessians
+    reach ``min_child_weight``. Then splits whose gain is below ``gamma`` go, from the leaves
+    upwards. A leaf weighs ``-eta * G / (H + reg_lambda)``. Labels are 0 and 1; without rows every
+    margin is 0. Every ``keep_every`` rounds the margins are written, so that a row walks only
+    the trees since.
+    """
+    rows = _rows(df, features, label, [F.xxhash64(F.col(id_col)).alias("r"), F.lit(0.0).alias("m")])
+    cuts = _Cuts(candidate_cuts(df, features, max_cuts))
+    rng, p = np.random.default_rng(seed), len(cuts.cuts)
+    trees, value, columns, first = Trees(rounds), np.zeros(rounds), [], 0
+    weight = lambda g, h: -eta * g / (h + reg_lambda)
+    for turn in range(rounds if p else 0):
+        drawn = np.sort(rng.permutation(p)[:max(int(p * colsample), 1)])
+        columns.append(drawn.tolist())
+        opened, gains = np.array([turn]), {}
+        for _ in range(max_depth):
+            slot = np.full(len(trees.feature), -1, np.int32)
+            slot[opened] = np.arange(len(opened))
+            g, h = _by_entry(rows, _node_sums(cuts, trees, value, turn, slot, len(opened), seed, subsample, first),
+                             (2, len(opened), int(cuts.start[-1])))
+            nodes, feature, cut, sides, got = [], [], [], [], []
+            for i, node in enumerate(opened):
+                whole = g[i, :cuts.start[1]].sum(), h[i, :cuts.start[1]].sum()
+                value[node] = weight(*whole)
+                (gl, of, at), (hl, *_) = cuts.below(g[i]), cuts.below(h[i])
+                gr, hr = whole[0] - gl, whole[1] - hl
+                gain = gl ** 2 / (hl + reg_lambda) + gr ** 2 / (hr + reg_lambda) - whole[0] ** 2 / (whole[1] + reg_lambda)
+                fits = np.isin(of, drawn) & (hl >= min_child_weight) & (hr >= min_child_weight) & (hl > 0) & (hr > 0)
+                gain = np.where(fits, np.round(gain, 10), -np.inf)
+                best = int(gain.argmax()) if len(gain) else 0
+                if len(gain) and gain[best] > 1e-6:
+                    nodes.append(node), feature.append(of[best]), cut.append(at[best])
+                    sides.append(((gl[best], hl[best]), (gr[best], hr[best])))
+                    got.append(gain[best])
+            if not nodes:
+                break
+            left = trees.split(np.array(nodes), np.array(feature), np.array(cut))
+            value = np.append(value, [weight(*s) for pair in sides for s in pair])
+            gains.update(zip(nodes, got))
+            opened = np.stack((left, left + 1), axis=1).reshape(-1)
+        for node in sorted(gains, reverse=True):  # children come after their parents
+            if gains[node] < gamma and (trees.feature[trees.left[node]:trees.left[node] + 2] < 0).all():
+                trees.feature[node] = -1
+        if (turn + 1) % keep_every == 0:
+            part = NewtonModel(trees, value, 0.0, columns, "x")
+            done, first = first, turn + 1
+
+            def advance(batches, done=done, last=turn + 1, part=part):
+                for b in batches:
+                    x, m = _matrix(b.column(0)), b.column(3).to_numpy().copy()
+                    for t in range(done, last if len(x) else done):
+                        m += part.value[part.trees.walk(x, np.array([t]))[:, 0]]
+                    yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(m)], names=b.schema.names)
+            rows = rows.mapInArrow(advance, rows.schema).checkpoint(eager=True)
+    return NewtonModel(trees, value, 0.0, columns, features)

@@ -175,7 +175,7 @@ def gbt_classifier(spark, sf_dir):
 @query("adaboost")
 def adaboost(spark, sf_dir):
     d = labelled_docs(spark, sf_dir)
-    m = MD.adaboost(d.where("is_test = 0"), rounds=ROUNDS, learning_rate=0.75)
+    m = MD.real_adaboost(d.where("is_test = 0"), rounds=ROUNDS, learning_rate=0.75)
     return m.transform(d.where("is_test = 1")).select("doc_id", "label", "prediction")
 
 
@@ -221,10 +221,11 @@ def bagging_logistic(spark, sf_dir):
 
 
 # M9 ------------------------------------------------------------------------------------
-def _meta_estimator(n: int):
-    """The boosted meta model. The analysed floor (0.9) is on the summed loss reduction of a
-    split; Spark's is per row."""
-    return MD.gbt_classifier(max_iter=ROUNDS, max_depth=4, subsample=0.8, min_info_gain=0.9 / max(n, 1))
+def _meta_estimator():
+    """The boosted meta model: second-order steps, a floor on a split's summed gain, row and
+    column draws for each tree."""
+    return _Fits(lambda d: MD.newton_boosting(d, "doc_id", rounds=ROUNDS, max_depth=4, eta=0.1, gamma=0.9,
+                                              min_child_weight=2.0, subsample=0.8, colsample=0.8))
 
 
 class _Fits:
@@ -240,7 +241,7 @@ def _bases(n: int):
     return {
         "et": lambda: _Fits(lambda d: MD.extra_trees(d, n_trees=50, max_depth=8, min_instances=2)),
         "rf": lambda: MD.rf_classifier(50, 6, "gini", feature_subset="sqrt", min_instances=2),
-        "ada": lambda: _Fits(lambda d: MD.adaboost(d, rounds=10)),
+        "ada": lambda: _Fits(lambda d: MD.real_adaboost(d, rounds=10)),
         "gb": lambda: MD.gbt_classifier(max_iter=10, max_depth=5),
         "svc": lambda: MD.Pipeline(stages=[
             MD.StandardScaler(inputCol="features", outputCol="_z", withMean=True, withStd=True),
@@ -260,7 +261,7 @@ def stack_meta_model(spark, sf_dir):
     train, test, n = _stack_parts(spark, sf_dir)
     bases = _bases(n)
     tr, te = ST.meta_features(train, test, bases, "doc_id", "fold", K)
-    m = _meta_estimator(n).fit(MD.assemble(tr, list(bases)))
+    m = _meta_estimator().fit(MD.assemble(tr, list(bases)))
     return m.transform(MD.assemble(te, list(bases))).select("doc_id", "prediction", *bases)
 
 
@@ -268,7 +269,7 @@ def stack_meta_model(spark, sf_dir):
 @query("stacking")
 def stacking(spark, sf_dir):
     train, test, n = _stack_parts(spark, sf_dir)
-    return ST.stack(train, test, _bases(n), _meta_estimator(n), "doc_id", "fold", K)
+    return ST.stack(train, test, _bases(n), _meta_estimator(), "doc_id", "fold", K)
 
 
 # K6 (model form) -----------------------------------------------------------------------
@@ -326,7 +327,7 @@ def feature_importances(spark, sf_dir):
     models = {
         "rf": MD.rf_classifier(50, 6).fit(d),
         "et": MD.extra_trees(d, n_trees=50, max_depth=8),
-        "ada": MD.adaboost(d, rounds=10),
+        "ada": MD.real_adaboost(d, rounds=10),
         "gb": MD.gbt_classifier(max_iter=10, max_depth=5).fit(d),
     }
     return MD.importance_table(spark, DOC_FEATURES, models)
