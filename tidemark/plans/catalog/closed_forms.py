@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate as EV
+from tidemark.operators import exact_tree as XT
+from tidemark.operators import linear as LN
 from tidemark.operators import series as SR
 from tidemark.operators import split as SP
 from tidemark.plans.catalog.series import KEYS, ORDER, WIN, WINDOW_SIZE
@@ -165,3 +167,95 @@ def oof_test_mean(spark, sf_dir):
     model = train.groupBy("event_type").agg((sum(folds[1:], folds[0]) / 5).alias("_m"))
     test = ev.where("event_id % 10 = 0")
     return test.join(model, "event_type").select("event_id", "event_type", F.round("_m", 6).alias("oof"))
+
+
+# M3, M1: a tree over every different value -------------------------------------------------------
+TREE_FEATURES = ["n_chars", "n_words", "n_lines", "digits"]
+_TREE_PARTS = ["n_chars", "len(regexp_extract_all(text, '[^\\t\\n\\v\\f\\r ]+'))",
+               "len(text) - len(replace(text, chr(10), '')) + 1", "len(text) - len(regexp_replace(text, '[0-9]', '', 'g'))"]
+_PURE = "(CAST({o} AS DOUBLE) * {o} + CAST({n} - {o} AS DOUBLE) * ({n} - {o})) / {n}"
+
+
+def _tree_level(rows: str, out: str) -> str:
+    """SQL of the best cut of every node in ``rows`` (node, y, x): the list of features is x."""
+    before = _PURE.format(o="ob", n="b")
+    after = _PURE.format(o="(oa - ob)", n="(a - b)")
+    whole = _PURE.format(o="oa", n="a")
+    return f"""{out}_c AS (SELECT node, g.f, CAST(x[g.f + 1] AS DOUBLE) AS v, count(*) AS w, sum(y) AS o
+  FROM {rows}, range({len(TREE_FEATURES)}) g(f) GROUP BY ALL),
+{out}_s AS (SELECT node, f, v, lag(v) OVER q AS u, sum(w) OVER q - w AS b, sum(o) OVER q - o AS ob,
+    sum(w) OVER p AS a, sum(o) OVER p AS oa FROM {out}_c
+  WINDOW q AS (PARTITION BY node, f ORDER BY v), p AS (PARTITION BY node, f)),
+{out}_g AS (SELECT node, f, u + (v - u) / 2 AS cut, v, round({before} + {after} - {whole}, {XT.PLACES}) AS gain
+  FROM {out}_s WHERE b > 0),
+{out} AS (SELECT node, f, cut, gain FROM {out}_g WHERE gain > 0
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) = 1)"""
+
+
+_LEVELS = f"""r0 AS (SELECT doc_id, 0 AS node, CAST(quality AS INTEGER) AS y, [{", ".join(f"CAST({p} AS DOUBLE)" for p in _TREE_PARTS)}] AS x
+  FROM documents JOIN labels USING (doc_id)),
+{_tree_level("r0", "s0")},
+r1 AS (SELECT doc_id, CASE WHEN x[f + 1] <= cut THEN 1 ELSE 2 END AS node, y, x FROM r0 JOIN s0 USING (node)),
+{_tree_level("r1", "s1")},
+r2 AS (SELECT doc_id, 2 * node + CASE WHEN x[f + 1] <= cut THEN 1 ELSE 2 END AS node, y, x FROM r1 JOIN s1 USING (node))"""
+
+
+def _tree_rows(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
+        F.regexp_count("text", F.lit(r"[^\t\n\x0B\f\r ]+")).cast("double").alias("n_words"),
+        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("double").alias("n_lines"),
+        F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("digits"))
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    return d.join(lab, "doc_id")
+
+
+@query("tree_nodes_exact", f"""
+WITH {_LEVELS},
+n AS (SELECT node, count(*) AS n, sum(y) AS ones FROM (SELECT node, y FROM r0 UNION ALL SELECT node, y FROM r1
+      UNION ALL SELECT node, y FROM r2) GROUP BY node),
+s AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1)
+SELECT CAST(n.node AS INTEGER) AS node, n.n, CAST(n.ones AS BIGINT) AS ones, CAST(s.f AS INTEGER) AS feature,
+       s.cut, round(s.gain, 6) AS gain
+FROM n LEFT JOIN s USING (node)""")
+def tree_nodes_exact(spark, sf_dir):
+    """A tree of depth 2: counts, features and cuts of all its nodes."""
+    rows = _tree_rows(spark, sf_dir).checkpoint(eager=True)
+    tree = XT.exact_tree(rows, TREE_FEATURES, max_depth=2)
+    data = [(i, n, o, f, c, None if g is None else round(g, 6)) for i, (n, o, g, f, c) in sorted(tree.nodes.items())]
+    return spark.createDataFrame(data, "node int, n long, ones long, feature int, cut double, gain double")
+
+
+@query("tree_scores_exact", f"""
+WITH {_LEVELS},
+e AS (SELECT doc_id, node, y FROM r2 UNION ALL SELECT doc_id, node, y FROM r1 WHERE node NOT IN (SELECT node FROM s1)
+      UNION ALL SELECT doc_id, node, y FROM r0 WHERE node NOT IN (SELECT node FROM s0))
+SELECT doc_id, round(avg(y) OVER (PARTITION BY node), 6) AS probability_1,
+       CAST(avg(y) OVER (PARTITION BY node) > 0.5 AS DOUBLE) AS prediction FROM e""")
+def tree_scores_exact(spark, sf_dir):
+    """The labelled documents scored by that tree."""
+    rows = _tree_rows(spark, sf_dir).checkpoint(eager=True)
+    out = XT.exact_tree(rows, TREE_FEATURES, max_depth=2).transform(rows)
+    return out.select("doc_id", F.round("probability_1", 6).alias("probability_1"), "prediction")
+
+
+# M15, M2: a model of several features per device and lane -----------------------------------------
+@query("lane_least_squares", """
+WITH d AS (SELECT user_id % 7 AS device, event_type, value AS y, CAST(hour(ts) AS DOUBLE) AS a,
+                  CAST(json_extract(props, '$.k') AS DOUBLE) AS b FROM events),
+m AS (SELECT device, event_type, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM d GROUP BY ALL),
+c AS (SELECT device, event_type, n, my, ma, mb, sum((a - ma) * (a - ma)) AS aa, sum((a - ma) * (b - mb)) AS ab,
+             sum((b - mb) * (b - mb)) AS bb, sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS by_
+      FROM d JOIN m USING (device, event_type) GROUP BY ALL),
+s AS (SELECT *, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS ca, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS cb FROM c)
+SELECT device, event_type, n, round(ca, 6) AS coef_hour, round(cb, 6) AS coef_k,
+       round(my - ca * ma - cb * mb, 6) AS intercept FROM s""")
+def lane_least_squares(spark, sf_dir):
+    """Two features for every (device, lane) at once, solved from the groups' sums."""
+    ev = table(spark, sf_dir, "events").select(
+        F.expr("user_id % 7").alias("device"), "event_type", "value", F.hour("ts").cast("double").alias("hour"),
+        F.get_json_object("props", "$.k").cast("double").alias("k"))
+    out = LN.group_least_squares(ev, "value", ["hour", "k"], ["device", "event_type"])
+    at = lambda i: F.round(F.get("coef", F.lit(i)), 6)
+    return out.select("device", "event_type", "n", at(0).alias("coef_hour"), at(1).alias("coef_k"),
+                      F.round("intercept", 6).alias("intercept"))
