@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tidemark.operators import linear as LN
@@ -112,3 +113,63 @@ def test_group_models_equal_separate_least_squares(spark):
         c, *_ = np.linalg.lstsq((d - mean)[:, :2] / [1, 1000], (d - mean)[:, 2], rcond=None)
         assert np.allclose((d[:, :2] - mean[:2]) @ np.array(m.coef), (d - mean)[:, :2] / [1, 1000] @ c, atol=1e-5)
         assert np.isclose(m.intercept, mean[2] - np.dot(m.coef, mean[:2]), rtol=1e-9)
+
+
+@pytest.fixture(scope="module")
+def four_classes(spark):
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(4, 5)) * 1.5
+    y = r.integers(0, 4, 240)
+    x = centres[y] + r.normal(size=(240, 5))
+    df = spark.createDataFrame([(i, [float(v) for v in a], 2.0 * float(b)) for i, (a, b) in enumerate(zip(x, y))],
+                               "id long, x array<double>, label double").repartition(3)
+    return x, y, df.withColumn("features", array_to_vector("x")).cache()
+
+
+def test_pairwise_planes_are_optimal(four_classes):
+    """Each pair's objective has no slope and nowhere around is it smaller."""
+    x, y, df = four_classes
+    cs = [0.001, 0.1, 10.0]
+    for c, m in zip(cs, LN.svm_fits(df, cs)):
+        assert len(m.pairs) == 6 and m.slack <= 1e-9 and m.classes == [0.0, 2.0, 4.0, 6.0]
+        for (a, b), plane in zip(m.pairs, m.planes):
+            use = (y == a) | (y == b)
+            xs, sign = x[use], np.where(y[use] == a, 1.0, -1.0)
+            short = 1 - sign * (xs @ plane[:-1] + plane[-1])
+            got = plane[:-1] @ plane[:-1] / 2 + c / 2 * (np.maximum(short, 0) ** 2).sum()
+            slope = np.append(plane[:-1], 0) - c * (np.maximum(short, 0) * sign) @ np.column_stack([xs, np.ones(len(xs))])
+            assert np.abs(slope).max() <= 1e-4 * c * len(xs)
+            r = np.random.default_rng(0)
+            for size in (1e-3, 1e-2, 0.1, 1.0):  # nowhere around is it better
+                for _ in range(50):
+                    other = plane + size * r.normal(size=6) * (1e-3 + np.abs(plane).max())
+                    miss = 1 - sign * (xs @ other[:-1] + other[-1])
+                    assert other[:-1] @ other[:-1] / 2 + c / 2 * (np.maximum(miss, 0) ** 2).sum() >= got * (1 - 1e-9)
+
+
+def test_pairwise_votes(four_classes):
+    x, y, df = four_classes
+    m, = LN.svm_fits(df, [1.0])
+    got = {r.id: r.prediction for r in m.transform(df).collect()}
+    votes = np.zeros((len(x), 4), int)
+    for (a, b), plane in zip(m.pairs, m.planes):
+        side = x @ plane[:-1] + plane[-1] > 0
+        votes[side, a] += 1
+        votes[~side, b] += 1
+    assert [got[i] for i in range(len(x))] == (2.0 * votes.argmax(axis=1)).tolist()
+    assert np.mean([got[i] == 2 * y[i] for i in range(len(x))]) > 0.75
+
+
+def test_pairwise_strengths_together_equal_alone(four_classes):
+    _, _, df = four_classes
+    both = LN.svm_fits(df, [0.1, 1.0])
+    alone, = LN.svm_fits(df, [1.0])
+    assert np.allclose(both[1].planes, alone.planes, atol=1e-4)
+
+
+def test_pairwise_with_one_class_or_none(four_classes):
+    _, _, df = four_classes
+    one, = LN.svm_fits(df.where("label = 2"), [1.0])
+    assert {r.prediction for r in one.transform(df).collect()} == {2.0}
+    none, = LN.svm_fits(df.where("id < 0"), [1.0])
+    assert none.transform(df).where("prediction is null").count() == 240

@@ -255,3 +255,125 @@ def logistic_l1_fits(df: DataFrame, c: Sequence[float], weights: str | None = No
                 step[i] = _penalised_step(point[i], grad, hess)
             trial[i] = point[i] + share[i] * step[i]
     return [LogisticModel(point[i, :-1].copy(), point[i, -1], miss[i], best[i], int(rounds[i]), features) for i in range(m)]
+
+
+# --- linear support vectors, one against one ----------------------------------------------------
+class PairwiseModel:
+    """A separating plane for every pair of classes; a row's class is the one with most votes.
+
+    ``slack`` is the largest share of a pair's objective that a further step would take away.
+    """
+
+    def __init__(self, classes, pairs, planes: np.ndarray, c: float, slack: float, features: str):
+        self.classes, self.pairs, self.planes, self.c = classes, pairs, planes, c
+        self.slack, self.features = slack, features
+
+    def votes(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), len(self.classes)), np.int64)
+        side = x @ self.planes[:, :-1].T + self.planes[:, -1] > 0
+        for i, (a, b) in enumerate(self.pairs):
+            out[:, a] += side[:, i]
+            out[:, b] += ~side[:, i]
+        return out
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        """Adds the class with most votes; ties go to the smaller, a row on a plane to the second
+        of its pair."""
+        import pandas as pd
+
+        names = np.array([float(c) for c in self.classes])
+        if not len(names):
+            return df.withColumn(out, F.lit(None).cast("double"))
+
+        def score(x):
+            if not len(x):
+                return pd.Series(np.empty(0))
+            return pd.Series(names[self.votes(np.stack(x.to_numpy())).argmax(axis=1)])
+
+        score.__annotations__ = {"x": pd.Series, "return": pd.Series}
+        return df.withColumn(out, F.pandas_udf(score, "double")(vector_to_array(F.col(self.features))))
+
+
+def _plane_sums(planes: np.ndarray, pairs):
+    """Per (strength, pair): squared hinge loss, its gradient and its Hessian."""
+    strengths, m, q = planes.shape
+    upper = np.triu_indices(q)
+
+    def run(batches):
+        total = np.zeros((strengths, m, 1 + q + len(upper[0])))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, q - 1)
+            x, y = np.column_stack((x, np.ones(len(x)))), b.column(1).to_numpy(zero_copy_only=False)
+            for i, (first, second) in enumerate(pairs):
+                use = (y == first) | (y == second)
+                xs, sign = x[use], np.where(y[use] == first, 1.0, -1.0)
+                for s in range(strengths):
+                    short = 1 - sign * (xs @ planes[s, i])  # what a row lacks of margin 1
+                    near = short > 0
+                    t = total[s, i]
+                    t[0] += (short[near] ** 2).sum() / 2
+                    t[1:1 + q] -= (short * sign)[near] @ xs[near]
+                    t[1 + q:] += (xs[near].T @ xs[near])[upper]
+        for s in range(strengths):
+            for i in range(m):
+                yield pa.RecordBatch.from_arrays([pa.array([s * m + i], pa.int32()), pa.array([total[s, i].tobytes()])],
+                                                 names=["fit", "sums"])
+    return run
+
+
+def _added(batches):
+    """The sums of each fit, added up in the task that its tasks' sums were sent to."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for fit, sums in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            sums = np.frombuffer(sums)
+            total[fit] = total[fit] + sums if fit in total else sums
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()],
+                                                                                  pa.binary())], names=["fit", "sums"])
+
+
+def svm_fits(df: DataFrame, c: Sequence[float], label: str = "label", features: str = "features",
+             tol: float = 1e-10, max_iter: int = 100) -> list[PairwiseModel]:
+    """Linear support vector machines, one against one, one model for each strength in ``c``.
+
+    Every pair of classes and every strength is a fit of ``|w|^2 / 2 + c / 2 * sum(hinge^2)`` with
+    a free intercept, on the rows of its two classes; all of them share one job an iteration, whose
+    sums are added up fit by fit on the executors. Newton steps are halved while the objective
+    would rise; a fit ends when a step would take away less than ``tol`` of it. Labels may be any
+    numbers; k classes give k (k - 1) / 2 fits a strength, one class or none give none.
+    """
+    classes = [r[0] for r in df.select(F.col(label).cast("double")).distinct().orderBy(label).collect()]
+    code = F.array_position(F.array(*[F.lit(float(v)) for v in classes] or [F.lit(0.0)]), F.col(label).cast("double")) - 1
+    data = df.select(vector_to_array(F.col(features)).alias("x"), code.cast("int").alias("y"))
+    pairs = [(a, b) for a in range(len(classes)) for b in range(a + 1, len(classes))]
+    p = data.agg(F.max(F.size("x"))).first()[0] or 0
+    q, m = p + 1, len(pairs)
+    upper, free = np.triu_indices(q), np.diag([1.0] * p + [1e-9])
+    point, trial = np.zeros((len(c), m, q)), np.zeros((len(c), m, q))
+    step, share, best = np.zeros_like(point), np.ones((len(c), m)), np.full((len(c), m), np.inf)
+    slack, going = np.zeros((len(c), m)), np.ones((len(c), m), bool)
+    for _ in range(max_iter if m else 0):
+        if not going.any():
+            break
+        got = data.mapInArrow(_plane_sums(trial, pairs), "fit int, sums binary").repartition("fit").mapInArrow(
+            _added, "fit int, sums binary").toArrow()
+        sums = dict(zip(got.column("fit").to_pylist(), got.column("sums").to_pylist()))
+        for s, i in zip(*np.nonzero(going)):
+            t = c[s] * np.frombuffer(sums[int(s) * m + int(i)])
+            value = trial[s, i, :-1] @ trial[s, i, :-1] / 2 + t[0]
+            if value > best[s, i] * (1 + 1e-12) and share[s, i] > 1e-6:
+                share[s, i] /= 2
+                trial[s, i] = point[s, i] + share[s, i] * step[s, i]
+                continue
+            point[s, i], best[s, i], share[s, i] = trial[s, i], value, 1.0
+            grad = t[1:1 + q] + np.append(point[s, i, :-1], 0.0)
+            hess = np.zeros((q, q))
+            hess[upper] = t[1 + q:]
+            step[s, i] = -np.linalg.solve(hess + hess.T - np.diag(np.diag(hess)) + free, grad)
+            slack[s, i] = -(grad @ step[s, i]) / max(value, 1e-300)
+            going[s, i] = slack[s, i] > tol
+            trial[s, i] = point[s, i] + step[s, i]
+    return [PairwiseModel(classes, pairs, point[s], float(v), float(slack[s].max(initial=0.0)), features)
+            for s, v in enumerate(c)]
