@@ -59,3 +59,14 @@ def test_layouts(spark):
 
 def test_empty(spark, empty_dir):
     assert [r.conv_id for r in queries.op6_chat_formatting(spark, empty_dir).collect()] == [-7]
+
+
+def test_many_turns(spark, tmp_path):
+    """32,000 turns in a conversation, in time that follows their number."""
+    import time
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} # \\ é") for i in range(32_000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string") \
+        .write.parquet(f"{tmp_path}/conversations.parquet")
+    began = time.perf_counter()
+    got = {r.conv_id: tuple(r)[1:5] for r in queries.op6_chat_formatting(spark, str(tmp_path)).collect()}
+    assert got == brute(rows) and time.perf_counter() - began < 60

@@ -97,3 +97,36 @@ def test_findings_of_an_older_rule_version_are_left_out(spark):
     assert [(f.kind, f.rule) for f in found.first().findings] == [("hex", "hex:1")]
     assert secrets.redacted(df, ledger, rules=new).first().text == "AKIA" + "A" * 14 + " and [REDACTED]"
     assert secrets.redacted(df, ledger, rules=(old, hexes)).first().text == "[REDACTED] and [REDACTED]"
+
+
+def test_running_and_pieces(spark):
+    from pyspark.sql import functions as F
+    from tidemark.llm.common import between, in_pieces, running
+    text = "aé☃😀" * 1500
+    cuts = [(0, 0), (0, 5), (5, 1024), (1023, 1025), (1000, 5000), (1024, 2048), (5990, 6000), (6000, 6000), (7, 3)]
+    rows = [(list(range(1, n + 1)), text) for n in (0, 1, 2, 3, 10, 1000)]
+    df = spark.createDataFrame(rows, "v array<int>, text string")
+    got = df.select("v", running(F.col("v"), lambda a, b: a + b, 0).alias("sum"),
+                    running(F.col("v"), F.greatest, 5).alias("most"),
+                    F.array(*[between(in_pieces(F.col("text")), F.lit(a), F.lit(b)) for a, b in cuts]).alias("cut")).collect()
+    for r in got:
+        assert r["sum"] == [i * (i + 1) // 2 for i in r.v] and r.most == [max(i, 5) for i in r.v]
+        assert r.cut == [text[a:max(a, b)] for a, b in cuts]
+
+
+def test_many_matches_in_one_text(spark, tmp_path):
+    """32,000 secrets in a text: found, redacted, and in time that follows their number."""
+    import time
+    text = " ".join(f"{i:016x}" + ("é" if i % 7 else "☃ AKIA" + "Z" * 16) for i in range(32_000))
+    d = write_docs(spark, tmp_path / "t", [text, "plain"])
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in queries.op1_secret_scans(spark, d).collect()}
+    assert time.perf_counter() - began < 60
+    assert (got[0].n_hex, got[0].n_access) == (32_000, len([i for i in range(32_000) if not i % 7]))
+    at = [f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{16}", text)]
+    assert [s for s in got[0].spans.split(",") if s.startswith("hex")] == at
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    began = time.perf_counter()
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs, secrets.scan(docs, ["doc_id"])).collect()}
+    assert time.perf_counter() - began < 60
+    assert clean[0] == re.sub("[0-9a-f]{16}|AKIAZ{16}", "[REDACTED]", text) and clean[1] == "plain"

@@ -71,6 +71,21 @@ def test_sentencepiece(spark, edge_dir, noise_dir, which):
     assert {r.doc_id: tuple(r)[1:] for r in queries.op7_sentencepiece(spark, d).collect()} == want
 
 
+def test_long_units_equal_the_library_in_time_that_follows_their_length():
+    import time
+    path = queries.vocabulary("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece_bpe.Model(path)
+    r = random.Random(4)
+    texts = ["the" * 1000, "".join(r.choice("abcdehinorst漢é") for _ in range(5000)), " " * 3000, "a" * 2000 + " b"]
+    ids, at = model.encode(texts)
+    for t, lo, hi in zip(texts, at, at[1:]):
+        assert ids[lo:hi].tolist() == sp.encode(t)
+    began = time.perf_counter()
+    model.encode(["the" * 340_000])
+    assert time.perf_counter() - began < 60
+
+
 def test_decode_of_any_ids():
     path = queries.vocabulary("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)

@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.common import between, in_pieces, let, running
+
 TURNS = "array<struct<role:string, text:string>>"
 
 
@@ -152,19 +154,12 @@ def render(df: DataFrame, turns: str = "turns", trained: str = "assistant") -> D
         escape(t["text"]).alias("body"), (t["role"] == trained).alias("loss"))))
     df = df.withColumn("formatted", F.array_join(F.transform(
         "_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), ""))
-    init = F.struct(F.lit(0).alias("pos"),
-                    F.expr("cast(array() as array<struct<start:int, end:int>>)").alias("out"))
-
-    def step(acc, p):
-        start = acc["pos"] + F.length(p["head"])
-        end = start + F.length(p["body"])
-        span = F.struct(start.alias("start"), end.alias("end"))
-        return F.struct((end + len(CLOSE)).alias("pos"),
-                        F.when(p["loss"], F.concat(acc["out"], F.array(span)))
-                        .otherwise(acc["out"]).alias("out"))
-
-    return df.withColumn("loss_spans", F.aggregate("_pieces", init, step, lambda a: a["out"])) \
-             .drop("_pieces")
+    ends = running(F.transform("_pieces", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(CLOSE)),
+                   lambda a, b: a + b, 0)
+    placed = F.zip_with("_pieces", ends, lambda p, end: F.struct(
+        (end - len(CLOSE) - F.length(p["body"])).alias("start"), (end - len(CLOSE)).alias("end"), p["loss"]))
+    spans = F.transform(F.filter(placed, lambda s: s["loss"]), lambda s: F.struct(s["start"], s["end"]))
+    return df.withColumn("loss_spans", spans).drop("_pieces")
 
 
 def read_turns(formatted: Column) -> Column:
@@ -181,8 +176,8 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss_text(formatted: Column, loss_spans: Column) -> Column:
     """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(loss_spans, lambda s: unescape(
-        F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    return let(in_pieces(formatted), lambda p: F.array_join(F.transform(
+        loss_spans, lambda s: unescape(between(p, s["start"], s["end"]))), ""))
 
 
 def records_from_rows(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:

@@ -95,7 +95,9 @@ SAMPLE_TURNS = [(-7, 0, "user", "\\### Assistant: </turn> ok"),
 @query
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    sample = spark.createDataFrame(SAMPLE_TURNS, "conv_id long, turn long, role string, text string")
+    (conv, _, first, said), (_, _, second, _) = SAMPLE_TURNS
+    sample = spark.range(2).select(F.lit(conv).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                   F.when(F.col("id") == 0, first).otherwise(second).alias("role"), F.lit(said).alias("text"))
     records = chat.records_from_rows(rows.unionByName(sample), "conv_id", "turn", "role", "text")
     out = chat.render(chat.canonical_turns(records)).select("conv_id", "mapping", "formatted", "loss_spans")
     out = out.withColumns({"_turns": chat.read_turns(F.col("formatted")),

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import between, in_pieces, let, running, saved
 
 LEDGER = ("blob_id string, rules array<string>, "
           "findings array<struct<start:int, end:int, ord:int, kind:string, rule:string>>")
@@ -74,21 +74,19 @@ def find_spans(text: Column, rule: Rule, order: int) -> Column:
     vals = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) \
         if rule.group else lens
     empty = F.expr(f"cast(array() as {_SPANS})")
-
-    def step(acc, m):
-        start = acc["pos"] + m["gap"]
-        end = start + m["len"]
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(order).alias("ord"),
-                        F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"))
-        return F.struct(end.alias("pos"), F.when(m["val"] >= rule.min_chars, F.concat(acc["out"], F.array(span)))
-                        .otherwise(acc["out"]).alias("out"))
-
     # one gap more than matches: zipping by position drops nothing that a match needs
     parts = F.filter(F.arrays_zip(gaps.alias("gap"), lens.alias("len"), vals.alias("val")),
                      lambda m: m["len"].isNotNull())
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step,
-                        lambda acc: acc["out"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(empty)
+
+    def spans(parts):
+        ends = running(F.transform(parts, lambda m: m["gap"] + m["len"]), lambda a, b: a + b, 0)
+        placed = F.zip_with(parts, ends, lambda m, end: F.struct(
+            (end - m["len"]).alias("start"), end.alias("end"), F.lit(order).alias("ord"),
+            F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"), m["val"].alias("val")))
+        kept = F.filter(placed, lambda s: s["val"] >= rule.min_chars)
+        return F.transform(kept, lambda s: F.struct(s["start"], s["end"], s["ord"], s["kind"], s["rule"]))
+
+    return F.when(text.rlike(rule.pattern), let(parts, spans)).otherwise(empty)
 
 
 def with_blob_id(versions: DataFrame, text: str = "text") -> DataFrame:
@@ -178,14 +176,13 @@ def spans_string(spans: Column) -> Column:
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by ``[REDACTED]``; overlapping spans become one."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"])))
-    init = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["pos"]
-        kept = F.substring(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
-        out = F.when(fresh, F.concat(acc["out"], kept, F.lit("[REDACTED]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
+    def replaced(spans, pieces, before):
+        cut = F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(before, i), F.concat(
+            between(pieces, F.get(before, i), s["start"]), F.lit("[REDACTED]"))).otherwise(""))
+        return F.concat(F.array_join(cut, ""), between(pieces, F.element_at(before, -1), F.length(text)))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(
-        ordered, init, step,
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text)))))
+    return F.when(F.size(spans) == 0, text).otherwise(let(ordered, lambda o: let(in_pieces(text), lambda p: let(
+        # how far the spans before each one reach
+        F.concat(F.array(F.lit(0)), running(F.transform(o, lambda s: s["end"]), F.greatest, 0)),
+        lambda u: replaced(o, p, u)))))

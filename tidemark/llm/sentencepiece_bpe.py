@@ -6,7 +6,8 @@ batch are laid out as flat numpy arrays of symbols. In every round each unit's s
 rank is found by a segmented minimum, all its leftmost non-overlapping pairs of that rank are
 merged at once, and the arrays are compacted; units without a pair are set aside, until none
 has one. A rank whose merge can make room for a better one is merged one pair at a time, as
-the library's queue would.
+the library's queue would. A unit longer than ``LONG`` goes through such a queue as a whole, so
+that its cost follows its length.
 
 Defined results: a null text is the empty text and has no ids; text is taken as it is, so
 control pieces spelled out in a text are ordinary characters; repeated rows are encoded each.
@@ -14,6 +15,7 @@ control pieces spelled out in a text are ordinary characters; repeated rows are
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Sequence
 
@@ -27,6 +29,7 @@ from tidemark.llm.common import per_worker
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 _NONE = np.int64(1) << 40
+LONG = 256  # symbols beyond which a unit is merged by a heap: rounds would pass over it too often
 
 
 class Model:
@@ -72,6 +75,7 @@ class Model:
                 a, b = self.symbol.get(p[:cut]), self.symbol.get(p[cut:])
                 if a is not None and b is not None:
                     pairs[a * self.n + b] = (r, self.symbol[p])
+        self.pair = {(k // self.n, k % self.n): v for k, v in pairs.items()}
         keys = np.array(sorted(pairs), np.int64)
         self.keys = np.append(keys, np.iinfo(np.int64).max)
         self.rank = np.array([pairs[k][0] for k in keys.tolist()] + [_NONE], np.int64)
@@ -145,14 +149,46 @@ class Model:
         order = np.argsort(unit, kind="stable")
         return symbols[order], unit[order]
 
+    def merge_long(self, symbols: list[int]) -> list[int]:
+        """A long unit's symbols when no pair is left, by a heap: smallest rank, leftmost first."""
+        n, pair = len(symbols), self.pair
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(pair[p][0], i, p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in pair]
+        heapq.heapify(heap)
+        while heap:
+            _, i, p = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or (symbols[i], symbols[j]) != p:
+                continue
+            symbols[i], symbols[j] = pair[p][1], None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for at in (before[i], i):
+                if at >= 0 and after[at] < n:
+                    p = symbols[at], symbols[after[at]]
+                    if p in pair:
+                        heapq.heappush(heap, (pair[p][0], at, p))
+        return [s for s in symbols if s is not None]
+
     def encode_units(self, units: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of all units in a row, and where each unit's begin."""
         flat = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         chars, code = np.unique(flat, return_inverse=True)
         table = np.array([self.symbol.get(chr(c), -1 - int(c)) for c in chars], np.int64)
         lengths = np.fromiter(map(len, units), np.int64, len(units))
-        symbols, unit = self.merge(table[code.reshape(-1)] if len(flat) else np.empty(0, np.int64),
-                                   np.repeat(np.arange(len(units)), lengths))
+        symbols = table[code.reshape(-1)] if len(flat) else np.empty(0, np.int64)
+        unit = np.repeat(np.arange(len(units)), lengths)
+        long = lengths > LONG
+        inside = long[unit] if len(unit) else np.empty(0, bool)
+        first = np.cumsum(lengths) - lengths
+        alone = [(i, self.merge_long(symbols[first[i]:first[i] + lengths[i]].tolist())) for i in np.flatnonzero(long).tolist()]
+        symbols, unit = self.merge(symbols[~inside], unit[~inside])
+        if alone:
+            symbols = np.concatenate((symbols, *[np.array(s, np.int64) for _, s in alone]))
+            unit = np.concatenate((unit, *[np.full(len(s), i) for i, s in alone]))
+            order = np.argsort(unit, kind="stable")
+            symbols, unit = symbols[order], unit[order]
         ids = np.where(symbols >= 0, self.ids[np.maximum(symbols, 0)], -1)
         bad = np.flatnonzero(ids < 0)
         if len(bad):
