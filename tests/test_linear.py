@@ -173,3 +173,46 @@ def test_pairwise_with_one_class_or_none(four_classes):
     assert {r.prediction for r in one.transform(df).collect()} == {2.0}
     none, = LN.svm_fits(df.where("id < 0"), [1.0])
     assert none.transform(df).where("prediction is null").count() == 240
+
+
+def plain_grid(x, y, fold, maps, k):
+    out = np.full((len(maps), k), np.nan)
+    for f in range(k):
+        tx, ty, hx, hy = x[fold != f], y[fold != f], x[fold == f], y[fold == f]
+        for i, (alpha, use) in enumerate(maps):
+            if len(hy):
+                c = tx[:, use] - tx[:, use].mean(axis=0)
+                b = np.linalg.solve(c.T @ c + alpha * np.eye(len(use)), c.T @ (ty - ty.mean()))
+                out[i, f] = np.mean((hy - ty.mean() - (hx[:, use] - tx[:, use].mean(axis=0)) @ b) ** 2)
+    return out
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_a_grid_from_fold_moments_equals_refits(spark, shift):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(400, 3)) * [1, 5, 0.2] + shift
+    y = x @ [2.0, -0.3, 1.0] + r.normal(size=400) + shift
+    fold = r.integers(0, 4, 400)
+    maps = [(a, u) for a in (0.5, 20.0, 900.0) for u in ([0], [0, 1], [2, 0, 1])]
+    rows = [([*map(float, a), float(b)], int(f)) for a, b, f in zip(x, y, fold)]
+    odd = [([None, 1.0, 1.0, 1.0], 0), ([float("nan")] * 4, 1), ([9.0] * 4, None), ([9.0] * 4, 7), ([9.0] * 4, -1)]
+    df = spark.createDataFrame(rows + odd, "row array<double>, fold int").repartition(5)
+    got = LN.ridge_grid_cv(df, "row", 4, maps, k=5)  # the fold 4 has no rows
+    want = plain_grid(x, y, fold, maps, 5)
+    np.testing.assert_allclose(got.scores, want, rtol=1e-7)
+    assert got.best == int(np.argmin(np.nanmean(want, axis=1)))
+    alpha, use = maps[got.best]
+    c = x[:, use] - x[:, use].mean(axis=0)
+    b = np.linalg.solve(c.T @ c + alpha * np.eye(len(use)), c.T @ (y - y.mean()))
+    np.testing.assert_allclose(got.coef[use], b, rtol=1e-6)
+    np.testing.assert_allclose(got.intercept, y.mean() - x[:, use].mean(axis=0) @ b, rtol=1e-6, atol=1e-6)
+
+
+def test_equal_maps_give_the_first_and_an_empty_table_no_scores(spark):
+    df = spark.createDataFrame([([1.0, 2.0], 0), ([2.0, 4.5], 1), ([3.0, 6.0], 0), ([5.0, 9.0], 1)],
+                               "row array<double>, fold int")
+    assert LN.ridge_grid_cv(df, "row", 2, [(9.0, [0]), (0.1, [0]), (0.1, [0])], k=2).best == 1
+    none = LN.ridge_grid_cv(df.where("fold > 5"), "row", 2, [(1.0, [0])], k=2)
+    assert np.isnan(none.scores).all() and not none.coef.any() and none.intercept == 0
+    with pytest.raises(ValueError):
+        LN.ridge_grid_cv(df, "row", 2, [])

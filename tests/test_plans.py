@@ -78,3 +78,16 @@ def test_submission_predicts_every_test_row(spark):
     got = sorted(r.PassengerId for r in sub.collect())
     assert got == list(range(100, 107))
     assert set(sub.columns) == {"PassengerId", "Survived"}
+
+
+def test_a_device_is_read_from_its_folder_alone(spark):
+    rows = [(i, None if i % 11 == 0 else i % 13, float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, dev long, v double")
+    path = C.write_device_files(df, scratch_path(spark, "by-bucket"), "dev", 4)
+    for dev in (0, 5, 12, 99):
+        got = C.read_device(spark, path, "dev", dev, "id long, dev long, v double", 4)
+        assert sorted(tuple(r) for r in got.collect()) == [r for r in rows if r[1] == dev]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(bucket" in plan and "bucket" not in got.columns
+    back = C.read_csv(spark, path, "id long, dev long, v double", recursiveFileLookup=True)
+    assert sorted(r.id for r in back.collect()) == list(range(300))  # null devices are written too

@@ -6,6 +6,7 @@ feature list. So bootstrap samples, folds, penalties, targets and groups cost no
 own, and what reaches the driver doesn't grow with the rows.
 
 * :func:`gram` and :func:`solve`: least squares or ridge for several targets at once.
+* :func:`ridge_grid_cv`: a cross-validated grid of penalties and feature lists from moments per fold.
 * :func:`group_least_squares`: a model for every group, solved where the groups' sums lie.
 * :func:`logistic_l1_fits`: L1 logistic regressions for many weights and strengths, each to a
   stated violation of its optimality conditions.
@@ -80,6 +81,93 @@ def solve(state: dict, n_targets: int = 1, alpha: float = 0.0) -> tuple[np.ndarr
     return coef, state["means"][p:] - state["means"][:p] @ coef
 
 
+# --- a cross-validated grid ---------------------------------------------------------------------
+#: Scores are compared to this many places, so that equal ones are equal in any order of adding.
+PLACES = 9
+
+
+def fold_moments(df: DataFrame, rows: str, width: int, fold: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, moments): for every fold 0 .. k - 1 the sums of ``z z'`` over its rows, where z is
+    the array of ``width`` numbers in column ``rows`` less the centre, and a one.
+
+    Two passes: the centre is the mean of all rows, so that no sum is of large numbers that
+    nearly cancel. Rows with a null or NaN, or of no fold, take no part.
+    """
+    data = df.where(F.col(fold).between(0, k - 1)).select(rows, F.col(fold).cast("int").alias("_fold"))
+
+    def parts(batch):
+        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+        whole = ~np.isnan(x).any(axis=1)
+        return x[whole], batch.column(1).to_numpy(zero_copy_only=False)[whole]
+
+    def first(batches):
+        total = np.zeros(width + 1)
+        for b in batches:
+            x, _ = parts(b)
+            total += np.append(x.sum(axis=0), len(x))
+        yield _entries("v", total)
+
+    sums = _summed(data, first, width + 1)
+    centre = sums[:-1] / max(sums[-1], 1)
+
+    def second(batches):
+        total = np.zeros((k, width + 1, width + 1))
+        for b in batches:
+            x, f = parts(b)
+            z = np.column_stack([x - centre, np.ones(len(x))])
+            for i in np.unique(f):
+                total[i] += z[f == i].T @ z[f == i]
+        yield _entries("v", total)
+
+    return centre, _summed(data, second, k * (width + 1) ** 2).reshape(k, width + 1, width + 1)
+
+
+def _plane(moments: np.ndarray, alpha: float, use: Sequence[int]) -> np.ndarray:
+    """The weights w for which ``w' z`` is the residual of the ridge on the features ``use``."""
+    n, use = moments[-1, -1], list(use)
+    mean = moments[-1, :-1] / max(n, 1)
+    cross = moments[:-1, :-1] - n * np.outer(mean, mean)
+    coef = np.linalg.pinv(cross[np.ix_(use, use)] + alpha * np.eye(len(use)), hermitian=True) @ cross[use, -1]
+    w = np.zeros(len(moments))
+    w[use], w[-2], w[-1] = -coef, 1.0, mean[use] @ coef - mean[-1]
+    return w
+
+
+class RidgeGrid:
+    """What a grid search found: ``scores`` as (maps, folds) mean squared errors (NaN for a fold
+    without rows), ``means`` over the folds, ``best`` the first map that no other is below, and
+    its ``coef`` and ``intercept`` refitted on all rows (0 for a feature that the map leaves out)."""
+
+    def __init__(self, maps, scores, centre, moments):
+        self.maps, self.scores = list(maps), scores
+        known = ~np.isnan(scores[0])
+        self.means = scores[:, known].mean(axis=1) if known.any() else np.full(len(scores), np.nan)
+        self.best = int(np.argmin(np.round(self.means, PLACES)))
+        w = _plane(moments.sum(axis=0), *self.maps[self.best])
+        self.coef = -w[:-2]
+        self.intercept = float(centre[-1] - w[-1] - centre[:-1] @ self.coef)
+
+
+def ridge_grid_cv(df: DataFrame, rows: str, width: int, maps: Sequence[tuple[float, Sequence[int]]],
+                  fold: str = "fold", k: int = 5) -> RidgeGrid:
+    """Cross-validates every map (penalty, features by position) of a ridge of the last of
+    ``width`` numbers on those before it, with ``fold`` holding 0 .. k - 1.
+
+    The rows are read twice, whatever the grid: a fold's training moments are those of all rows
+    less its own, and its squared errors come from its own moments. Nothing is refitted on data.
+    """
+    if not maps:
+        raise ValueError("a grid needs at least one map")
+    centre, moments = fold_moments(df, rows, width, fold, k)
+    total, n = moments.sum(axis=0), moments[:, -1, -1]
+    scores = np.full((len(maps), k), np.nan)
+    for f in np.flatnonzero(n > 0):
+        for i, m in enumerate(maps):
+            w = _plane(total - moments[f], *m)
+            scores[i, f] = max(w @ moments[f] @ w, 0.0) / n[f]
+    return RidgeGrid(maps, scores, centre, moments)
+
+
 # --- a model per group --------------------------------------------------------------------------
 def group_least_squares(df: DataFrame, y: str, features: Sequence[str], groups: Sequence[str],
                         alpha: float = 0.0) -> DataFrame:

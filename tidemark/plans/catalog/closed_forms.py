@@ -259,3 +259,44 @@ def lane_least_squares(spark, sf_dir):
     at = lambda i: F.round(F.get("coef", F.lit(i)), 6)
     return out.select("device", "event_type", "n", at(0).alias("coef_hour"), at(1).alias("coef_k"),
                       F.round("intercept", 6).alias("intercept"))
+
+
+# M18, M20: a cross-validated grid of penalties and feature lists ------------------------------------
+GRID_ALPHAS = (10.0, 1000.0, 100000.0)
+GRID_FEATURES = {"hour": [0], "k": [1], "hour,k": [0, 1]}
+_grid = ", ".join(f"({i}, {a}, '{names}', {int(0 in use)}, {int(1 in use)})" for i, (a, names, use) in enumerate(
+    (a, names, use) for a in GRID_ALPHAS for names, use in GRID_FEATURES.items()))
+
+
+@query("ridge_grid_folds", f"""
+WITH d AS (SELECT event_id, value AS y, CAST(hour(ts) AS DOUBLE) AS a, CAST(json_extract(props, '$.k') AS DOUBLE) AS b,
+                  CAST((row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) - 1)
+                       % 5 AS INTEGER) AS fold FROM events),
+t AS (SELECT g.fold, y, a, b FROM d JOIN range(5) g(fold) ON d.fold <> g.fold),
+m AS (SELECT fold, avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM t GROUP BY fold),
+c AS (SELECT fold, my, ma, mb, sum((a - ma) * (a - ma)) AS aa, sum((a - ma) * (b - mb)) AS ab, sum((b - mb) * (b - mb)) AS bb,
+             sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS by_ FROM t JOIN m USING (fold) GROUP BY ALL),
+g AS (SELECT *, aa + alpha AS pa, bb + alpha AS pb
+      FROM c, (VALUES {_grid}) v(map, alpha, features, has_a, has_b)),
+s AS (SELECT map, CAST(alpha AS DOUBLE) AS alpha, features, fold, my, ma, mb,
+             CASE WHEN has_a = 0 THEN 0 WHEN has_b = 0 THEN ay / pa ELSE (pb * ay - ab * by_) / (pa * pb - ab * ab) END AS ca,
+             CASE WHEN has_b = 0 THEN 0 WHEN has_a = 0 THEN by_ / pb ELSE (pa * by_ - ab * ay) / (pa * pb - ab * ab) END AS cb
+      FROM g),
+e AS (SELECT map, alpha, features, s.fold, avg(pow(y - my - ca * (a - ma) - cb * (b - mb), 2)) AS mse
+      FROM s JOIN d ON d.fold = s.fold GROUP BY ALL),
+o AS (SELECT map, avg(mse) AS mean_mse FROM e GROUP BY map),
+w AS (SELECT map FROM o ORDER BY round(mean_mse, {LN.PLACES}), map LIMIT 1)
+SELECT alpha, features, fold, round(mse, 6) AS mse, round(mean_mse, 6) AS mean_mse, map IN (SELECT map FROM w) AS is_best
+FROM e JOIN o USING (map)""")
+def ridge_grid_folds(spark, sf_dir):
+    """Nine ridges by five folds from one pair of passes: every fold's error, the mean, and the
+    first best map."""
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", "event_type", F.array(F.hour("ts").cast("double"), F.get_json_object("props", "$.k").cast("double"),
+                                          F.col("value").cast("double")).alias("row"))
+    dealt = SP.stratified_kfold(ev, "event_id", "event_type", 5)
+    maps = [(a, names, use) for a in GRID_ALPHAS for names, use in GRID_FEATURES.items()]
+    found = LN.ridge_grid_cv(dealt, "row", 3, [(a, use) for a, _, use in maps], "fold", 5)
+    out = [(a, names, f, round(float(found.scores[i, f]), 6), round(float(found.means[i]), 6), i == found.best)
+           for i, (a, names, _) in enumerate(maps) for f in range(5)]
+    return spark.createDataFrame(out, "alpha double, features string, fold int, mse double, mean_mse double, is_best boolean")

@@ -130,3 +130,17 @@ def device_from_path(spark, sf_dir):
     raw = C.read_csv(spark, path, "event_id long, value double", recursiveFileLookup=True)
     device = C.source_file_key(r"user_id=([0-9]+)/").cast("long")
     return raw.select("event_id", device.alias("device"), "value")
+
+
+# S5 (one device out of a split of bounded size) -------------------------------------------
+DEVICE_BUCKETS = 64
+
+
+@query("device_bucket_scan", """
+SELECT event_id, user_id, value FROM events WHERE user_id = (SELECT max(user_id) FROM events)""")
+def device_bucket_scan(spark, sf_dir):
+    """The mixed readings split into folders of devices, and one device read back out of its folder."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    path = C.write_device_files(ev, scratch_path(spark, "events-by-bucket"), "user_id", DEVICE_BUCKETS)
+    last = ev.agg(F.max("user_id")).first()[0]
+    return C.read_device(spark, path, "user_id", last, ev.schema, DEVICE_BUCKETS)

@@ -91,6 +91,26 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], fmt: str = "p
     return path
 
 
+def write_device_files(df: DataFrame, path: str, device: str, buckets: int, fmt: str = "csv") -> str:
+    """Rows by device in ``buckets`` folders ``bucket=<n>``: a folder per device would be a file
+    for every few rows. A device's rows lie in one folder, in as many files as their size calls
+    for, and its id is a column of the file."""
+    bucket = F.pmod(F.xxhash64(device), F.lit(buckets)).cast("int")
+    return write_partitioned(df.withColumn("bucket", bucket), path, ["bucket"], fmt)
+
+
+def read_device(spark: SparkSession, path: str, device: str, value, schema: T.StructType | str, buckets: int,
+                fmt: str = "csv") -> DataFrame:
+    """One device's rows out of :func:`write_device_files`: the scan opens its folder alone."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    kind = schema[device].dataType
+    bucket = F.pmod(F.xxhash64(F.lit(value).cast(kind)), F.lit(buckets)).cast("int")
+    whole = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    rows = read_partitioned(spark, path, whole, fmt).where(F.col("bucket") == bucket)
+    return rows.where(F.col(device) == F.lit(value).cast(kind)).drop("bucket")
+
+
 def read_partitioned(spark: SparkSession, path: str, schema: T.StructType | None = None,
                      fmt: str = "parquet") -> DataFrame:
     r = spark.read.format(fmt).option("header", True)
