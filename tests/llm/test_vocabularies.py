@@ -45,8 +45,13 @@ def test_splitting_is_safe_and_bounded():
     text = "word " * 50 + "x" * 300 + "\t" + "é " * 40
     parts = list(tokens.split_safely(text, 64))
     assert "".join(parts) == text and all(len(p) <= 64 or " " not in p.strip() for p in parts)
-    rows = [(i, len(p)) for rows, parts in tokens.balanced([text, None, "", text], 200) for i, p in zip(rows, parts)]
-    assert sum(n for _, n in rows) == 2 * len(text) and {i for i, _ in rows} == {0, 1, 2, 3}
+    data = text.encode()
+    parts = list(tokens.split_safely(data, 64))
+    assert b"".join(parts) == data and all(len(p) <= 64 or b" " not in p.strip() for p in parts)
+    batches = list(tokens.balanced([data, None, b"", data, "漢字 ".encode() * 500], 400))
+    assert {i for rows, _ in batches for i in rows} == {0, 1, 2, 3, 4}
+    sizes = [sum(map(len, parts)) for _, parts in batches]
+    assert sum(sizes) == 2 * len(data) + 3500 and all(400 <= n < 800 for n in sizes[:-1])
 
 
 def test_small_batches_and_table_give_the_same(spark, noise_dir):
@@ -54,9 +59,28 @@ def test_small_batches_and_table_give_the_same(spark, noise_dir):
     path = queries.vocabulary("word_bpe_49k.json")
     a = tokens.token_counts(docs, "doc_id", "text", path).collect()
     lengths = tokens._library_lengths(path)
-    counter = tokens.WordCounter(lengths, known=10)
+    counter = tokens.WordCounter(lengths, known=200_000)
+    fullest = 0
     for r, t in zip(a, [x.text for x in docs.select("text").collect()]):
-        assert r.n_tokens == sum(counter.counts(list(tokens.split_safely(t or "", 7))))
+        assert r.n_tokens == sum(counter.counts(list(tokens.split_safely((t or "").encode(), 7))))
+        fullest = max(fullest, counter.held)
+    assert 100_000 < fullest <= 200_000  # it was filled, and emptied
+    assert all(len(w) < 200 for w in counter.table)
+
+
+def test_long_words_do_not_fill_the_table():
+    path = queries.vocabulary("word_bpe_49k.json")
+    counter = tokens.WordCounter(tokens._library_lengths(path), known=1 << 20)
+    tok = tokenizers.Tokenizer.from_file(path)
+    words = [f"{i}abc" * 1000 for i in range(30)]
+    assert counter.counts([w.encode() for w in words]).tolist() == [len(tok.encode(w).ids) for w in words]
+    assert not counter.table
+
+
+def test_a_vocabulary_that_keeps_white_space_is_refused(spark, edge_dir):
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    with pytest.raises(Exception, match="doesn't drop white space"):
+        tokens.token_counts(docs, "doc_id", "text", queries.vocabulary("byte_bpe_50k.json")).collect()
 
 
 @pytest.mark.parametrize("which", ["noise", "edge", "small"])
