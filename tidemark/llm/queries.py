@@ -144,7 +144,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("html", F.lit("")).alias("payload"))
     index = warc.archive_and_index(captures)
     return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to",
-                        "urlkey", F.col("ts").alias("captured"), "archive", "offset")
+                        "urlkey", F.col("ts").alias("captured"), "archive", "offset", "length")
 
 
 @query
