@@ -52,6 +52,31 @@ def test_lines_and_verdict(spark):
     assert got[4].cleaned is None and not got[4].kept and got[4].lost_share == 0
 
 
+FURNITURE = ["© 2024 Example Corp", "Tous droits réservés.", "Consultez nos Conditions d’utilisation ici.",
+             "Diese Website verwendet Cookies, um Inhalte zu zeigen.", "Zum Inhalt springen.", "POLÍTICA DE PRIVACIDAD.",
+             "Haga clic aquí.", "Aceptar las cookies y seguir.", "Conditions d'utilisation: page 3."]
+PROSE = ["Le gâteau est servi avec tous les droits d'usage réservés.", "Sie verwendet Kekse, um den Teig zu mischen.",
+         "La política de la ciudad cambió mucho en los últimos años.", "He rebuilt the call rights reserved list.",
+         "Los préclicknuevos aquí no cuentan nada.", "Das Gebäude ©hat 2024 Fenster.", "Réaceptar cookies es raro."]
+
+
+def test_page_furniture_of_four_languages(spark):
+    rows = [(i, x) for i, x in enumerate(FURNITURE + PROSE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_lines_removed for r in quality.clean_lines(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [1] * len(FURNITURE) + [0] * len(PROSE)
+
+
+def test_every_phrase_is_found_as_by_a_plain_search():
+    plain = re.compile("(?:^|[^a-zß-ÿ])(?:" + "|".join(quality.BOILERPLATE) + ")")
+    mine = re.compile(quality.phrase_pattern())
+    found = [p for p in quality.BOILERPLATE if "[" not in p and "(" not in p]
+    for p in found:
+        assert mine.search(p) and mine.search(f"x {p} y") and not mine.search(p[:-1])
+    for t in FURNITURE + PROSE + [f"é{p}" for p in found]:
+        assert bool(mine.search(t.lower())) == bool(plain.search(t.lower()))
+
+
 def test_empty(spark, empty_dir):
     assert queries.op2_quality_rules(spark, empty_dir).count() == 0
 

@@ -46,7 +46,7 @@ _r = LineRules()
 _less = lambda s, cls: f"len({s}) - len(regexp_replace({s}, '{cls}', '', 'g'))"
 _solid = lambda s: f"len(regexp_replace({s}, '[\\t\\n\\v\\f\\r ]+', '', 'g'))"
 _line_words = r"len(regexp_extract_all(line, '[^\t\n\v\f\r ]+'))"
-_phrases = "(?:^|[^a-z])(?:" + "|".join(BOILERPLATE) + ")"
+_phrases = ("(?:^|[^a-zß-ÿ])(?:" + "|".join(BOILERPLATE) + ")").replace("'", "''")
 
 QUALITY = f"""
 WITH {_DOCS}, w AS (SELECT doc_id, t, {_WORDS} AS ws FROM d),

@@ -21,15 +21,43 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.common import SPACE_CLASS, SPACES, word_array
 
 SYMBOLS = "#*$%&|<>"
-#: Phrases of page furniture, in lower case.
+#: Phrases of page furniture, in lower case, as patterns: English, French, German, Spanish, any.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "uses cookies", "accept cookies", "privacy policy",
     "terms of use", "terms of service", "terms and conditions", "subscribe to our newsletter",
     "sign up for our newsletter", "please enable javascript", "javascript is disabled",
     "click here to", "follow us on", "share this article", "back to top", "skip to content",
+
+    "tous droits réservés", "politique de cookies", "utilise des cookies", "accepter les cookies",
+    "politique de confidentialité", "mentions légales", "conditions d['’]utilisation",
+    "conditions générales de vente", "abonnez-vous à notre", "inscrivez-vous à notre",
+    "veuillez activer javascript", "javascript est désactivé", "cliquez ici pour", "suivez-nous sur",
+    "partager cet article", "retour en haut", "aller au contenu",
+
+    "alle rechte vorbehalten", "cookie-richtlinie", "verwendet cookies", "cookies akzeptieren",
+    "datenschutzerklärung", "nutzungsbedingungen", "allgemeine geschäftsbedingungen",
+    "newsletter abonnieren", "abonnieren sie unseren newsletter", "bitte aktivieren sie javascript",
+    "javascript ist deaktiviert", "klicken sie hier", "folgen sie uns auf", "diesen artikel teilen",
+    "nach oben scrollen", "zurück zum seitenanfang", "zum inhalt springen",
+
+    "todos los derechos reservados", "política de cookies", "utiliza cookies", "aceptar (?:las )?cookies",
+    "política de privacidad", "aviso legal", "términos de uso", "términos y condiciones",
+    "condiciones de uso", "suscríbete a nuestro", "suscríbase a nuestro", "javascript está desactivado",
+    "ha(?:z|ga) clic aquí", "síguenos en", "compart(?:e|ir) este artículo", "volver arriba", "saltar al contenido",
+
+    "copyright ©", "© (?:19|20)[0-9][0-9]",
 )
 
 
+def phrase_pattern() -> str:
+    """Matches a phrase that begins where a word does; those with the same first letter stand
+    together, so that a place in a text is tried by one letter each."""
+    by_first: dict[str, list[str]] = {}
+    for p in BOILERPLATE:
+        by_first.setdefault(p[0], []).append(p[1:])
+    return "(?:^|[^a-zß-ÿ])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + ")"
+
+
 @dataclass(frozen=True)
 class LineRules:
     """Limits of the line rules; shares are of a line's characters outside white space."""
@@ -79,8 +107,7 @@ def line_fails(line: Column, rules: LineRules, phrases: bool) -> Column:
     return line.rlike(_WORD) & fails
 
 
-#: A phrase begins where a word does.
-_PHRASES = r"(?:^|[^a-z])(?:" + "|".join(BOILERPLATE) + ")"
+_PHRASES = phrase_pattern()
 
 
 def _suspect(rules: LineRules) -> str:
