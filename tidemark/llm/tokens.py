@@ -25,7 +25,7 @@ from tidemark.llm.common import SPACES, per_worker
 
 #: Bytes of text in a batch, and bytes of the words whose counts a worker keeps.
 BATCH_BYTES = 8 << 20
-KNOWN_BYTES = 64 << 20
+KNOWN_BYTES = 192 << 20
 #: What a word in the table takes beside its own bytes.
 _ENTRY = 128
 
