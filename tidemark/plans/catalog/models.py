@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.operators import evaluate as EV
+from tidemark.operators import forest_grid as FG
 from tidemark.operators import linear as LN
 from tidemark.operators import models as MD
 from tidemark.operators import split as SP
@@ -283,16 +284,11 @@ def oof_model(spark, sf_dir):
 # M18 -----------------------------------------------------------------------------------
 @query("grid_search_cv")
 def grid_search_cv(spark, sf_dir):
+    """9 + 18 combinations, the forests of the second grid not bootstrapped, all in shared passes."""
     d = labelled_docs(spark, sf_dir).where("is_test = 0")
-    # 9 + 18 combinations; the forests of the second grid are not bootstrapped. Their sizes
-    # are a tenth of the analysed ones.
-    est = MD.rf_classifier(10, 5)
-    subsets = ["1", "2", "3"]
-    g1 = ParamGridBuilder().addGrid(est.numTrees, [1, 3, 5]).addGrid(est.featureSubsetStrategy, subsets).build()
-    g2 = ParamGridBuilder().addGrid(est.bootstrap, [False]).addGrid(est.numTrees, [30, 40, 50, 60, 70, 80]) \
-        .addGrid(est.featureSubsetStrategy, subsets).build()
-    cvm, maps = MD.grid_search_cv(d, est, [g1, g2], MD.EVALUATORS["accuracy"](), "fold", K)
-    return MD.param_table(spark, maps, cvm.avgMetrics, "accuracy")
+    maps = [FG.ForestMap(n, m) for m in (1, 2, 3) for n in (10, 30, 50)]
+    maps += [FG.ForestMap(n, m, False) for m in (1, 2, 3) for n in (300, 400, 500, 600, 700, 800)]
+    return FG.forest_grid_cv(d, maps, "fold", K, "doc_id", "accuracy").table(spark, "accuracy")
 
 
 # M19 -----------------------------------------------------------------------------------
