@@ -138,3 +138,21 @@ def test_no_rows_one_fold_constant_features_and_vectors(spark, small):
     vectors = df.withColumn("features", array_to_vector("features"))
     a, b = (FG.forest_grid_cv(d, MAPS[3:4], "fold", K, "id", max_depth=2, seed=2, max_cuts=99).metrics for d in (df, vectors))
     assert np.allclose(a, b)
+
+
+@pytest.mark.parametrize("best", [MAPS[2], MAPS[3]])
+def test_the_best_forest_on_all_rows(small, best):
+    x, y, _, df, copies = small
+    CUTS[:] = [(np.unique(x[:, f])[:-1] + np.unique(x[:, f])[1:]) / 2 for f in range(x.shape[1])]
+    got = FG.forest(df, best, "id", max_depth=3, seed=2, max_cuts=99).transform(df).orderBy("id").toPandas().prediction
+    want = np.zeros(len(x))
+    for t in range(best.n_trees):
+        w = copies[:, t] if best.bootstrap else np.ones(len(x))
+        tree = plain_tree(x[w > 0], y[w > 0], w[w > 0], t, best.max_features, 3, 1)
+        want += [guess(tree, r) for r in x]
+    assert np.allclose(got, want / best.n_trees, atol=1e-12)
+
+
+def test_a_forest_of_no_rows(small):
+    df = small[3]
+    assert FG.forest(df.limit(0), MAPS[0], "id").transform(df).where("prediction is null").count() == 150

@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 from pyspark import cloudpickle
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import split as SP
@@ -300,3 +301,37 @@ def forest_grid_cv(df: DataFrame, maps: Sequence[ForestMap], fold: str, k: int,
     known = np.flatnonzero(~np.isnan(better))
     best = int(known[better[known].argmax()]) if len(known) else None
     return ForestGrid(maps, metrics.tolist(), best, trees, node, nodes, first)
+
+
+class ForestModel:
+    """A forest that gives the mean of its leaves."""
+
+    def __init__(self, trees: Trees, value: np.ndarray, features: str):
+        self.trees, self.value, self.features = trees, value, features
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        import pandas as pd
+
+        trees, value = self.trees, self.value
+
+        def score(x):
+            rows = np.stack(x.to_numpy()) if len(x) else np.empty((0, 1))
+            total = np.zeros(len(rows))
+            for row, node in trees.portions(rows):
+                total += np.bincount(row, value[node], len(rows))
+            return pd.Series(total / trees.n_trees)
+
+        score.__annotations__ = {"x": pd.Series, "return": pd.Series}
+        x = F.col(self.features)
+        if df.schema[self.features].dataType.simpleString() == "vector":
+            x = vector_to_array(x)
+        return df.withColumn(out, F.pandas_udf(score, "double")(x))
+
+
+def forest(df: DataFrame, best: ForestMap, id_col: str, features: str = "features", **more) -> ForestModel:
+    """The forest of one map on all rows, grown as :func:`forest_grid_cv` grows it (``more`` goes
+    there). Without rows every prediction is null."""
+    grid = forest_grid_cv(df.withColumn("_none", F.lit(-1)), [best], "_none", 1, id_col, features=features, **more)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = (grid.nodes.s / grid.nodes.n)[grid.node]
+    return ForestModel(grid.trees, value, features)
