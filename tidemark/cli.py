@@ -50,16 +50,16 @@ def main(argv=None) -> None:
         devices, _ = TR.load_data(spark, a.mixed_csv, a.out_dir)
         print(f"devices: {devices.count()}")
     elif a.cmd == "train":
-        model = TR.build_model(C.read_partitioned(spark, a.device_dir), num_trees=a.trees)
+        model = TR.build_model(TR.read_split(spark, a.device_dir), num_trees=a.trees)
         model.write().overwrite().save(a.model_dir)
     elif a.cmd == "device":
-        _, metrics = TR.build_one_device(C.read_partitioned(spark, a.device_dir), a.device,
+        _, metrics = TR.build_one_device(TR.read_split(spark, a.device_dir, a.device), a.device,
                                          num_trees=a.trees)
         C.write_csv(metrics, a.out_csv)
     elif a.cmd == "predict":
         from pyspark.ml.regression import RandomForestRegressionModel
         model = RandomForestRegressionModel.load(a.model_dir)
-        C.write_csv(TR.model_predict(model, C.read_partitioned(spark, a.device_dir)), a.out_csv)
+        C.write_csv(TR.model_predict(model, TR.read_split(spark, a.device_dir)), a.out_csv)
     elif a.cmd == "submit":
         from tidemark.operators import models as MD
         from tidemark.plans import cleaning as CL

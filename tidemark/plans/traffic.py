@@ -135,19 +135,43 @@ STATION_FEATURES = ["PercentageCar", "AverageDistance", "TimeOccupy", "Speed", "
                     "dayofweek"]
 
 
+#: Folders of a split station file, however many devices it holds.
+DEVICE_FOLDERS = 64
+
+
 def load_data(spark, csv_path: str, out_path: str):
-    """Read a mixed station file (header replaced by the station schema), write one
-    directory per device in a single job, and return (devices, readings).
+    """Read a mixed station file (header replaced by the station schema), split it by device
+    into ``DEVICE_FOLDERS`` folders in a single job, and return (devices, readings).
 
-    ``devices`` is a DataFrame of the distinct device ids (not a collected list).
+    A device's rows lie in one folder. A folder of its own for each device would make files,
+    listings and renames grow with the devices. ``devices`` is a DataFrame of the distinct
+    device ids (not a collected list).
     """
     from tidemark.sources import csv as C
     readings = C.read_csv(spark, csv_path, C.STATION_SCHEMA)
-    C.write_partitioned(readings, out_path, ["Devices"])
-    back = C.read_partitioned(spark, out_path)
+    C.write_device_files(readings, out_path, "Devices", DEVICE_FOLDERS, "parquet")
+    back = read_split(spark, out_path)
     return back.select("Devices").distinct(), back
 
 
+def read_split(spark, path: str, device: int | None = None) -> DataFrame:
+    """The readings that :func:`load_data` split, or one device's out of its folder alone.
+
+    Ids are integers where all of them fit, as folder names would be read, so that a row's hash
+    (which splits the rows) does not depend on the layout.
+    """
+    from pyspark.sql import types as T
+    from tidemark.sources import csv as C
+    whole = T.StructType([*C.STATION_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])
+    back = C.read_partitioned(spark, path, whole)
+    low, high = back.agg(F.min("Devices"), F.max("Devices")).first()
+    fits = low is not None and -2 ** 31 <= low and high < 2 ** 31
+    if device is not None:
+        back = C.read_device(spark, path, "Devices", device, C.STATION_SCHEMA, DEVICE_FOLDERS, "parquet")
+    return back.select(*[c for c in C.STATION_SCHEMA.names if c != "Devices"],
+                       F.col("Devices").cast("int" if fits else "long").alias("Devices"))
+
+
 def _station_design(readings: DataFrame) -> DataFrame:
     """Fill each (device, lane) series, add calendar parts and assemble the features.
 
