@@ -1,9 +1,14 @@
 """Compositions: cleaning fit/transform, station workflow, path-derived ids."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans import cleaning as CL
+from tidemark.plans import registry
 from tidemark.plans import traffic as TR
+from tidemark.plans.catalog.scans import DEVICE_BUCKETS
 from tidemark.session import scratch_path
 from tidemark.sources import csv as C
 
@@ -65,6 +70,48 @@ def test_file_name_key(spark):
     assert got == [(i, i % 2) for i in range(6)]
 
 
+def _folders(path):
+    return sorted(f for f in os.listdir(path.removeprefix("file:")) if "=" in f)
+
+
+def test_a_split_has_few_folders_however_many_devices(spark):
+    """A folder per device made a file, a listing and a rename for every few rows."""
+    readings = spark.range(600).select(
+        (F.col("id") % 300).alias("d"), F.lit(11).alias("l"), F.lit(1).alias("p"), F.lit(2).alias("a"), F.lit(3).alias("o"),
+        F.col("id").cast("double").alias("tr"), F.lit(5.0).alias("sp"), F.lit("2024-01-01 00:00:00").alias("tm"))
+    for shift, kind in ((0, "int"), (1 << 40, "bigint")):
+        path = C.write_csv(readings.withColumn("d", F.col("d") + shift), scratch_path(spark, "many-mixed"))
+        split = scratch_path(spark, "many-split")
+        devices, back = TR.load_data(spark, path, split)
+        assert len(_folders(split)) <= TR.DEVICE_FOLDERS and dict(back.dtypes)["Devices"] == kind
+        assert back.columns == [c for c in C.STATION_SCHEMA.names if c != "Devices"] + ["Devices"]
+        assert sorted(r.Devices for r in devices.collect()) == [shift + i for i in range(300)]
+        assert sorted((r.Traffic, r.Devices) for r in back.collect()) == [(float(i), shift + i % 300) for i in range(600)]
+        one = TR.read_split(spark, split, shift + 7)
+        assert sorted(r.Traffic for r in one.collect()) == [7.0, 307.0]
+        assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("ids, most", [([5, 6, 9], 3), ([None, 3], 2), ([-70, -1, 0, 2, 700, None], 6),
+                                       (list(range(1000)), 9), ([-2 ** 63, 2 ** 63 - 1, 2 ** 60 + 1], 3)])
+def test_ids_come_back_from_ranges_in_the_path(spark, ids, most):
+    df = spark.createDataFrame([(i, d, float(i)) for i, d in enumerate(ids)], "event_id long, user_id long, value double")
+    path, width = C.write_device_ranges(df, scratch_path(spark, "ranges"), "user_id", 8)
+    assert len(_folders(path)) <= most
+    raw = C.read_csv(spark, path, "event_id long, value double, place long", recursiveFileLookup=True)
+    first = F.nullif(C.source_file_key(r"user_id_range=(-?[0-9]+)/"), F.lit("")).cast("long") * width
+    assert sorted((r[0], r[1]) for r in raw.select("event_id", first + F.col("place")).collect()) == list(enumerate(ids))
+
+
+def test_device_from_path_reads_few_files(spark, tmp_path):
+    ids = [None, *range(400), 10 ** 12]
+    rows = [(i, d, float(i)) for i, d in enumerate(ids)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    out = registry.QUERIES["device_from_path"](spark, str(tmp_path))
+    assert len(out.inputFiles()) <= 2 * DEVICE_BUCKETS + 2
+    assert sorted(tuple(r) for r in out.collect()) == rows
+
+
 def test_submission_predicts_every_test_row(spark):
     from tidemark.operators import models as MD
     train_rows = [(i, i % 2, 1 + i % 3, f"N{i}, {'Mr.' if i % 2 else 'Mrs.'} X", "male" if i % 2 else "female",

@@ -99,6 +99,21 @@ def write_device_files(df: DataFrame, path: str, device: str, buckets: int, fmt:
     return write_partitioned(df.withColumn("bucket", bucket), path, ["bucket"], fmt)
 
 
+def write_device_ranges(df: DataFrame, path: str, device: str, folders: int, fmt: str = "csv") -> tuple[str, int]:
+    """Rows by device in about ``folders`` folders ``<device>_range=<n>`` at most; returns (path, width).
+
+    A folder holds the ids from ``n * width`` on, ``width`` of them; a row has its id's distance
+    from there as ``place`` and the id itself stands nowhere but in both. With no more ids between
+    the smallest and the largest than folders, the width is 1 and each device has a folder. Ids
+    below zero count downwards, so that nothing overflows.
+    """
+    low, high = df.agg(F.min(device), F.max(device)).first()
+    width = 1 if low is None else -(-(high - low + 1) // folders)
+    split = df.withColumns({"place": (F.col(device) % F.lit(width)).cast("long"),
+                            f"{device}_range": F.expr(f"`{device}` div {width}")})
+    return write_partitioned(split.drop(device), path, [f"{device}_range"], fmt), width
+
+
 def read_device(spark: SparkSession, path: str, device: str, value, schema: T.StructType | str, buckets: int,
                 fmt: str = "csv") -> DataFrame:
     """One device's rows out of :func:`write_device_files`: the scan opens its folder alone."""
