@@ -156,3 +156,15 @@ def test_the_best_forest_on_all_rows(small, best):
 def test_a_forest_of_no_rows(small):
     df = small[3]
     assert FG.forest(df.limit(0), MAPS[0], "id").transform(df).where("prediction is null").count() == 150
+
+
+def test_parts_follow_the_cores(spark):
+    """Every part hands on the sums of all open nodes: with 64 parts for 4 cores, 16 times as many."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = FG._spread(spark.range(20_000))
+        assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and out.count() == 20_000
+        assert FG._spread(spark.range(700)).rdd.getNumPartitions() == 2 and FG._spread(spark.range(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import split as SP
 from tidemark.operators.trees import Trees, _by_entry, _Cuts, _entries, _matrix, _rows, _table, candidate_cuts
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import ensure_checkpoint_dir, fit_parts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -157,11 +157,11 @@ def _best_cuts(sums: np.ndarray, cuts: _Cuts, min_instances: int):
 
 def _spread(rows: DataFrame) -> DataFrame:
     """The rows, written once in as many parts as the session works on: few bytes can be much
-    work here, since a row meets every tree."""
+    work here, since a row meets every tree. Each part hands on the sums of all open nodes, so
+    parts beyond the cores would be shuffled sums and no gain."""
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts).checkpoint(eager=True)
+    return rows.repartition(fit_parts(spark, rows.count(), 500)).checkpoint(eager=True)
 
 
 class ForestGrid:
