@@ -123,3 +123,30 @@ def test_same_seed_same_forest(separable):
     j = p1.select("id", F.col("prediction").alias("x")).join(
         p2.select("id", F.col("prediction").alias("y")), "id")
     assert j.where("x != y").count() == 0
+
+
+def test_fits_without_each_fold_run_at_once(spark):
+    """One after the other, the fits of a stack waited for thousands of short jobs."""
+    from threading import Barrier
+    together = Barrier(3, timeout=60)
+
+    class Rows:
+        def fit(self, d):
+            together.wait()
+            return sorted(r.id for r in d.select("id").collect())
+
+    df = spark.range(9).withColumn("fold", (F.col("id") % 3).cast("int"))
+    assert MD.fold_models(df, Rows, "fold", 3) == [[i for i in range(9) if i % 3 != f] for f in range(3)]
+
+
+def test_spread_rows_reach_every_core(spark):
+    """Adaptive execution merges such a table into one part, and one core fitted it."""
+    df = spark.range(60_000).repartition(1)
+    out = MD.spread_table(df)
+    cores = spark.sparkContext.defaultParallelism
+    assert out.rdd.getNumPartitions() == min(cores, 6)
+    assert out.agg(F.count("*"), F.sum("id")).first()[:] == (60_000, 60_000 * 59_999 // 2)
+    assert MD.spread_table(spark.range(50).repartition(1)).rdd.getNumPartitions() == 1
+    assert MD.spread_table(spark.range(0).repartition(1)).count() == 0
+    wide = spark.range(0, 100_000, 1, 3 * cores)
+    assert MD.spread_table(wide).rdd.getNumPartitions() == 3 * cores
