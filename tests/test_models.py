@@ -150,3 +150,13 @@ def test_spread_rows_reach_every_core(spark):
     assert MD.spread_table(spark.range(0).repartition(1)).count() == 0
     wide = spark.range(0, 100_000, 1, 3 * cores)
     assert MD.spread_table(wide).rdd.getNumPartitions() == 3 * cores
+
+
+def test_meta_model_has_the_analysed_rounds(monkeypatch):
+    """The second level ran 50 rounds of 3000."""
+    from tidemark.plans.catalog import models as M
+
+    asked = []
+    monkeypatch.setattr(MD, "newton_boosting", lambda *_, rounds, **more: asked.append(rounds))
+    M._meta_estimator().fit(None)
+    assert asked == [3000]

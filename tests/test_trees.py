@@ -218,3 +218,24 @@ def test_newton_boosting_without_rows(spark, small):
     _, _, df = small
     m = TS.newton_boosting(df.where("id < 0"), "id", rounds=3)
     assert {r.margin for r in m.transform(df).collect()} == {0.0}
+
+
+def bits(spark, rows=300, parts=3):
+    r = np.random.default_rng(8)
+    y = r.integers(0, 2, rows)
+    x = np.column_stack([np.where(r.random(rows) < share, y, 1 - y) for share in (0.7, 0.8, 0.6)])
+    return x, y, table(spark, x, y, parts)
+
+
+def test_newton_boosting_counts_cells_once(spark, monkeypatch):
+    """A round over 0/1 features was a job for each level of its tree."""
+    x, _, df = bits(spark)
+    options = dict(rounds=25, max_depth=3, eta=0.1, gamma=0.1, min_child_weight=2.0, subsample=0.8, colsample=0.8)
+    by_cell = TS.newton_boosting(df, "id", **options)
+    monkeypatch.setattr(TS, "_NUMBERS", 0)
+    by_rows = TS.newton_boosting(df, "id", **options)
+    assert by_cell.columns == by_rows.columns and np.allclose(by_cell.margins(x), by_rows.margins(x))
+    assert len(set(by_cell.margins(x).round(9))) > 4
+    monkeypatch.undo()
+    monkeypatch.setattr(TS, "_node_sums", None)
+    assert np.allclose(TS.newton_boosting(df, "id", **options).margins(x), by_rows.margins(x))
