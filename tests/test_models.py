@@ -160,3 +160,17 @@ def test_meta_model_has_the_analysed_rounds(monkeypatch):
     monkeypatch.setattr(MD, "newton_boosting", lambda *_, rounds, **more: asked.append(rounds))
     M._meta_estimator().fit(None)
     assert asked == [3000]
+
+
+def test_bases_have_the_analysed_sizes(monkeypatch):
+    """They ran 10 rounds or 50 trees of 500."""
+    from tidemark.plans.catalog import models as M
+
+    asked = {}
+    for name in ("extra_trees", "real_adaboost", "boosted_classifier"):
+        monkeypatch.setattr(MD, name, lambda *_, _n=name, **sizes: asked.__setitem__(_n, sizes.get("rounds") or sizes.get("n_trees")))
+    bases = M._bases(100)
+    for name in ("et", "ada", "gb"):
+        bases[name]().fit(None)
+    assert [asked[n] for n in ("extra_trees", "real_adaboost", "boosted_classifier")] == [500] * 3
+    assert bases["rf"]().getNumTrees() == 500

@@ -239,3 +239,46 @@ def test_newton_boosting_counts_cells_once(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(TS, "_node_sums", None)
     assert np.allclose(TS.newton_boosting(df, "id", **options).margins(x), by_rows.margins(x))
+
+
+@pytest.mark.parametrize("least", [1000, 40])
+def test_real_adaboost_in_one_job_equals_a_job_for_each_round(spark, monkeypatch, least):
+    r = np.random.default_rng(9)
+    x = r.integers(0, 5, (300, 3))
+    df = table(spark, x, (x[:, 0] + x[:, 1] + 3 * r.normal(size=300) > 4).astype(float))
+    monkeypatch.setattr(TS, "_LEAST_ROWS", least)
+    at_once = TS.real_adaboost(df, rounds=11, keep_every=4).stumps
+    monkeypatch.setattr(TS, "_TASK_ROWS", 0)
+    by_round = TS.real_adaboost(df, rounds=11, keep_every=4).stumps
+    assert [s[:2] for s in at_once] == [s[:2] for s in by_round] and len(at_once) == 11
+    assert all(np.allclose(a[2:], b[2:]) for a, b in zip(at_once, by_round))
+
+
+@pytest.mark.parametrize("least", [1000, 100])
+def test_gradient_boosting_equals_spark_ml(spark, monkeypatch, least):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from tidemark.operators import models as MD
+
+    r = np.random.default_rng(6)
+    x = np.column_stack([r.integers(0, 30, 400), r.integers(0, 25, 400), r.integers(0, 2, 400), np.ones(400)])
+    y = (x[:, 0] + 0.5 * x[:, 1] + 4 * r.normal(size=400) > 20).astype(float)
+    df = table(spark, x, y).withColumn("features", array_to_vector("features"))
+    monkeypatch.setattr(TS, "_LEAST_ROWS", least)
+    m = MD.boosted_classifier(df, rounds=6, max_depth=3)
+    assert isinstance(m, TS.NewtonModel)
+    want = MD.gbt_classifier(6, 3).fit(df).transform(df).select("id", vector_to_array("rawPrediction")[1].alias("raw"), "prediction")
+    got = m.transform(df).select("id", "margin", F.col("prediction").alias("mine")).join(want, "id").collect()
+    assert len(got) == 400 and np.allclose([g.margin for g in got], [g.raw for g in got])
+    assert all(g.mine == g.prediction for g in got)
+
+
+def test_gradient_boosting_of_many_rows_or_other_labels(spark, small, monkeypatch):
+    _, _, df = small
+    with pytest.raises(ValueError):
+        TS.gradient_boosting(df, rounds=2)  # three classes
+    assert TS.gradient_boosting(df.where("id < 0"), rounds=2) is None
+    one = TS.gradient_boosting(df.where("label = 1"), rounds=2)
+    assert {r.prediction for r in one.transform(df).collect()} == {1.0}
+    monkeypatch.setattr(TS, "_TASK_ROWS", 0)
+    assert TS.gradient_boosting(df.where("label < 2"), rounds=2) is None
