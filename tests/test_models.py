@@ -167,10 +167,9 @@ def test_bases_have_the_analysed_sizes(monkeypatch):
     from tidemark.plans.catalog import models as M
 
     asked = {}
-    for name in ("extra_trees", "real_adaboost", "boosted_classifier"):
+    for name in ("extra_trees", "forest_classifier", "real_adaboost", "boosted_classifier"):
         monkeypatch.setattr(MD, name, lambda *_, _n=name, **sizes: asked.__setitem__(_n, sizes.get("rounds") or sizes.get("n_trees")))
     bases = M._bases(100)
-    for name in ("et", "ada", "gb"):
+    for name in ("et", "rf", "ada", "gb"):
         bases[name]().fit(None)
-    assert [asked[n] for n in ("extra_trees", "real_adaboost", "boosted_classifier")] == [500] * 3
-    assert bases["rf"]().getNumTrees() == 500
+    assert asked == {n: 500 for n in ("extra_trees", "forest_classifier", "real_adaboost", "boosted_classifier")}

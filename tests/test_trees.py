@@ -282,3 +282,46 @@ def test_gradient_boosting_of_many_rows_or_other_labels(spark, small, monkeypatc
     assert {r.prediction for r in one.transform(df).collect()} == {1.0}
     monkeypatch.setattr(TS, "_TASK_ROWS", 0)
     assert TS.gradient_boosting(df.where("label < 2"), rounds=2) is None
+
+
+@pytest.mark.parametrize("least", [1000, 100])
+def test_random_forest_splits_are_the_best_of_all(spark, monkeypatch, least):
+    r = np.random.default_rng(6)
+    x = np.column_stack([r.integers(0, 30, 300), r.integers(0, 25, 300), r.integers(0, 2, 300), np.ones(300)])
+    y = (x[:, 0] + 0.5 * x[:, 1] + 4 * r.normal(size=300) > 20).astype(int)
+    df = table(spark, x, y)
+    monkeypatch.setattr(TS, "_LEAST_ROWS", least)
+    drawn = TS.random_forest(df, 60, max_depth=4, min_instances=2, seed=3)
+    assert set(drawn.trees.feature[:60]) >= {0, 1}
+    got = {g.id: g for g in drawn.transform(df).collect()}
+    assert np.mean([got[i].prediction == y[i] for i in range(300)]) > 0.85
+    assert all(abs(g.margin) <= 0.5 and g.prediction == (g.margin > 0) for g in got.values())
+    assert max(map(len, ways(drawn.trees))) == 4
+
+    class Once:
+        def poisson(self, mean, shape):
+            return np.ones(shape, int)
+
+    cuts = TS._Cuts(cuts_of(x))
+    work = TS._forest_levels(cuts, 1, 4, 2, 4, 0)
+    monkeypatch.setattr(TS, "BarrierTaskContext", type("C", (), {"get": staticmethod(lambda: type("D", (), {"partitionId": lambda s: 0})())}))
+    monkeypatch.setattr(TS.np.random, "default_rng", lambda s, make=np.random.default_rng: Once() if isinstance(s, list) else make(s))
+    trees, share = work(x, y.astype(float), lambda a, how=np.sum: np.asarray(a, float))
+    rows = reach(trees, x)
+    for node, mine in rows.items():
+        assert np.isclose(share[node], y[mine].mean())
+        if trees.feature[node] >= 0:
+            best = max((round(gini(y[mine]) - gini(y[mine][low]) - gini(y[mine][~low]), 7), -f, -c)
+                       for f, cs in enumerate(cuts_of(x)) for c in cs for low in [x[mine, f] <= c]
+                       if min(low.sum(), (~low).sum()) >= 2)
+            assert (trees.feature[node], trees.cut[node]) == (-best[1], -best[2])
+
+
+def ways(trees):
+    """The nodes above each node."""
+    above = {t: [] for t in range(trees.n_trees)}
+    for node in range(len(trees.feature)):
+        if trees.feature[node] >= 0:
+            for child in (trees.left[node], trees.left[node] + 1):
+                above[int(child)] = above[node] + [node]
+    return above.values()
